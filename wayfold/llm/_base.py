@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from wayfold.shipping import ship
+
 #: Maps A-Z to a-z, every other ASCII byte that is no digit or letter to a space; bytes from 0x80 stay.
 ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -41,6 +43,12 @@ def slices(batch: pa.RecordBatch, column: int, size: int = 12 << 20) -> Iterator
             yield batch.slice(a, b - a)
 
 
+def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow with this package on the workers' path."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def mapped(df: DataFrame, keep: list[str], used: list[str], fields: T.StructType, fn: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
     """Adds fields to the kept columns, batch by batch.
 
@@ -58,7 +66,7 @@ def mapped(df: DataFrame, keep: list[str], used: list[str], fields: T.StructType
             for batch in slices(whole, columns.index(used[0])):
                 yield pa.RecordBatch.from_arrays([batch.column(columns.index(c)) for c in kept] + fn(batch), names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return in_arrow(source, run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm._base import ALNUM, alnum_words, slices, texts
+from wayfold.llm._base import ALNUM, alnum_words, in_arrow, slices, texts
 
 WINDOW = 10
 #: Bytes of patterns that one automaton may hold.
@@ -55,7 +55,7 @@ def patterns(benchmark: DataFrame, *, item_col: str = "item_id", text_col: str =
     source = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").alias("text")).where("item is not null and text is not null")
     part: dict[bytes, list[str]] = {}
     held = 0
-    for row in source.mapInArrow(cut, "item string, pattern binary").groupBy("pattern").agg(F.sort_array(F.collect_set("item")).alias("items")).toLocalIterator():
+    for row in in_arrow(source, cut, "item string, pattern binary").groupBy("pattern").agg(F.sort_array(F.collect_set("item")).alias("items")).toLocalIterator():
         need = len(row.pattern) + sum(map(len, row["items"]))
         if part and held + need > bound:
             yield part
@@ -137,7 +137,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
             arrays = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
             yield pa.RecordBatch.from_arrays([batch.column(columns.index(c)) for c in kept] + arrays, names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return in_arrow(source, run, schema)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

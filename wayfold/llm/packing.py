@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm._base import shared_path, slices
+from wayfold.llm._base import in_arrow, shared_path, slices
 
 #: Words that a worker's cache holds before it starts anew, and the longest it keeps.
 CACHE_WORDS, CACHE_CHARS = 1_000_000, 64
@@ -148,7 +148,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
                         begin += size
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int32())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(data, pa.binary()), pa.array(total, pa.int64()), pa.array(bucket, pa.int32()), pa.array(sequence, pa.int64()), pa.array(np.zeros(len(row), np.int64))], names=names)
 
-    return source.mapInArrow(run, schema)
+    return in_arrow(source, run, schema)
 
 
 def write_buckets(pieces: DataFrame, path: str | None = None) -> str:
