@@ -5,30 +5,81 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm import decontaminate, packing
+from wayfold.llm import chat, decontaminate, license_scan, ngram_join, packing, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(of: int):
+    """crc32 of the id as text, modulo."""
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learned from rows that aren't held out."""
+    return toxicity.fit(docs, labels, F.crc32(F.col("id").cast("string")) % 4 != 2)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_toxicity(docs, toxicity_model(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_ngrams(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     digest = F.sha2(F.concat_ws(",", "items"), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base, notices = F.col("base"), F.col("notices")
+    labels = lambda *of: F.array_join(F.array_sort(F.array_distinct(F.concat(*[F.transform(x, lambda p: p["label"]) for x in of]))), ",")
+    starts = F.transform(base, lambda p: p["first_word"])
+    best = F.array_max(F.transform(F.concat(base, notices), lambda p: p["score"]))
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"), labels(base, notices).alias("labels"), F.least(F.coalesce(best, F.lit(0.0)), F.lit(1.0)).alias("score"),
+    )
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = f"{chat.END}{chat.START}assistant ok"
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    place = F.row_number().over(order).cast("long")
+    chain = rows.withColumn("id", place).withColumn("parent", F.when(F.col("id") > 1, F.col("id") - 1)).withColumn("score", F.lit(1.0))
+    out = chat.format_conversations(chain)
+    turns = F.transform(chat.parsed_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return out.withColumn("trained", chat.trained_text(F.col("formatted"), F.col("loss_spans"))).select(
+        "conv_id", F.size(turns).cast("long").alias("n_turns"), F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+        F.length("trained").cast("long").alias("loss_chars"), F.sha2("trained", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op3_ngram_join": op3_ngram_join,
     "op4_decontamination": op4_decontamination,
+    "op9_license_scan": op9_license_scan,
+    "op10_chat": op10_chat,
 }
 
 ORACLE_SQL: dict[str, str] = {}
