@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat, decontaminate, license_scan, ngram_join, packing, toxicity
+from wayfold.llm import ann, chat, decontaminate, license_scan, lm_score, ngram_join, packing, token_shards, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,60 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_shards.materialise(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_shards.read_sequences(spark, path).select("slot", "shard", "number", F.crc32("ids").alias("ids_crc32"))
+
+
+#: Listed names and their domains, and the days (from FIRST_DAY) on which entries for the k-th domain are dated.
+LISTED = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+TOP_DOMAINS = ("example.com", "example.net", "example.org")
+FIRST_DAY, DAYS = "2024-01-01", 366
+
+
+def url_list(spark: SparkSession) -> DataFrame:
+    """Dated entries: each domain is blocked, some are allowed again, some of those blocked anew; one whole domain is under review for a time."""
+    rows = [f"('{name}.{top}', '{action}', {day})" for k, (name, top) in enumerate((n, t) for n in LISTED for t in TOP_DOMAINS)
+            for action, day in [("block", 11 * k), *([("allow", 11 * k + 90)] if k % 2 == 0 else []), *([("block", 11 * k + 150)] if k % 4 == 0 else [])]]
+    rows += ["('example.org', 'review', 200)", "('example.org', 'allow', 260)"]
+    return spark.sql(f"select domain, action, date_add(date '{FIRST_DAY}', day) as since from values {', '.join(rows)} as t(domain, action, day)")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fetched = F.expr(f"date_add(date '{FIRST_DAY}', cast(pmod(page_id, {DAYS}) as int))")
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched"))
+    return url_filter.filter_urls(captures, url_list(spark)).select("page_id", "fetched", "host", "action", "domain", "since")
+
+
+OP7_SQL = f"""
+with listed as (
+  select n.name || '.' || t.top as domain, (n.k * {len(TOP_DOMAINS)} + t.k)::int as k
+  from (values {', '.join(f"('{n}', {k})" for k, n in enumerate(LISTED))}) n(name, k), (values {', '.join(f"('{t}', {k})" for k, t in enumerate(TOP_DOMAINS))}) t(top, k)),
+entries as (
+  select domain, 'block' as action, 11 * k as day from listed
+  union all select domain, 'allow', 11 * k + 90 from listed where k % 2 = 0
+  union all select domain, 'block', 11 * k + 150 from listed where k % 4 = 0
+  union all select * from (values ('example.org', 'review', 200), ('example.org', 'allow', 260)) v(domain, action, day)),
+valid as (select domain, action, day, coalesce(lead(day) over (partition by domain order by day), 1000000) as next_day from entries),
+captures as (
+  select page_id, (page_id % {DAYS})::int as day, nullif(rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '.'), '') as host from pages),
+found as (
+  select c.page_id, c.day, c.host, v.action, v.domain, v.day as since_day,
+         row_number() over (partition by c.page_id order by length(v.domain) desc nulls last) as place
+  from captures c left join valid v on (c.host = v.domain or ends_with(c.host, '.' || v.domain)) and v.day <= c.day and c.day < v.next_day)
+select page_id, date '{FIRST_DAY}' + day as fetched, host, coalesce(action, 'allow') as action, domain, date '{FIRST_DAY}' + since_day as since from found where place = 1
+"""
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score(table(spark, sf_dir, "documents"), F.crc32(F.col("id").cast("string")) % 7 != 2)
+    return scored.select("doc_id", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
     base, notices = F.col("base"), F.col("notices")
@@ -78,8 +132,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_ngram_join": op3_ngram_join,
     "op4_decontamination": op4_decontamination,
+    "op5_nearest": op5_nearest,
+    "op6_token_shards": op6_token_shards,
+    "op7_url_filter": op7_url_filter,
+    "op8_lm_score": op8_lm_score,
     "op9_license_scan": op9_license_scan,
     "op10_chat": op10_chat,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_url_filter": OP7_SQL}

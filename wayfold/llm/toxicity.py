@@ -76,7 +76,7 @@ def class_counts(labelled: DataFrame) -> np.ndarray:
         group, slot = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(slot, pa.int32()), pa.array(counts[group, slot])], names=["group", "slot", "n"])
 
-    rows = in_arrow(labelled.select("text", "fold", "toxic"), count, "group int, slot int, n long").groupBy("group", "slot").agg(F.sum("n").alias("n")).toPandas()
+    rows = in_arrow(labelled.select("text", "fold", "toxic"), count, "group int, slot int, n long").groupBy("group", "slot").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     out = np.zeros((4, (1 << TABLE_BITS) + 1), np.int64)
     out[rows["group"], rows["slot"]] = rows["n"]
     return out.reshape(2, 2, -1)
@@ -222,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, *, i
             rows = [measures(t, scores[f], halves[f])[1:] for t, f in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.float64()), batch.column(2)], names=["best", "total", "toxic"])
 
-    got = in_arrow(sample.select("text", "fold", "toxic"), value, "best double, total double, toxic int").toPandas()
+    got = in_arrow(sample.select("text", "fold", "toxic"), value, "best double, total double, toxic int").toArrow().to_pandas()
     model = fit_scores(counts.sum(axis=0))
     model.curve = logistic(np.sqrt(got[["best", "total"]].to_numpy(float)), got["toxic"].to_numpy(float))
     return model
