@@ -69,6 +69,18 @@ def mapped(df: DataFrame, keep: list[str], used: list[str], fields: T.StructType
     return in_arrow(source, run, schema)
 
 
+def filtered(df: DataFrame, text_col: str, fn: Callable[[pa.Array], list[bool]]) -> DataFrame:
+    """The rows, with all their columns, for whose text fn says so; it gets texts of a bounded size at once."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, at):
+                yield batch.filter(pa.array(fn(batch.column(at)), pa.bool_()))
+
+    return in_arrow(df, run, df.schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set (local tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

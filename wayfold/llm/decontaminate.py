@@ -10,7 +10,6 @@ benchmark has a single automaton.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -101,6 +100,25 @@ def spans(text: bytes, words: np.ndarray) -> list[tuple[int, int]]:
     return [(len(text[:a].decode()), len(text[:b].decode())) for a, b in at]
 
 
+class Automata:
+    """All parts of a benchmark; one automaton is held beside the first."""
+
+    def __init__(self, parts: list) -> None:
+        self.parts = parts
+        self.first = Scanner(parts[0].value) if parts else None
+
+    def scan(self, own: list[bytes]) -> tuple[list[bytes], dict[int, list[tuple[int, int, list[str]]]]]:
+        """Normalised texts, and the matches of those that have any."""
+        normals = [b" " + b" ".join(t.translate(ALNUM).split()) + b" " for t in own]
+        found: dict[int, list] = defaultdict(list)
+        for k in range(len(self.parts)):
+            scanner = self.first if k == 0 else Scanner(self.parts[k].value)
+            for row, normal in enumerate(normals):
+                if got := scanner.scan(normal):
+                    found[row] += got
+        return normals, found
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, size: int = WINDOW, bound: int = PATTERN_BYTES) -> DataFrame:
     """The kept columns (all by default) with n_words, n_hit, items (ids as sorted strings) and hits.
 
@@ -119,16 +137,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
     schema = T.StructType([source.schema[c] for c in kept] + list(FIELDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = Scanner(parts[0].value) if parts else None
+        automata = Automata(parts)
         for batch in (part for whole in batches for part in slices(whole, columns.index(text_col))):
             own = texts(batch.column(columns.index(text_col)))
-            normals = [b" " + b" ".join(t.translate(ALNUM).split()) + b" " for t in own]
-            found: dict[int, list] = defaultdict(list)
-            for k in range(len(parts)):  # one automaton at a time beside the first
-                scanner = first if k == 0 else Scanner(parts[k].value)
-                for row, normal in enumerate(normals):
-                    if got := scanner.scan(normal):
-                        found[row] += got
+            normals, found = automata.scan(own)
             n_words = [n.count(b" ") - 1 if len(n) > 2 else 0 for n in normals]
             n_hit, items, hits = [0] * len(own), [[] for _ in own], [[] for _ in own]
             for row, got in found.items():
@@ -141,11 +153,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
     return in_arrow(source, run, schema)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any hit, with their own columns."""
-    marked = find_leaks(docs.withColumn("_kept", F.struct(*[f"`{c}`" for c in docs.columns])), benchmark, keep=["_kept"], **options)
-    return marked.where("n_hit = 0").select("_kept.*")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", size: int = WINDOW, bound: int = PATTERN_BYTES) -> DataFrame:
+    """The documents without any hit, with all their columns."""
+    sc = docs.sparkSession.sparkContext
+    parts = [sc.broadcast(part) for part in patterns(benchmark, size=size, bound=bound)]
+    at = docs.columns.index(text_col)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata = Automata(parts)
+        for batch in (part for whole in batches for part in slices(whole, at)):
+            _, found = automata.scan(texts(batch.column(at)))
+            yield batch.filter(pa.array([k not in found for k in range(batch.num_rows)], pa.bool_()))
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    return in_arrow(docs, run, docs.schema)

@@ -287,3 +287,21 @@ def join_ngrams(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     named = written(named, "named")
     least = named.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least"))
     return named.join(least, "comp", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The documents of which each component keeps the one with the smallest id, with all their columns.
+
+    Of rows that share an id the smallest stays.  Rows without an id stay.
+    """
+    placed = written(join_ngrams(docs, id_col=id_col, text_col=text_col, percent=percent).where(F.col(id_col).isNotNull()), "placed")
+    repeated = placed.groupBy(F.col(id_col).alias("gone")).agg(F.count("*").alias("rows"), F.max(F.col("component_id") == F.col(id_col)).alias("first"))
+    gone = written(repeated.where("not first or rows > 1").select("gone", "first"), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    out = docs.join(F.broadcast(gone) if few else gone, F.col(f"`{id_col}`") == F.col("gone"), "left_anti")
+    again = gone.where("first").select("gone")
+    if again.limit(1).count():
+        rows = docs.join(F.broadcast(again) if few else again, F.col(f"`{id_col}`") == F.col("gone"), "left_semi")
+        one = rows.groupBy(F.col(f"`{id_col}`").alias("gone")).agg(F.min(F.struct(*[f"`{c}`" for c in docs.columns])).alias("row"))
+        out = out.unionByName(one.select("row.*"))
+    return out

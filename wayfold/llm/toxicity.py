@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm._base import ALNUM, in_arrow, mapped, texts
+from wayfold.llm._base import ALNUM, filtered, in_arrow, mapped, texts
 
 #: Slots of the feature table, which bounds what reaches the driver and every worker.
 TABLE_BITS = 19
@@ -249,11 +249,11 @@ def score_toxicity(docs: DataFrame, model: Model, *, text_col: str = "text", kee
 
     def fields(batch: pa.RecordBatch) -> list[pa.Array]:
         m = shared.value
-        scores, (a, b, c) = worker_scores(m), m.curve
+        scores = worker_scores(m)
         score, passages = [], []
         for text in texts(batch.column(text_col)):
             found, best, total = measures(text, scores, m)
-            score.append(1 / (1 + math.exp(-max(-30.0, min(30.0, a * math.sqrt(best) + b * math.sqrt(total) + c)))))
+            score.append(probability(m, best, total))
             if not found:
                 passages.append([])
                 continue
@@ -264,6 +264,23 @@ def score_toxicity(docs: DataFrame, model: Model, *, text_col: str = "text", kee
     return mapped(docs, keep, [text_col], FIELDS, fields)
 
 
+def probability(model: Model, best: float, total: float) -> float:
+    a, b, c = model.curve
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, a * math.sqrt(best) + b * math.sqrt(total) + c))))
+
+
+def without_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.3) -> DataFrame:
+    """The documents with a score under least, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(column: pa.Array) -> list[bool]:
+        m = shared.value
+        scores = worker_scores(m)
+        return [probability(m, *measures(t, scores, m)[1:]) < least for t in texts(column)]
+
+    return filtered(docs, text_col, keep)
+
+
 _kept: list = []
 
 
