@@ -29,7 +29,7 @@ def nearest_rank(p: float, column: str) -> Column:
 
 def percentile_interval(replicated: DataFrame, by: list[str], level: float = 0.95, least_defined: float = 0.95) -> DataFrame:
     """Nearest-rank interval of the defined replicates; null when fewer than the least share is defined."""
-    tail = (1 - level) / 2
+    tail = round((1 - level) / 2, 12)
     enough = F.count("estimate") >= least_defined * F.count("*")
     return replicated.groupBy(*by).agg(F.when(enough, nearest_rank(tail, "estimate")).alias("low"), F.when(enough, nearest_rank(1 - tail, "estimate")).alias("high"))
 
