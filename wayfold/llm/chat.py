@@ -41,18 +41,17 @@ def jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     )
     levels, bound = [], nodes.count()
     state = written(state, "jump")
-    while state.where("up is not null").limit(1).count() and 1 << len(levels) <= 2 * bound:
-        levels.append(state.where("up is not null").select("tree", "id", "up"))
-        below, above = state.alias("below"), state.alias("above")
+    settled, active = state.where("up is null"), state.where("up is not null")
+    while active.limit(1).count() and 1 << len(levels) <= 2 * bound:
+        levels.append(active.select("tree", "id", "up"))
+        below, above = active.alias("below"), settled.unionByName(active).alias("above")
         steps = F.lit(1 << (len(levels) - 1)).cast("long")
-        state = below.join(above, (F.col("below.tree") == F.col("above.tree")) & (F.col("below.up") == F.col("above.id")), "left").select(
-            "below.tree", "below.id", F.col("above.up").alias("up"),
-            (F.col("below.total") + F.coalesce("above.total", F.lit(0.0))).alias("total"),
-            F.coalesce("above.root", "below.root").alias("root"),
-            F.when(F.col("below.up").isNull(), F.col("below.depth")).otherwise(steps + F.col("above.depth")).alias("depth"),
-        )
-        state = written(state, "jump")
-    return levels, state.where("up is null").drop("up")
+        moved = written(below.join(above, (F.col("below.tree") == F.col("above.tree")) & (F.col("below.up") == F.col("above.id"))).select(
+            "below.tree", "below.id", F.col("above.up").alias("up"), (F.col("below.total") + F.col("above.total")).alias("total"),
+            F.col("above.root").alias("root"), (steps + F.col("above.depth")).alias("depth"),
+        ), "jump")
+        settled, active = settled.unionByName(moved.where("up is null")), moved.where("up is not null")
+    return levels, settled.drop("up")
 
 
 def best_paths(messages: DataFrame, *, branches: int = 1) -> DataFrame:
