@@ -172,6 +172,16 @@ def listed(entries: DataFrame) -> DataFrame:
     return own.join(heads, "tau").select("tau", "class", n.alias("n"), pos.alias("pos"), l.alias("l"), F.col("head.class").alias("head"), head_n.alias("head_n"), head_pos.alias("head_pos"), head_l.alias("head_l"))
 
 
+def required(percent: int, n: str, m: str, l: str, k: str):
+    """Shared prefix shingles without which sizes n and m, with prefixes for l and k, can't reach the threshold.
+
+    Shared shingles up to the end of the prefix that ends first are in both
+    prefixes; behind it that document has o - l shingles left.
+    """
+    o = lambda x: f"((({percent}) * {x} + 99) div 100)"
+    return F.expr(f"greatest(least({l}, {k}), (({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}) - greatest({o(n)} - {l}, {o(m)} - {k}))")
+
+
 def promising(percent: int, n: str, m: str, bound: str):
     """Sizes n and m can reach the threshold with an overlap of at most bound."""
     return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and {percent} * ({n} + {m}) <= {100 + percent} * ({bound})")
@@ -229,8 +239,8 @@ def components(links: DataFrame) -> DataFrame:
 def links(docs: DataFrame, members: DataFrame, counts: np.ndarray, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """Verified pairs of classes that connect every component, and its components; no pair is lost between components."""
     lists = written(listed(postings(docs, counts, percent)), "lists")
-    # shingles before the first that any other prefix has can't be shared
-    caps = lists.groupBy("class").agg(F.max(F.expr("n - pos + 1")).alias("cap"))
+    # shingles before the first that any other prefix has can't be shared, and no more of a prefix than are in lists
+    caps = lists.groupBy("class").agg(F.max(F.expr("n - pos + 1")).alias("cap"), F.count("*").alias("most"))
     lists = lists.join(caps, "class")
     stars = (
         lists.where(F.col("class") != F.col("head")).where(promising(percent, "n", "head_n", "cap"))
@@ -244,15 +254,15 @@ def links(docs: DataFrame, members: DataFrame, counts: np.ndarray, percent: int)
     of_class, of_head = comps.select("class", F.col("comp").alias("own_comp")), comps.select(F.col("class").alias("head"), F.col("comp").alias("its_comp"))
     placed = (
         lists.join(of_class, "class", "left").join(of_head, "head", "left")
-        .select("tau", "class", "n", "pos", "l", "cap", F.coalesce("own_comp", "class").alias("comp"), F.coalesce("its_comp", "head").alias("main"))
+        .select("tau", "class", "n", "pos", "l", "cap", "most", F.coalesce("own_comp", "class").alias("comp"), F.coalesce("its_comp", "head").alias("main"))
     )
     placed = written(placed, "placed")
     a, b = placed.where("comp <> main").alias("a"), placed.alias("b")
     across = (
         a.join(b, (F.col("a.tau") == F.col("b.tau")) & (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.class") < F.col("b.class")))
-               & promising(percent, "a.n", "b.n", "least(a.cap, b.cap)"))
+               & promising(percent, "a.n", "b.n", "least(a.cap, b.cap)") & (required(percent, "a.n", "b.n", "a.l", "b.l") <= F.least("a.most", "b.most")))
         .select(F.least("a.class", "b.class").alias("a"), F.greatest("a.class", "b.class").alias("b"), F.col("a.n").alias("n"), F.col("b.n").alias("m"),
-                F.least("a.l", "b.l").alias("least"), F.expr("a.n - a.pos + 1").alias("left"), F.expr("b.n - b.pos + 1").alias("right"))
+                required(percent, "a.n", "b.n", "a.l", "b.l").alias("least"), F.expr("a.n - a.pos + 1").alias("left"), F.expr("b.n - b.pos + 1").alias("right"))
         .groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.struct("n", "m", "least")).alias("s"), F.greatest(F.max("left"), F.max("right")).alias("bound"))
         .where("shared >= s.least").where(promising(percent, "s.n", "s.m", "bound")).select("a", "b")
     )
