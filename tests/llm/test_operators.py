@@ -175,7 +175,7 @@ def test_toxicity_held_out(spark):
         labels.append((k, 1 if toxic else 0))
     texts += [None, "", "Blarg, snork BLARG zibber"]
     docs = documents(spark, texts)
-    model = toxicity.fit(docs, spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id long, toxic int"), F.col("id") % 3 != 0)
+    model = toxicity.fit(docs, spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id long, toxic int"), F.col("id") % 7 != 0)
     rows = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
     assert all((rows[k].score >= 0.3) == bool(t) for k, t in labels) and all(0 <= r.score <= 1 for r in rows.values())
     assert rows[600].score == rows[601].score < 0.3 and rows[602].score > 0.3 and rows[602].n_words == "x"
