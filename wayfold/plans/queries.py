@@ -104,9 +104,9 @@ def network_metrics(spark, sf_dir):
     return rounded(graphs.network_metrics(own.edges, graphs.all_pairs(own.edges)))
 
 
-@query("select graph_id, condition_id, node, round(x, 8) as x, round(y, 8) as y from coords")
+@query("select graph_id, condition_id, node, x, y from coords")
 def radius_conditions(spark, sf_dir):
-    return rounded(Inputs(spark, sf_dir).coords.select("graph_id", "condition_id", "node", "x", "y"))
+    return Inputs(spark, sf_dir).coords.select("graph_id", "condition_id", "node", "x", "y")
 
 
 NODE_PAIRS = """, couples as (
@@ -347,13 +347,13 @@ def mobius_translation(spark, sf_dir):
     return rounded(c.select("graph_id", "condition_id", "node", x.alias("moved_x"), y.alias("moved_y")), 7)
 
 
-@query("select graph_id, condition_id, node, round(x, 7) as x, round(y, 7) as y from coords")
+@query("select graph_id, condition_id, node, x, y from coords")
 def log_exp_round_trip(spark, sf_dir):
     c = Inputs(spark, sf_dir).coords
     base = (F.lit(0.1), F.lit(-0.2))
     tx, ty = geometry.log_map(*base, F.col("x"), F.col("y"))
     x, y = geometry.exp_map(*base, F.col("tx"), F.col("ty"))
-    return rounded(c.select("graph_id", "condition_id", "node", tx.alias("tx"), ty.alias("ty")).select("graph_id", "condition_id", "node", x.alias("x"), y.alias("y")), 7)
+    return rounded(c.select("graph_id", "condition_id", "node", tx.alias("tx"), ty.alias("ty")).select("graph_id", "condition_id", "node", x.alias("x"), y.alias("y")), 9)
 
 
 @query("""select ((a * 3 + b) * 3 + c) * 20 + r as schedule_index, if(a = 0, 'erdos_renyi', 'barabasi_albert') as model, [100, 300, 1000][b + 1] as n, [4, 8, 16][c + 1] as m, r::int as replicate_index,
