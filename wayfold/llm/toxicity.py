@@ -6,31 +6,37 @@ of positive score (Ruzzo and Tompa); Karlin-Altschul statistics turn a segment's
 score into the number of such segments that chance would give in a text of that
 length; a logistic curve over the extreme values calibrates the document score.
 
-Features of a word are the word itself and its beginnings of three to five
-letters, hashed into a table of fixed size.  A feature is counted once in a
-document, so a word repeated in one text can't look like evidence from many.
+Features of a word are the word itself and its beginnings of four and five
+letters, by 64-bit hash.  A feature is counted once in a document, so a word
+repeated in one text can't look like evidence from many.  Only the features that
+point to toxic text most clearly reach the driver and the workers.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm._base import ALNUM, filtered, in_arrow, mapped, texts
+from wayfold.llm._base import ALNUM, filtered, in_arrow, mapped, slices, texts, written
 
-#: Slots of the feature table, which bounds what reaches the driver and every worker.
-TABLE_BITS = 19
-#: Prior weight as a share of all counts, least z-score of a toxic feature, what a word without one costs.
-PRIOR_SHARE, LEAST_Z, DRIFT = 0.05, 3.0, 0.25
+#: Features of a model at most, those of the largest z-scores: under 3 MB on the driver and in every worker.
+MOST_FEATURES = 65_536
+#: Prior weight as a share of all counts, least z-score and log-odds of a toxic feature, what a word without one costs.
+PRIOR_SHARE, LEAST_Z, LEAST_ODDS, DRIFT = 0.05, 3.0, 2.0, 0.25
+#: Share of the normal bound for the largest of many chance z-scores that a feature must reach.
+CHANCE_SHARE = 0.85
+#: A beginning stands for itself only if no single word has more than this share of its toxic documents.
+WORD_SHARE = 0.5
 #: Expected chance segments in a text below which a passage counts as found.
 SIGNIFICANT = 0.05
 #: Labelled rows at most that fit the calibration curve, those of the smallest hashes.
@@ -44,78 +50,112 @@ CACHE_WORDS = 400_000
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
-def slots(word: bytes) -> list[int]:
-    """Table slots of a word's features."""
-    mask = (1 << TABLE_BITS) - 1
+def features(word: bytes) -> list[int]:
+    """Signed 64-bit hashes of a word's features."""
     text = word.decode("utf-8", "replace")
-    return [zlib.crc32(b"w" + word) & mask] + [zlib.crc32(b"p" + text[:n].encode("utf-8", "replace")) & mask for n in (3, 4, 5) if len(text) >= n]
+    parts = [b"w" + word, *(b"p" + text[:n].encode("utf-8", "replace") for n in (4, 5) if len(text) >= n)]
+    return [xxhash.xxh3_64_intdigest(p) - (1 << 63) for p in parts]
 
 
-class Slots(dict):
+class Features(dict):
     def __missing__(self, word: bytes) -> list[int]:
         if len(self) > CACHE_WORDS:
             self.clear()
-        self[word] = out = slots(word)
+        self[word] = out = features(word)
         return out
 
 
-def class_counts(labelled: DataFrame) -> np.ndarray:
-    """Documents with each feature: array [fold, class, slot] from (text, fold, toxic); last slot: all documents.
+#: Documents with a feature by fold and class: clean and toxic of fold 0, of fold 1.
+GROUPS = ["y00", "y01", "y10", "y11"]
 
-    At most 4 * 2**TABLE_BITS rows reach the driver.
-    """
+
+def class_counts(labelled: DataFrame) -> DataFrame:
+    """(feature, y00, y01, y10, y11) from (text, fold, toxic)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Slots()
-        counts = np.zeros((4, (1 << TABLE_BITS) + 1), np.int64)
-        for batch in batches:
+        known = Features()
+        for batch in (part for whole in batches for part in slices(whole, 0)):
+            seen: list[list[int]] = [[], [], [], []]
             for text, fold, toxic in zip(texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                row = counts[2 * fold + toxic]
-                own = {s for w in set(text.translate(ALNUM).split()) for s in known[w]}
-                row[list(own)] += 1
-                row[-1] += 1
-        group, slot = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(slot, pa.int32()), pa.array(counts[group, slot])], names=["group", "slot", "n"])
-
-    rows = in_arrow(labelled.select("text", "fold", "toxic"), count, "group int, slot int, n long").groupBy("group", "slot").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    out = np.zeros((4, (1 << TABLE_BITS) + 1), np.int64)
-    out[rows["group"], rows["slot"]] = rows["n"]
-    return out.reshape(2, 2, -1)
-
-
-def log_odds(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds ratio with a Dirichlet prior and its z-score, by slot, from [class, slot]."""
-    y0, y1 = counts[:, :-1].astype(float)
-    both = y0 + y1
-    prior = PRIOR_SHARE * both + 1e-3
-    total = prior.sum()
+                seen[2 * fold + toxic] += {f for w in set(text.translate(ALNUM).split()) for f in known[w]}
+            for group, own in enumerate(seen):
+                feature, n = np.unique(np.array(own, np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(feature), pa.array(np.full(len(feature), group, np.int32)), pa.array(n)], names=["feature", "group", "n"])
+
+    rows = in_arrow(labelled.select("text", "fold", "toxic"), count, "feature long, group int, n long")
+    return rows.groupBy("feature").agg(*[F.sum(F.when(F.col("group") == k, F.col("n")).otherwise(0)).alias(g) for k, g in enumerate(GROUPS)])
+
+
+def log_odds(y0: np.ndarray, y1: np.ndarray, all0: float, all1: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds ratio with a Dirichlet prior and its z-score, from the classes' counts and their sums over all features."""
+    prior = PRIOR_SHARE * (y0 + y1) + 1e-3
+    total = PRIOR_SHARE * (all0 + all1)
+    a1, a0 = y1 + prior, y0 + prior
+    delta = np.log(a1 / (all1 + total - a1)) - np.log(a0 / (all0 + total - a0))
+    return delta, delta / np.sqrt(1 / a1 + 1 / a0)
+
+
+def least_z(tested: int) -> float:
+    """What z-score counts among so many features: chance alone reaches about sqrt(2 log n), less here as its tail is shorter."""
+    return max(LEAST_Z, CHANCE_SHARE * math.sqrt(2 * math.log(max(2, tested))))
+
+
+def clear_features(counts: DataFrame) -> tuple[dict[str, np.ndarray], dict[str, float]]:
+    """The MOST_FEATURES features of the largest z-scores from LEAST_Z on, and the sums of all counts."""
+    sums = {k: float(v or 0) for k, v in counts.agg(*[F.sum(g).alias(g) for g in GROUPS]).first().asDict().items()}
+    all0, all1 = sums["y00"] + sums["y10"], sums["y01"] + sums["y11"]
+    y0, y1 = F.col("y00") + F.col("y10"), F.col("y01") + F.col("y11")
+    prior = PRIOR_SHARE * (y0 + y1) + 1e-3
+    total = PRIOR_SHARE * (all0 + all1)
     a1, a0 = y1 + prior, y0 + prior
-    delta = np.log(a1 / (y1.sum() + total - a1)) - np.log(a0 / (y0.sum() + total - a0))
-    return delta, np.where(both > 0, delta / np.sqrt(1 / a1 + 1 / a0), 0)
+    delta = F.log(a1 / (all1 + total - a1)) - F.log(a0 / (all0 + total - a0))
+    tested = counts.where(y1 >= 2)
+    least = least_z(tested.count())
+    best = tested.where(delta >= LEAST_ODDS).withColumn("z", delta / F.sqrt(1 / a1 + 1 / a0)).where(F.col("z") >= least).orderBy(F.desc("z"), "feature").limit(MOST_FEATURES)
+    rows = best.select("feature", *GROUPS).toArrow()
+    return {c: rows.column(c).to_numpy() for c in rows.column_names}, sums
+
+
+def general(clear: dict[str, np.ndarray], labelled: DataFrame) -> dict[str, np.ndarray]:
+    """Without the beginnings that a single word accounts for."""
+    shared = labelled.sparkSession.sparkContext.broadcast(frozenset(clear["feature"].tolist()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, wanted = Features(), shared.value
+        for batch in (part for whole in batches for part in slices(whole, 0)):
+            pairs = Counter((f, known[w][0]) for t in texts(batch.column(0)) for w in set(t.translate(ALNUM).split()) for f in known[w][1:] if f in wanted)
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in pairs], pa.int64()), pa.array([w for _, w in pairs], pa.int64()), pa.array(list(pairs.values()), pa.int64())], names=["feature", "word", "n"])
+
+    rows = in_arrow(labelled.where("toxic = 1").select("text"), count, "feature long, word long, n long").groupBy("feature", "word").agg(F.sum("n").alias("n"))
+    most = rows.groupBy("feature").agg(F.max("n").alias("most")).toArrow()  # a row for each clear feature at most
+    most = dict(zip(most.column(0).to_pylist(), most.column(1).to_pylist(), strict=True))
+    toxic = clear["y01"] + clear["y11"]
+    keep = np.array([most.get(f, 0) <= WORD_SHARE * n for f, n in zip(clear["feature"].tolist(), toxic.tolist(), strict=True)], bool)
+    return {k: v[keep] for k, v in clear.items()}
 
 
 @dataclass
 class Model:
-    """score: by slot, 0 where a feature says nothing; lam, k: Karlin-Altschul; curve: of the document score."""
+    """score: of features that point to toxic text; lam, k: Karlin-Altschul; curve: of the document score."""
 
-    score: np.ndarray
+    score: dict[int, float]
     lam: float
     k: float
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
 
-def fit_scores(counts: np.ndarray) -> Model:
-    """Word scores from [class, slot] and the statistics of chance segments among other documents."""
-    delta, z = log_odds(counts)
-    toxic = (z >= LEAST_Z) & (delta > 0)
-    score = np.where(toxic, delta, 0).astype(np.float32)
-    # chance: a word's step is its score where a toxic feature occurs, else -DRIFT
-    n0 = max(1, counts[0, -1])
-    rate = (counts[0, :-1][toxic] + 0.5) / n0
-    words = max(20.0, counts[0, :-1].sum() / n0)  # features in a document, about four to a word
-    p = rate / words
+def fit_scores(clear: dict[str, np.ndarray], sums: dict[str, float], folds: tuple[int, ...], clean_docs: float) -> Model:
+    """Word scores from the folds' counts, and the statistics of chance segments among clean documents."""
+    y0, y1 = (sum(clear[f"y{f}{c}"] for f in folds).astype(float) for c in (0, 1))
+    all0, all1 = (sum(sums[f"y{f}{c}"] for f in folds) for c in (0, 1))
+    delta, z = log_odds(y0, y1, all0, all1) if len(y0) else (y0, y1)
+    toxic = (z >= LEAST_Z) & (delta >= LEAST_ODDS)
     s = delta[toxic]
     if not len(s):
-        return Model(score, 1.0, 1.0)
+        return Model({}, 1.0, 1.0)
+    score = dict(zip(clear["feature"][toxic].tolist(), s.tolist(), strict=True))
+    # chance: a word's step is its score where a toxic feature occurs, else -DRIFT
+    words = max(20.0, all0 / max(1.0, clean_docs))  # features of a clean document, about four to a word
+    p = (y0[toxic] + 0.5) / max(1.0, clean_docs) / words
     rest = max(1e-9, 1 - p.sum())
     low, high = 1e-3, 1.0
     psi = lambda x: (p * np.exp(np.minimum(50, x * s))).sum() + rest * math.exp(-x * DRIFT) - 1
@@ -130,15 +170,14 @@ def fit_scores(counts: np.ndarray) -> Model:
 class WordScores(dict):
     """Score of a word: its strongest feature's, else -DRIFT."""
 
-    def __init__(self, score: np.ndarray) -> None:
+    def __init__(self, score: dict[int, float]) -> None:
         super().__init__()
         self.score = score
 
     def __missing__(self, word: bytes) -> float:
         if len(self) > CACHE_WORDS:
             self.clear()
-        best = float(max(self.score[slots(word)]))
-        self[word] = best = best if best > 0 else -DRIFT
+        self[word] = best = max((self.score[f] for f in features(word) if f in self.score), default=-DRIFT)
         return best
 
 
@@ -179,16 +218,21 @@ def measures(text: bytes, scores: WordScores, model: Model) -> tuple[list[tuple[
     return [f for f in found if f[3] <= SIGNIFICANT], max(0.0, best), math.log1p(sum(max(0.0, model.lam * s - size) for _, _, s, _ in found))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
-    """Weights of a logistic curve, the constant last, by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> tuple[float, ...]:
+    """Weights of a logistic curve, the constant last, by Newton's method with halved steps."""
     x = np.column_stack([x, np.ones(len(x))])
+    held = np.array([ridge] * (x.shape[1] - 1) + [1e-6])
     w = np.zeros(x.shape[1])
     w[-1] = math.log((y.sum() + 1) / (len(y) - y.sum() + 1)) if len(y) else -3.0
-    for _ in range(50 if len(y) else 0):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * np.append(w[:-1], 0))
-        w -= step
-        if np.abs(step).max() < 1e-8:
+    loss = lambda v: np.logaddexp(0, x @ v).sum() - (y * (x @ v)).sum() + 0.5 * (held * v * v).sum()
+    for _ in range(100 if len(y) else 0):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(held), x.T @ (p - y) + held * w)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
     return tuple(float(v) for v in w)
 
@@ -208,12 +252,15 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, *, i
     known = F.broadcast(known) if labels.count() <= BROADCAST_LABELS else known
     order = F.crc32(F.concat(F.lit("fold"), F.col("id").cast("string")))
     labelled = own.join(known, "id").select("text", "toxic", (order % 2).cast("int").alias("fold"), order.alias("order"))
-    counts = class_counts(labelled)
-    halves = [fit_scores(counts[1]), fit_scores(counts[0])]  # for rows of fold 0, of fold 1
+    counts = written(class_counts(labelled), "features")
+    clear, sums = clear_features(counts)
+    clear = general(clear, labelled)
+    docs_of = {(r.fold, r.toxic): r["count"] for r in labelled.groupBy("fold", "toxic").count().collect()}
+    clean = [docs_of.get((f, 0), 0) for f in (0, 1)]
+    halves = [fit_scores(clear, sums, (1,), clean[1]), fit_scores(clear, sums, (0,), clean[0])]  # for rows of fold 0, of fold 1
 
     # the rows of the smallest hashes: a threshold from the count, then only numbers go to the driver
-    n = int(counts[:, :, -1].sum())
-    share = min(1.0, CALIBRATION_ROWS / max(1, n))
+    share = min(1.0, CALIBRATION_ROWS / max(1, sum(docs_of.values())))
     sample = labelled.where(F.col("order") <= int(share * 0xFFFFFFFF))
 
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, *, i
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.float64()), batch.column(2)], names=["best", "total", "toxic"])
 
     got = in_arrow(sample.select("text", "fold", "toxic"), value, "best double, total double, toxic int").toArrow().to_pandas()
-    model = fit_scores(counts.sum(axis=0))
+    model = fit_scores(clear, sums, (0, 1), sum(clean))
     model.curve = logistic(np.sqrt(got[["best", "total"]].to_numpy(float)), got["toxic"].to_numpy(float))
     return model
 
@@ -245,7 +292,7 @@ def score_toxicity(docs: DataFrame, model: Model, *, text_col: str = "text", kee
     rows are scored each for itself.
     """
     keep = docs.columns if keep is None else keep
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**TABLE_BITS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_FEATURES scores at most
 
     def fields(batch: pa.RecordBatch) -> list[pa.Array]:
         m = shared.value
