@@ -22,8 +22,8 @@ from wayfold.llm._base import in_arrow, written
 
 #: Rows that fit the trees, those of the smallest hashes; trees; rows aimed at in a leaf; least sampled rows in a leaf.
 SAMPLE_ROWS, TREES, LEAF_ROWS, LEAF_SAMPLE = 60_000, 12, 160, 8
-#: Leaves searched for a query over all trees.
-PROBES = 160
+#: Leaves searched for a query over all trees: so many at least, and this share of all leaves.
+PROBES, PROBE_SHARE = 400, 1 / 15
 #: Rows of a leaf that one task compares at once.
 BLOCK_ROWS = 8192
 
@@ -140,7 +140,7 @@ def best(q: np.ndarray, x: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int)
         yield r, at[order], score[order]
 
 
-def nearest(table: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, probes: int = PROBES) -> DataFrame:
+def nearest(table: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, probes: int = PROBES, probe_share: float = PROBE_SHARE) -> DataFrame:
     """query_id, rank (from 1), id_col, score: the k nearest found for every row that is_query holds for.
 
     Ties go to the smaller id.  Vectors that are null, empty, zero or hold null
@@ -164,6 +164,7 @@ def nearest(table: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: s
     schema = f"query_id long, rank int, `{id_col}` long, score double"
     if forest is None:
         return table.sparkSession.createDataFrame([], schema)
+    probes = max(probes, round(probe_share * forest.leaves))
     shared = table.sparkSession.sparkContext.broadcast(forest)  # bounded by SAMPLE_ROWS and TREES
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
