@@ -33,6 +33,9 @@ PAIR_PRIOR = 300.0
 #: Words with exact counts that are broadcast, the commonest (12 MB); the others meet their counts in a join.
 HEAD_WORDS = 1_000_000
 
+#: Text that a worker looks at in one go: a dozen arrays of its words take some 20 times as much.
+TEXT_BYTES = 6 << 20
+
 END_WORD = np.uint64(0xA0761D6478BD642F)
 
 
@@ -85,11 +88,12 @@ def counted(texts: DataFrame) -> DataFrame:
     """(order, key, n) of words (1) and pairs (2) in a one-column table of texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 0, 24 << 20):
+            for part in slices(batch, 0, TEXT_BYTES):
                 words, edges = tokens(part.column(0))
                 for order, keys in ((1, words), (2, pair_keys(histories(words, edges), words))):
                     key, n = np.unique(keys, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), order, np.int8)), pa.array(key.view(np.int64)), pa.array(n)], names=["order", "key", "n"])
+            pa.default_memory_pool().release_unused()  # the shuffle that follows needs the room
 
     return in_arrow(texts, run, "order byte, key long, n long").groupBy("order", "key").agg(F.sum("n").alias("n"))
 
@@ -232,7 +236,7 @@ def score(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col
             row = TaskContext.get().partitionId() << 40
             for batch in batches:
                 text_at = batch.schema.get_field_index("text")
-                for part in slices(batch, text_at):
+                for part in slices(batch, text_at, TEXT_BYTES):
                     word, edges = tokens(part.column(text_at))
                     before = histories(word, edges)
                     pair = pair_keys(before, word)
