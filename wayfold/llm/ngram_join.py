@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm._base import in_arrow, slices, written
@@ -240,8 +240,8 @@ def links(docs: DataFrame, members: DataFrame, counts: np.ndarray, percent: int)
     """Verified pairs of classes that connect every component, and its components; no pair is lost between components."""
     lists = written(listed(postings(docs, counts, percent)), "lists")
     # shingles before the first that any other prefix has can't be shared, and no more of a prefix than are in lists
-    caps = lists.groupBy("class").agg(F.max(F.expr("n - pos + 1")).alias("cap"), F.count("*").alias("most"))
-    lists = lists.join(caps, "class")
+    own = Window.partitionBy("class")
+    lists = lists.withColumns({"cap": F.max(F.expr("n - pos + 1")).over(own), "most": F.count("*").over(own), "place": F.row_number().over(own.orderBy("pos"))})
     stars = (
         lists.where(F.col("class") != F.col("head")).where(promising(percent, "n", "head_n", "cap"))
         .groupBy(F.col("class").alias("a"), F.col("head").alias("b"))
@@ -254,18 +254,24 @@ def links(docs: DataFrame, members: DataFrame, counts: np.ndarray, percent: int)
     of_class, of_head = comps.select("class", F.col("comp").alias("own_comp")), comps.select(F.col("class").alias("head"), F.col("comp").alias("its_comp"))
     placed = (
         lists.join(of_class, "class", "left").join(of_head, "head", "left")
-        .select("tau", "class", "n", "pos", "l", "cap", "most", F.coalesce("own_comp", "class").alias("comp"), F.coalesce("its_comp", "head").alias("main"))
+        .select("tau", "class", "n", "pos", "l", "cap", "most", "place", F.coalesce("own_comp", "class").alias("comp"), F.coalesce("its_comp", "head").alias("main"))
     )
     placed = written(placed, "placed")
     a, b = placed.where("comp <> main").alias("a"), placed.alias("b")
-    across = (
+    need = required(percent, "a.n", "b.n", "a.l", "b.l")
+    # the first shared shingle has need - 1 more behind it in both prefixes: later places can't propose a pair
+    early = F.least(F.col("a.most") - F.col("a.place"), F.col("b.most") - F.col("b.place")) >= need - 1
+    proposed = written(
         a.join(b, (F.col("a.tau") == F.col("b.tau")) & (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.class") < F.col("b.class")))
-               & promising(percent, "a.n", "b.n", "least(a.cap, b.cap)") & (required(percent, "a.n", "b.n", "a.l", "b.l") <= F.least("a.most", "b.most")))
+               & promising(percent, "a.n", "b.n", "least(a.cap, b.cap)") & early)
         .select(F.least("a.class", "b.class").alias("a"), F.greatest("a.class", "b.class").alias("b"), F.col("a.n").alias("n"), F.col("b.n").alias("m"),
-                required(percent, "a.n", "b.n", "a.l", "b.l").alias("least"), F.expr("a.n - a.pos + 1").alias("left"), F.expr("b.n - b.pos + 1").alias("right"))
-        .groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.struct("n", "m", "least")).alias("s"), F.greatest(F.max("left"), F.max("right")).alias("bound"))
-        .where("shared >= s.least").where(promising(percent, "s.n", "s.m", "bound")).select("a", "b")
-    )
+                need.alias("least"), F.greatest(F.expr("a.n - a.pos + 1"), F.expr("b.n - b.pos + 1")).alias("left"))
+        .groupBy("a", "b").agg(F.first(F.struct("n", "m", "least")).alias("s"), F.max("left").alias("bound"))
+        .where(promising(percent, "s.n", "s.m", "bound")).select("a", "b", F.col("s.least").alias("least")), "proposed")
+    ends = proposed.select(F.col("a").alias("class")).union(proposed.select("b")).distinct()
+    prefixes = lists.join(ends, "class", "left_semi").groupBy("class").agg(F.collect_list("tau").alias("taus"))
+    left, right = prefixes.select(F.col("class").alias("a"), F.col("taus").alias("x")), prefixes.select(F.col("class").alias("b"), F.col("taus").alias("y"))
+    across = proposed.join(left, "a").join(right, "b").where(F.size(F.array_intersect("x", "y")) >= F.col("least")).select("a", "b")
     across = written(across.join(first, ["a", "b"], "left_anti"), "across")
     if not across.limit(1).count():
         return first, comps
