@@ -46,7 +46,7 @@ def to_hex(df: DataFrame, *columns: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def show(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: float(v).hex(), na_action="ignore")
+        return pd.Series([None if pd.isna(v) else float(v).hex() for v in s], dtype=object)
 
     return df.withColumns({c: show(F.col(c)) for c in columns})
 
