@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geometry
 from wayfold.operators import embedding, estimands, graphs, inference, routing, sampling, validation
+from wayfold.plans import queries
 
 
 def edge_table(spark, **named):
@@ -117,6 +118,13 @@ def test_generators():
         graphs.erdos_renyi(30, 0.0, 1, most=2)
 
 
+def test_whole_design_generated(spark):
+    made = queries.generated_graphs(spark, "").groupBy("graph_id").agg(F.count("*").alias("edges"), F.max("dst").alias("last"))
+    rows = {r.graph_id: r for r in sampling.schedule(spark).join(made, "graph_id", "left").collect()}
+    assert len(rows) == 360 and all(r.last == r.n - 1 for r in rows.values())
+    assert all(r.edges == r.m * (r.n - r.m) for r in rows.values() if r.model == "barabasi_albert")
+
+
 def test_embeddings():
     points = np.array([(0, 0), (0.2, 0), (0, 0.3), (-0.1, -0.15), (0.25, -0.2)])
     gap = 1 - (points**2).sum(axis=1)

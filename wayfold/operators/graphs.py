@@ -159,7 +159,9 @@ def generate(graphs: DataFrame) -> DataFrame:
                     edges = barabasi_albert(g.n, g.m, g.seed)
                 yield pd.DataFrame({"graph_id": g.graph_id, "src": edges.min(axis=1).astype(np.int64), "dst": edges.max(axis=1).astype(np.int64), "attempt": attempt})
 
-    return graphs.repartition("graph_id").mapInPandas(run, "graph_id string, src long, dst long, attempt int")
+    # a given number, as small rows that grow into graphs would be coalesced into one task
+    parts = int(graphs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return graphs.repartition(parts, "graph_id").mapInPandas(run, "graph_id string, src long, dst long, attempt int")
 
 
 def midrank(value: str, *by: str):

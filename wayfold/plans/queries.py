@@ -418,5 +418,5 @@ def bootstrap_stream(spark, sf_dir):
 
 @query()
 def generated_graphs(spark, sf_dir):
-    design = sampling.schedule(spark).where("n = 100 and replicate_index < 2").withColumn("seed", F.col("schedule_index") + 1)
+    design = sampling.schedule(spark).withColumn("seed", F.col("schedule_index") + 1)
     return graphs.generate(design.select("graph_id", "model", "n", "m", "seed"))
