@@ -155,6 +155,17 @@ def test_intervals_and_ranks(spark):
     assert r.association is None and r.na_reason == "zero_within_stratum_residual_variance_predictor"
 
 
+def test_whole_replicates(spark, small):
+    stream = queries.bootstrap_stream(spark, small).groupBy("model", "n", "m").agg(F.countDistinct("replicate").alias("replicates"), F.count("*").alias("draws"), F.max("drawn").alias("last"))
+    assert [(r.replicates, r.draws, r.last) for r in stream.collect()] == [(10_000, 200_000, 19)] * 18
+    p = [r.p for r in queries.permutation_associations(spark, small).collect() if r.p is not None]
+    assert p and all(abs(x * 10_001 - round(x * 10_001)) < 1e-6 for x in p)
+    _, boot = queries.bootstrapped(queries.Inputs(spark, small, full=True))
+    sizes = boot.groupBy("model", "condition_id").agg(F.countDistinct("replicate").alias("k")).collect()
+    assert len(sizes) == 16 and {r.k for r in sizes} == {10_000}
+    assert {"bootstrap_cells_full", "simultaneous_bands_full", "equivalence_labels_full"} <= set(queries.QUERIES)
+
+
 def test_ratio_and_marginals(spark):
     table = spark.createDataFrame([(1, 2), (1, 0), (1, None)], "a int, b int").select(geometry.ratio(F.col("a"), F.col("b")).alias("r")).select("r.*")
     assert [tuple(r) for r in table.collect()] == [(0.5, "defined", None), (None, "undefined", "undefined_zero_denominator"), (None, "not_applicable", "design_exclusion")]

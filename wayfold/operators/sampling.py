@@ -62,7 +62,8 @@ def bootstrap_draws(strata: DataFrame, replicates: int, person: bytes = b"boot-v
     """(stratum columns, replicate, position, drawn) by digest, from strata with a column graphs."""
     keys = [c for c in strata.columns if c != "graphs"]
     ship(strata.sparkSession)
-    spread = strata.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    parts = int(strata.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = strata.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition(parts, *keys, "replicate")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spread.schema if f.name != "graphs")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold._tables import written
 from wayfold.functions import geometry
 from wayfold.operators import embedding, estimands, graphs, inference, routing, sampling, validation
 from wayfold.plans import workload
@@ -16,12 +18,19 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 LIMIT, DRAWS = 64, 200
+#: Replicates of the whole job; DRAWS is what the SQL can check.
+WHOLE_DRAWS = 10_000
 
 
-def query(sql: str | None = None, alone: bool = False) -> Callable[[Query], Query]:
-    """Registers a query under its function's name; sql follows the workload's tables unless it stands alone."""
+def query(sql: str | None = None, alone: bool = False, full: bool = False) -> Callable[[Query], Query]:
+    """Registers a query under its function's name; sql follows the workload's tables unless it stands alone.
+
+    With full, NAME_full is the whole job by the same code, at sizes and with digest samplers that the SQL doesn't have.
+    """
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
+        if full:
+            QUERIES[f"{f.__name__}_full"] = partial(f, full=True)
         if sql:
             ORACLE_SQL[f.__name__] = sql if alone else f"{SQL} {sql}"
         return f
@@ -34,7 +43,8 @@ def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
 
 
 class Inputs:
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+    def __init__(self, spark: SparkSession, sf_dir: str, full: bool = False) -> None:
+        self.full = full
         self.base = workload.nodes(spark, sf_dir)
         self.edges = workload.edges(self.base)
         self.adjacent = graphs.adjacency(self.edges)
@@ -234,8 +244,10 @@ DRAW_INDEX = "(replicate * 31 + position * 17 + replicate * replicate * 7 + repl
 def bootstrapped(own: Inputs) -> tuple[DataFrame, DataFrame]:
     """Advantage of each graph, and its replicated means by model and condition."""
     rows = estimands.contrasts(own.graph_rows()).select("model", "condition_id", F.col("replicate").cast("int").alias("place"), (100 * F.col("advantage")).alias("value"))
+    if own.full:
+        rows = written(rows, "advantages")  # some rows, each a graph's routes
     strata = rows.groupBy("model").agg(F.countDistinct("place").cast("int").alias("graphs"))
-    drawn = inference.draws(strata, DRAWS, F.expr(DRAW_INDEX).cast("int"))
+    drawn = sampling.bootstrap_draws(strata, WHOLE_DRAWS) if own.full else inference.draws(strata, DRAWS, F.expr(DRAW_INDEX).cast("int"))
     return rows, inference.bootstrap(rows, ["model"], "value", drawn.select("model", "replicate", "position", "drawn"))
 
 
@@ -247,9 +259,9 @@ boot as (select v.model, v.condition_id, d.replicate, avg(v.value) as estimate f
 
 @query(f"""{BOOT} select model, condition_id, round(mean, 7) as mean, graphs, round(low, 7) as low, round(high, 7) as high from
   (select model, condition_id, avg(value) as mean, count(*) as graphs from vals group by all) join
-  (select model, condition_id, quantile_disc(estimate, 0.025) as low, quantile_disc(estimate, 0.975) as high from boot group by all) using (model, condition_id)""")
-def bootstrap_cells(spark, sf_dir):
-    rows, boot = bootstrapped(Inputs(spark, sf_dir))
+  (select model, condition_id, quantile_disc(estimate, 0.025) as low, quantile_disc(estimate, 0.975) as high from boot group by all) using (model, condition_id)""", full=True)
+def bootstrap_cells(spark, sf_dir, full=False):
+    rows, boot = bootstrapped(Inputs(spark, sf_dir, full))
     mean = rows.groupBy("model", "condition_id").agg(F.avg("value").alias("mean"), F.count("*").alias("graphs"))
     return rounded(mean.join(inference.percentile_interval(boot, ["model", "condition_id"]), ["model", "condition_id"]).select("model", "condition_id", "mean", "graphs", "low", "high"), 7)
 
@@ -257,9 +269,9 @@ def bootstrap_cells(spark, sf_dir):
 @query(f"""{BOOT}, point as (select model, condition_id, avg(value) as point from vals group by all),
   dev as (select model, replicate, max(abs(estimate - point)) as deviation from boot join point using (model, condition_id) group by all),
   crit as (select model, quantile_disc(deviation, 0.95) as critical from dev group by all)
-  select model, condition_id, round(point, 7) as point, round(critical, 7) as critical, round(point - critical, 7) as low, round(point + critical, 7) as high from point join crit using (model)""")
-def simultaneous_bands(spark, sf_dir):
-    rows, boot = bootstrapped(Inputs(spark, sf_dir))
+  select model, condition_id, round(point, 7) as point, round(critical, 7) as critical, round(point - critical, 7) as low, round(point + critical, 7) as high from point join crit using (model)""", full=True)
+def simultaneous_bands(spark, sf_dir, full=False):
+    rows, boot = bootstrapped(Inputs(spark, sf_dir, full))
     point = rows.groupBy("model", "condition_id").agg(F.avg("value").alias("point"))
     return rounded(inference.simultaneous_bands(point, boot.select("model", "condition_id", "replicate", "estimate"), ["model"], "condition_id"), 7)
 
@@ -281,9 +293,9 @@ def marginal_means(spark, sf_dir):
 
 @query(f"""{BOOT} select model, condition_id, round(low, 7) as low, round(high, 7) as high, low >= -5 and high <= 5 as within_margin, low > 0 as positive, high < 0 as negative, low > 5 as above_margin, high < -5 as below_margin,
   case when low >= -5 and high <= 5 then 'practically_equivalent' when low > 0 then 'positive' when high < 0 then 'negative' else 'unresolved' end as label
-  from (select model, condition_id, quantile_disc(estimate, 0.025) as low, quantile_disc(estimate, 0.975) as high from boot group by all)""")
-def equivalence_labels(spark, sf_dir):
-    _, boot = bootstrapped(Inputs(spark, sf_dir))
+  from (select model, condition_id, quantile_disc(estimate, 0.025) as low, quantile_disc(estimate, 0.975) as high from boot group by all)""", full=True)
+def equivalence_labels(spark, sf_dir, full=False):
+    _, boot = bootstrapped(Inputs(spark, sf_dir, full))
     low, high = F.col("low"), F.col("high")
     interval = inference.percentile_interval(boot, ["model", "condition_id"])
     return rounded(interval.select("model", "condition_id", "low", "high", *geometry.interval_status(low, high, 5.0), geometry.interval_label(low, high, 5.0).alias("label")), 7)
@@ -318,7 +330,7 @@ def permutation_associations(spark, sf_dir):
     own = Inputs(spark, sf_dir)
     degree = graphs.degrees(own.edges).groupBy("graph_id").agg(F.max("degree").cast("double").alias("x"))
     values = own.graph_rows().join(degree, "graph_id").select(F.lit("success").alias("family"), "condition_id", "model", "x", (F.col("poincare") / F.col("pair_count")).alias("y"))
-    return inference.permutation_associations(values, ["family"], "condition_id", "x", "y", "model")
+    return inference.permutation_associations(values, ["family"], "condition_id", "x", "y", "model", WHOLE_DRAWS)
 
 
 @query("""select rule, violations from (values ('walk_edge_missing', 0::bigint), ('length_mismatch', 0), ('wrong_start', 0), ('success_elsewhere', 0), ('failed_at_destination', 0), ('failure_unlabelled', 0), ('ordinary_revisit', 0), ('duplicate_key', 0)) v(rule, violations)""", alone=True)
@@ -413,7 +425,7 @@ def sampled_pairs(spark, sf_dir):
 @query()
 def bootstrap_stream(spark, sf_dir):
     strata = sampling.schedule(spark).select("model", "n", "m").distinct().withColumn("graphs", F.lit(20))
-    return sampling.bootstrap_draws(strata, 20)
+    return sampling.bootstrap_draws(strata, WHOLE_DRAWS)
 
 
 @query()
