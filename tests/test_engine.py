@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfold.functions import geometry
-from wayfold.operators import embedding, estimands, graphs, inference, routing, sampling, validation
+from wayfold.operators import embedding, estimands, graphs, inference, routing, sampling, validation, walking
 from wayfold.plans import queries
 
 
@@ -110,6 +110,40 @@ def test_routes_match_state_machine(spark, protocol):
             assert (r.walk, r.failure) == walked(adj, xy, s, t, metric, 1e-12, protocol)
 
 
+def walk_all(spark, edges, coords, pairs, protocol):
+    table = spark.createDataFrame([("g", k, s, t) for k, (s, t) in enumerate(pairs)], "graph_id string, pair_index int, source long, destination long")
+    return walking.walks(table, graphs.adjacency(edge_table(spark, g=edges)), coord_table(spark, g=coords), protocol)
+
+
+@pytest.mark.parametrize("protocol", ["i1", "i2"])
+def test_walks_match_decision_table(spark, protocol):
+    rng = random.Random(4)
+    edges = graphs.barabasi_albert(40, 2, 5).tolist()
+    xy = [(rng.uniform(-0.6, 0.6), rng.uniform(-0.6, 0.6)) for _ in range(40)]
+    pairs = [(s, t) for s in range(0, 40, 3) for t in range(1, 40, 5) if s != t]
+    walked = walk_all(spark, edges, xy, pairs, protocol).cache()
+    counted = ["decisions"] if protocol == "i1" else []
+    for metric in ("euclidean", "poincare"):
+        for repair, own in ((False, walking.ordinary(walked)), (True, walking.repaired(walked))):
+            mine = sorted(own.where(F.col("metric") == metric).collect(), key=lambda r: r.pair_index)
+            keep = [c for c in own.columns if c not in ("decisions",)] + counted
+            assert [[r[c] for c in keep] for r in mine] == [[r[c] for c in keep] for r in route(spark, edges, xy, pairs, metric, protocol, repair=repair)]
+
+
+def test_keyed_ties(spark):
+    edges, xy = [(0, 1), (0, 2), (1, 3), (2, 3)], [(-0.5, 0), (0, 0.2), (0, -0.2), (0.5, 0)]
+    for order in (edges, edges[::-1]):
+        rows = walking.ordinary(walk_all(spark, order, xy, [(0, 3)] * 40, "i2")).collect()
+        for r in rows:
+            rank = walking.priority(walking.priority_key("g", ""), "g", r.pair_index, 0, 3)
+            assert r.walk == [0, min((1, 2), key=lambda k: rank(0, k)), 3] and r.success
+        assert {r.walk[1] for r in rows} == {1, 2}
+    # repair: back to 0, whose tied alternatives are 2 and 3
+    edges, xy = [(0, 4), (4, 1), (4, 2), (4, 3), (2, 5), (3, 5)], [(-0.8, 0), (0.3, 0), (-0.2, 0.3), (-0.2, -0.3), (-0.5, 0), (0.8, 0)]
+    rows = walking.repaired(walk_all(spark, edges, xy, [(0, 5)] * 40, "i2")).collect()
+    assert {tuple(r.walk) for r in rows} == {(0, 4, 1, 4, 2, 5), (0, 4, 1, 4, 3, 5)} and all(r.success for r in rows)
+
+
 def test_generators():
     assert len(graphs.barabasi_albert(30, 3, 1)) == 3 * 27
     edges, attempt = graphs.erdos_renyi(30, 0.2, 1)

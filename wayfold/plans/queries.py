@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfold._tables import written
 from wayfold.functions import geometry
-from wayfold.operators import embedding, estimands, graphs, inference, routing, sampling, validation
+from wayfold.operators import embedding, estimands, graphs, inference, routing, sampling, validation, walking
 from wayfold.plans import workload
 from wayfold.plans.workload import SQL
 
@@ -50,15 +50,29 @@ class Inputs:
         self.adjacent = graphs.adjacency(self.edges)
         self.coords = workload.coords(self.base)
         self.pairs = workload.pairs(self.base)
+        self.walked: dict[str, DataFrame] = {}
+
+    def walks(self, protocol: str) -> DataFrame:
+        """Routes of the whole job, walked once."""
+        if protocol not in self.walked:
+            self.walked[protocol] = written(walking.walks(self.pairs, self.adjacent, self.coords, protocol, workload.TOLERANCE), "walks")
+        return self.walked[protocol]
+
+    def repaired(self, protocol: str = "i1", plain: DataFrame | None = None) -> DataFrame:
+        if self.full:
+            return walking.repaired(self.walks(protocol))
+        return routing.repaired(plain or self.ordinary(protocol), LIMIT, protocol)
 
     def ordinary(self, protocol: str = "i1") -> DataFrame:
+        if self.full:
+            return walking.ordinary(self.walks(protocol))
         place = self.coords.select("graph_id", "condition_id", "node", "x", "y")
         decided = routing.decisions(self.adjacent, place, workload.destinations(self.pairs, self.coords), protocol)
         return routing.routes(self.pairs, decided, LIMIT, protocol)
 
     def methods(self) -> DataFrame:
         plain = self.ordinary()
-        both = estimands.methods(plain, routing.repaired(plain, LIMIT))
+        both = estimands.methods(plain, self.repaired(plain=plain))
         short = graphs.all_pairs(self.edges).select("graph_id", F.col("u").alias("source"), F.col("v").alias("destination"), F.col("d").alias("shortest"))
         return both.join(short, ["graph_id", "source", "destination"])
 
@@ -66,7 +80,7 @@ class Inputs:
         """With model and replicate, taken from the graph's number."""
         number = F.substring("graph_id", -1, 1).cast("int")
         plain = self.ordinary()
-        rows = estimands.graph_rows(estimands.methods(plain, routing.repaired(plain, LIMIT)))
+        rows = estimands.graph_rows(estimands.methods(plain, self.repaired(plain=plain)))
         return rows.withColumn("model", F.when(number < 5, "erdos_renyi").otherwise("barabasi_albert")).withColumn("replicate", number % 5)
 
 
@@ -161,14 +175,14 @@ def repaired_routes_i1(spark, sf_dir):
     return out.select("graph_id", "pair_index", "condition_id", "metric", joined("walk").alias("walk"), "hops", "decisions", "success", "backtrackable", "attempted", "alternative_existed", "initial_failure", "final_failure")
 
 
-@query(f"select graph_id, pair_index, source, destination, condition_id, metric, {WALK}, success, failure from route2")
-def greedy_routes_i2(spark, sf_dir):
-    return Inputs(spark, sf_dir).ordinary("i2").select("graph_id", "pair_index", "source", "destination", "condition_id", "metric", joined("walk").alias("walk"), "hops", "success", "failure")
+@query(f"select graph_id, pair_index, source, destination, condition_id, metric, {WALK}, success, failure from route2", full=True)
+def greedy_routes_i2(spark, sf_dir, full=False):
+    return Inputs(spark, sf_dir, full).ordinary("i2").select("graph_id", "pair_index", "source", "destination", "condition_id", "metric", joined("walk").alias("walk"), "hops", "success", "failure")
 
 
 @query()
 def repaired_routes_i2(spark, sf_dir):
-    out = routing.repaired(Inputs(spark, sf_dir).ordinary("i2"), LIMIT, "i2")
+    out = Inputs(spark, sf_dir, full=True).repaired("i2")
     return out.select("graph_id", "pair_index", "condition_id", "metric", joined("walk").alias("walk"), "hops", "success", "backtrackable", "attempted", "alternative_existed", "initial_failure", "final_failure")
 
 
