@@ -200,6 +200,20 @@ def test_whole_replicates(spark, small):
     assert {"bootstrap_cells_full", "simultaneous_bands_full", "equivalence_labels_full"} <= set(queries.QUERIES)
 
 
+def test_whole_pairs(spark, small):
+    n = {r.graph_id: r.n for r in queries.workload.nodes(spark, small).select("graph_id", "n").distinct().collect()}
+    for name in ("sampled_pairs", "route_pairs_full"):
+        found = queries.QUERIES[name](spark, small).groupBy("graph_id").agg(F.count("*").alias("k"), F.countDistinct("source", "destination").alias("distinct")).collect()
+        assert {r.graph_id: (r.k, r.distinct) for r in found} == {g: (min(1000, k * (k - 1)),) * 2 for g, k in n.items()}
+    for name in ("success_estimands_full", "repaired_routes_i2"):
+        rows = queries.QUERIES[name](spark, small)
+        counted = rows.select("graph_id", "pair_count") if "pair_count" in rows.columns else rows.groupBy("graph_id", "condition_id", "metric").agg(F.count("*").alias("pair_count"))
+        assert {(r.graph_id, r.pair_count) for r in counted.collect()} == {(g, min(1000, k * (k - 1))) for g, k in n.items()}
+    assert all(r.violations == 0 for r in queries.QUERIES["route_violations_full"](spark, small).collect())
+    routed = [q for q in queries.QUERIES if q.endswith("_full")]
+    assert len(routed) == 20
+
+
 def test_ratio_and_marginals(spark):
     table = spark.createDataFrame([(1, 2), (1, 0), (1, None)], "a int, b int").select(geometry.ratio(F.col("a"), F.col("b")).alias("r")).select("r.*")
     assert [tuple(r) for r in table.collect()] == [(0.5, "defined", None), (None, "undefined", "undefined_zero_denominator"), (None, "not_applicable", "design_exclusion")]

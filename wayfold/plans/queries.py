@@ -20,6 +20,8 @@ ORACLE_SQL: dict[str, str] = {}
 LIMIT, DRAWS = 64, 200
 #: Replicates of the whole job; DRAWS is what the SQL can check.
 WHOLE_DRAWS = 10_000
+#: Pairs of the whole job for each graph, all ordered pairs where there are fewer; workload.PAIRS is what the SQL can check.
+WHOLE_PAIRS, PAIR_SEED = 1_000, 41_000_003
 
 
 def query(sql: str | None = None, alone: bool = False, full: bool = False) -> Callable[[Query], Query]:
@@ -42,6 +44,12 @@ def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def whole_pairs(base: DataFrame) -> DataFrame:
+    """Distinct by digest; the arithmetic of workload.pairs repeats itself after n pairs."""
+    size = base.groupBy("graph_id").agg(F.first("n").alias("n")).where("n >= 2")
+    return sampling.sample_pairs(size.withColumn("seed", F.lit(PAIR_SEED)), WHOLE_PAIRS)
+
+
 class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str, full: bool = False) -> None:
         self.full = full
@@ -49,7 +57,7 @@ class Inputs:
         self.edges = workload.edges(self.base)
         self.adjacent = graphs.adjacency(self.edges)
         self.coords = workload.coords(self.base)
-        self.pairs = workload.pairs(self.base)
+        self.pairs = whole_pairs(self.base) if full else workload.pairs(self.base)
         self.walked: dict[str, DataFrame] = {}
 
     def walks(self, protocol: str) -> DataFrame:
@@ -156,22 +164,22 @@ def distortion_absolute(spark, sf_dir):
     return rounded(embedding.distortion_absolute(embedding.node_pairs(graphs.all_pairs(own.edges), own.coords)), 7)
 
 
-@query("select graph_id, pair_index, source, destination from pairs")
-def route_pairs(spark, sf_dir):
-    return Inputs(spark, sf_dir).pairs
+@query("select graph_id, pair_index, source, destination from pairs", full=True)
+def route_pairs(spark, sf_dir, full=False):
+    return Inputs(spark, sf_dir, full).pairs
 
 
 WALK = "array_to_string(walk, ',') as walk, hops::int as hops"
 
 
-@query(f"select graph_id, pair_index, source, destination, condition_id, metric, {WALK}, decisions::int as decisions, success, failure from route1")
-def greedy_routes_i1(spark, sf_dir):
-    return Inputs(spark, sf_dir).ordinary().select("graph_id", "pair_index", "source", "destination", "condition_id", "metric", joined("walk").alias("walk"), "hops", "decisions", "success", "failure")
+@query(f"select graph_id, pair_index, source, destination, condition_id, metric, {WALK}, decisions::int as decisions, success, failure from route1", full=True)
+def greedy_routes_i1(spark, sf_dir, full=False):
+    return Inputs(spark, sf_dir, full).ordinary().select("graph_id", "pair_index", "source", "destination", "condition_id", "metric", joined("walk").alias("walk"), "hops", "decisions", "success", "failure")
 
 
-@query(f"select graph_id, pair_index, condition_id, metric, {WALK}, decisions::int as decisions, final_failure is null as success, backtrackable, attempted, alternative_existed, initial_failure, final_failure from repair1")
-def repaired_routes_i1(spark, sf_dir):
-    out = routing.repaired(Inputs(spark, sf_dir).ordinary(), LIMIT)
+@query(f"select graph_id, pair_index, condition_id, metric, {WALK}, decisions::int as decisions, final_failure is null as success, backtrackable, attempted, alternative_existed, initial_failure, final_failure from repair1", full=True)
+def repaired_routes_i1(spark, sf_dir, full=False):
+    out = Inputs(spark, sf_dir, full).repaired()
     return out.select("graph_id", "pair_index", "condition_id", "metric", joined("walk").alias("walk"), "hops", "decisions", "success", "backtrackable", "attempted", "alternative_existed", "initial_failure", "final_failure")
 
 
@@ -188,19 +196,20 @@ def repaired_routes_i2(spark, sf_dir):
 
 @query("""select graph_id, condition_id, euclidean, poincare, repaired, pair_count, round((poincare - euclidean) / pair_count, 8) as advantage, round((repaired - poincare) / pair_count, 8) as improvement,
   round(case when pair_count > poincare then (repaired - poincare) / (pair_count - poincare) end, 8) as recovery, case when pair_count > poincare then 'defined' else 'undefined' end as recovery_status from
-  (select graph_id, condition_id, euclidean, poincare, repaired, pair_count from graph_rows)""")
-def success_estimands(spark, sf_dir):
-    rows = Inputs(spark, sf_dir).graph_rows().drop("model", "replicate")
+  (select graph_id, condition_id, euclidean, poincare, repaired, pair_count from graph_rows)""", full=True)
+def success_estimands(spark, sf_dir, full=False):
+    rows = Inputs(spark, sf_dir, full).graph_rows().drop("model", "replicate")
     return rounded(estimands.contrasts(rows)).select("graph_id", "condition_id", "euclidean", "poincare", "repaired", "pair_count", "advantage", "improvement", "recovery", "recovery_status")
 
 
 @query("""select graph_id, condition_id, failures, backtrackable, alternatives, recovered, round(recovered / nullif(failures, 0), 8) as of_failures, round(recovered / nullif(backtrackable, 0), 8) as of_backtrackable, round(recovered / nullif(alternatives, 0), 8) as of_alternatives,
   round(backtrackable / nullif(failures, 0), 8) as can_backtrack, round(alternatives / nullif(backtrackable, 0), 8) as has_alternative from (
   select graph_id, condition_id, count(*) filter (initial_failure is not null) as failures, count(*) filter (backtrackable) as backtrackable, count(*) filter (alternative_existed) as alternatives, count(*) filter (initial_failure is not null and final_failure is null) as recovered
-  from repair1 where metric = 'poincare' group by all)""")
-def repair_estimands(spark, sf_dir):
-    plain = Inputs(spark, sf_dir).ordinary()
-    return rounded(estimands.repair_ratios(plain, routing.repaired(plain, LIMIT)))
+  from repair1 where metric = 'poincare' group by all)""", full=True)
+def repair_estimands(spark, sf_dir, full=False):
+    own = Inputs(spark, sf_dir, full)
+    plain = own.ordinary()
+    return rounded(estimands.repair_ratios(plain, own.repaired(plain=plain)))
 
 
 @query(f"""select c.condition_id, c.method, c.stage, f.failure, coalesce(x.routes, 0) as routes, round(coalesce(x.routes, 0) / c.all_routes, 8) as unconditional, round(coalesce(x.routes, 0) / nullif(c.failed, 0), 8) as conditional
@@ -209,30 +218,31 @@ def repair_estimands(spark, sf_dir):
   cross join (values {', '.join(f"('{f}')" for f in estimands.FAILURES)}) f(failure)
   left join (select condition_id, method, stage, failure, count(*) as routes from
          (select condition_id, method, 'initial' as stage, initial_failure as failure from method union all select condition_id, method, 'final', final_failure from method) group by all) x
-    on x.condition_id = c.condition_id and x.method = c.method and x.stage = c.stage and x.failure = f.failure""")
-def failure_summary(spark, sf_dir):
-    plain = Inputs(spark, sf_dir).ordinary()
-    return rounded(estimands.failure_summary(estimands.methods(plain, routing.repaired(plain, LIMIT))))
+    on x.condition_id = c.condition_id and x.method = c.method and x.stage = c.stage and x.failure = f.failure""", full=True)
+def failure_summary(spark, sf_dir, full=False):
+    own = Inputs(spark, sf_dir, full)
+    plain = own.ordinary()
+    return rounded(estimands.failure_summary(estimands.methods(plain, own.repaired(plain=plain))))
 
 
 @query("""select condition_id, method, round(avg(a), 8) as stretch, count(a) as graphs, round(avg(c), 8) as common_stretch, count(c) as common_graphs from (
   select m.graph_id, m.condition_id, m.method, avg(hops / shortest) filter (success) as a, avg(hops / shortest) filter (success and b.both_ok = 2) as c from method m
-  left join (select graph_id, condition_id, pair_index, count(*) as both_ok from method where method in ('euclidean', 'poincare') and success group by all) b using (graph_id, condition_id, pair_index) group by all) group by all""")
-def stretch_summary(spark, sf_dir):
-    return rounded(estimands.stretch_summary(Inputs(spark, sf_dir).methods()))
+  left join (select graph_id, condition_id, pair_index, count(*) as both_ok from method where method in ('euclidean', 'poincare') and success group by all) b using (graph_id, condition_id, pair_index) group by all) group by all""", full=True)
+def stretch_summary(spark, sf_dir, full=False):
+    return rounded(estimands.stretch_summary(Inputs(spark, sf_dir, full).methods()))
 
 
 @query("""select d.condition_id, d.method, b.band, coalesce(x.routes, 0) as routes, coalesce(x.successes, 0) as successes, round(x.stretch, 8) as stretch
   from (select distinct condition_id, method from method) d cross join (values ('1'), ('2'), ('3'), ('4'), ('>=5')) b(band)
   left join (select condition_id, method, case when shortest <= 4 then shortest::varchar else '>=5' end as band, count(*) as routes, count(*) filter (success) as successes, avg(hops / shortest) filter (success) as stretch from method group by all) x
-    on x.condition_id = d.condition_id and x.method = d.method and x.band = b.band""")
-def distance_bands(spark, sf_dir):
-    return rounded(estimands.band_summary(Inputs(spark, sf_dir).methods()))
+    on x.condition_id = d.condition_id and x.method = d.method and x.band = b.band""", full=True)
+def distance_bands(spark, sf_dir, full=False):
+    return rounded(estimands.band_summary(Inputs(spark, sf_dir, full).methods()))
 
 
-@query("""select condition_id, method, sum(hops)::bigint as hops_sum, round(avg(hops), 8) as hops_mean, max(hops)::int as hops_max, sum(decisions)::bigint as decisions_sum, round(avg(decisions), 8) as decisions_mean, max(decisions)::int as decisions_max from method group by all""")
-def resource_summary(spark, sf_dir):
-    return rounded(estimands.resource_summary(Inputs(spark, sf_dir).methods()))
+@query("""select condition_id, method, sum(hops)::bigint as hops_sum, round(avg(hops), 8) as hops_mean, max(hops)::int as hops_max, sum(decisions)::bigint as decisions_sum, round(avg(decisions), 8) as decisions_mean, max(decisions)::int as decisions_max from method group by all""", full=True)
+def resource_summary(spark, sf_dir, full=False):
+    return rounded(estimands.resource_summary(Inputs(spark, sf_dir, full).methods()))
 
 
 INTERACTIONS = """, inter as (
@@ -240,15 +250,15 @@ INTERACTIONS = """, inter as (
   from graph_rows h join graph_rows m on m.graph_id = h.graph_id and split_part(m.condition_id, '_', 2) = split_part(h.condition_id, '_', 2) and m.condition_id like 'mds%' where h.condition_id like 'hydra%')"""
 
 
-@query(f"{INTERACTIONS} select graph_id, radius, round(interaction, 8) as interaction from inter")
-def family_interactions(spark, sf_dir):
-    return rounded(estimands.interactions(Inputs(spark, sf_dir).graph_rows()))
+@query(f"{INTERACTIONS} select graph_id, radius, round(interaction, 8) as interaction from inter", full=True)
+def family_interactions(spark, sf_dir, full=False):
+    return rounded(estimands.interactions(Inputs(spark, sf_dir, full).graph_rows()))
 
 
 @query("""select h.graph_id, split_part(h.condition_id, '_', 2) as radius, round(h.poincare / h.pair_count - m.euclidean / m.pair_count, 8) as difference
-  from graph_rows h join graph_rows m on m.graph_id = h.graph_id and split_part(m.condition_id, '_', 2) = split_part(h.condition_id, '_', 2) and m.condition_id like 'mds%' where h.condition_id like 'hydra%'""")
-def complete_system(spark, sf_dir):
-    return rounded(estimands.complete_system(Inputs(spark, sf_dir).graph_rows()))
+  from graph_rows h join graph_rows m on m.graph_id = h.graph_id and split_part(m.condition_id, '_', 2) = split_part(h.condition_id, '_', 2) and m.condition_id like 'mds%' where h.condition_id like 'hydra%'""", full=True)
+def complete_system(spark, sf_dir, full=False):
+    return rounded(estimands.complete_system(Inputs(spark, sf_dir, full).graph_rows()))
 
 
 #: An arithmetic stand-in for the digest stream, the same in both engines.
@@ -290,17 +300,17 @@ def simultaneous_bands(spark, sf_dir, full=False):
     return rounded(inference.simultaneous_bands(point, boot.select("model", "condition_id", "replicate", "estimate"), ["model"], "condition_id"), 7)
 
 
-@query(f"""{BOOT} select condition_id, round(avg(value) filter (model = 'barabasi_albert') - avg(value) filter (model = 'erdos_renyi'), 7) as contrast from vals group by all""")
-def model_contrasts(spark, sf_dir):
-    rows, _ = bootstrapped(Inputs(spark, sf_dir))
+@query(f"""{BOOT} select condition_id, round(avg(value) filter (model = 'barabasi_albert') - avg(value) filter (model = 'erdos_renyi'), 7) as contrast from vals group by all""", full=True)
+def model_contrasts(spark, sf_dir, full=False):
+    rows, _ = bootstrapped(Inputs(spark, sf_dir, full))
     of = lambda m: F.avg(F.when(F.col("model") == m, F.col("value")))
     return rounded(rows.groupBy("condition_id").agg((of("barabasi_albert") - of("erdos_renyi")).alias("contrast")), 7)
 
 
 @query(f"""{BOOT}, cells as (select model, split_part(condition_id, '_', 1) as family, split_part(condition_id, '_', 2) as radius, avg(value) as value from vals group by all)
-  select model, family, radius, round(avg(value), 7) as mean, count(*) as strata from cells group by grouping sets ((model, family), (model, radius), (model), ())""")
-def marginal_means(spark, sf_dir):
-    rows, _ = bootstrapped(Inputs(spark, sf_dir))
+  select model, family, radius, round(avg(value), 7) as mean, count(*) as strata from cells group by grouping sets ((model, family), (model, radius), (model), ())""", full=True)
+def marginal_means(spark, sf_dir, full=False):
+    rows, _ = bootstrapped(Inputs(spark, sf_dir, full))
     cells = rows.groupBy("model", F.split("condition_id", "_")[0].alias("family"), F.split("condition_id", "_")[1].alias("radius")).agg(F.avg("value").alias("value"))
     return rounded(estimands.marginals(cells, [["model", "family"], ["model", "radius"], ["model"], []], "value").select("model", "family", "radius", "mean", "strata"), 7)
 
@@ -323,33 +333,33 @@ vals as (select g.model, g.condition_id, p.mean_degree as x, g.poincare / g.pair
     rank() over (partition by condition_id, model order by y) + (count(*) over (partition by condition_id, model, y) - 1) / 2.0::double as ry from vals),
   rest as (select condition_id, rx - avg(rx) over w as rx, ry - avg(ry) over w as ry from ranked window w as (partition by condition_id, model))
   select condition_id, round(sum(rx * ry) / nullif(sqrt(sum(rx * rx) * sum(ry * ry)), 0), 7) as association,
-    case when sqrt(sum(rx * rx)) <= 1e-12 then 'zero_within_stratum_residual_variance_predictor' when sqrt(sum(ry * ry)) <= 1e-12 then 'zero_within_stratum_residual_variance_outcome' end as na_reason from rest group by all""")
-def rank_associations(spark, sf_dir):
-    own = Inputs(spark, sf_dir)
+    case when sqrt(sum(rx * rx)) <= 1e-12 then 'zero_within_stratum_residual_variance_predictor' when sqrt(sum(ry * ry)) <= 1e-12 then 'zero_within_stratum_residual_variance_outcome' end as na_reason from rest group by all""", full=True)
+def rank_associations(spark, sf_dir, full=False):
+    own = Inputs(spark, sf_dir, full)
     degree = graphs.degrees(own.edges).groupBy("graph_id").agg(F.avg("degree").alias("x"))
     values = own.graph_rows().join(degree, "graph_id").select("model", "condition_id", "x", (F.col("poincare") / F.col("pair_count")).alias("y"))
     return rounded(inference.rank_association(values, "x", "y", ["condition_id"], ["model"], within=True), 7)
 
 
 @query(f"""{INTERACTIONS} select model, radius, graphs::int as graphs, round(v, 7) as variance, round(2 * 1.959963984540054 * sqrt(v / graphs), 7) as full_width from
-  (select model, radius, var_samp(interaction) as v from inter group by all), (values (20), (30), (40), (50)) c(graphs)""")
-def projected_precision(spark, sf_dir):
-    rows = Inputs(spark, sf_dir).graph_rows()
+  (select model, radius, var_samp(interaction) as v from inter group by all), (values (20), (30), (40), (50)) c(graphs)""", full=True)
+def projected_precision(spark, sf_dir, full=False):
+    rows = Inputs(spark, sf_dir, full).graph_rows()
     values = estimands.interactions(rows).join(rows.select("graph_id", "model").distinct(), "graph_id")
     return rounded(inference.projected_precision(values, ["model", "radius"], "interaction").select("model", "radius", "graphs", "variance", "full_width"), 7)
 
 
 @query()
 def permutation_associations(spark, sf_dir):
-    own = Inputs(spark, sf_dir)
+    own = Inputs(spark, sf_dir, full=True)
     degree = graphs.degrees(own.edges).groupBy("graph_id").agg(F.max("degree").cast("double").alias("x"))
     values = own.graph_rows().join(degree, "graph_id").select(F.lit("success").alias("family"), "condition_id", "model", "x", (F.col("poincare") / F.col("pair_count")).alias("y"))
     return inference.permutation_associations(values, ["family"], "condition_id", "x", "y", "model", WHOLE_DRAWS)
 
 
-@query("""select rule, violations from (values ('walk_edge_missing', 0::bigint), ('length_mismatch', 0), ('wrong_start', 0), ('success_elsewhere', 0), ('failed_at_destination', 0), ('failure_unlabelled', 0), ('ordinary_revisit', 0), ('duplicate_key', 0)) v(rule, violations)""", alone=True)
-def route_violations(spark, sf_dir):
-    own = Inputs(spark, sf_dir)
+@query("""select rule, violations from (values ('walk_edge_missing', 0::bigint), ('length_mismatch', 0), ('wrong_start', 0), ('success_elsewhere', 0), ('failed_at_destination', 0), ('failure_unlabelled', 0), ('ordinary_revisit', 0), ('duplicate_key', 0)) v(rule, violations)""", alone=True, full=True)
+def route_violations(spark, sf_dir, full=False):
+    own = Inputs(spark, sf_dir, full)
     return validation.violations(own.ordinary(), own.adjacent)
 
 
@@ -432,8 +442,7 @@ def native_embeddings(spark, sf_dir):
 
 @query()
 def sampled_pairs(spark, sf_dir):
-    base = workload.nodes(spark, sf_dir).groupBy("graph_id").agg(F.first("n").alias("n")).withColumn("seed", F.lit(41_000_003))
-    return sampling.sample_pairs(base, 50)
+    return whole_pairs(workload.nodes(spark, sf_dir))
 
 
 @query()
