@@ -144,6 +144,17 @@ def test_keyed_ties(spark):
     assert {tuple(r.walk) for r in rows} == {(0, 4, 1, 4, 2, 5), (0, 4, 1, 4, 3, 5)} and all(r.success for r in rows)
 
 
+@pytest.mark.parametrize("full", [False, True])
+def test_long_walks(spark, full):
+    own = object.__new__(queries.Inputs)
+    own.full, own.walked, n = full, {}, 150
+    own.adjacent = graphs.adjacency(edge_table(spark, g=[(k, k + 1) for k in range(n - 1)]))
+    own.coords = coord_table(spark, g=[(-0.9 + 1.8 * k / n, 0) for k in range(n)])
+    own.pairs = spark.createDataFrame([("g", 0, 0, n - 1)], "graph_id string, pair_index int, source long, destination long")
+    for rows in (own.ordinary(), own.repaired()):
+        assert [(r.walk, r.success) for r in rows.collect()] == [(list(range(n)), True)] * 2
+
+
 def test_generators():
     assert len(graphs.barabasi_albert(30, 3, 1)) == 3 * 27
     edges, attempt = graphs.erdos_renyi(30, 0.2, 1)

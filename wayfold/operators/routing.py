@@ -65,11 +65,18 @@ def tables(decided: DataFrame) -> DataFrame:
     return decided.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("node", "best", "moves", "d_node", "options"))).alias("by_node"), F.first("tolerance").alias("tolerance"))
 
 
+#: Steps of a fold that are taken before it is asked whether the walk has ended.
+STEPS = 16
+
+
 def follow(by_node: Column, destination: Column, start: Column, limit: Column) -> Column:
-    """From the walk start: (walk, failure, decisions).  The walk goes on until the destination, a revisit or a local minimum."""
+    """From the walk start: (walk, failure, decisions).  The walk goes on until the destination, a revisit or a local minimum, for limit decisions at most."""
     none = F.lit(None).cast("string")
     begin = F.struct(start.alias("walk"), none.alias("failure"), F.lit(0).alias("decisions"))
 
+    def ended(state: Column) -> Column:
+        return (F.element_at(state["walk"], -1) == destination) | state["failure"].isNotNull() | (state["decisions"] >= limit)
+
     def step(state: Column, _: Column) -> Column:
         walk = state["walk"]
         at = F.element_at(walk, -1)
@@ -78,12 +85,15 @@ def follow(by_node: Column, destination: Column, start: Column, limit: Column) -
         failure = F.when(revisit, "attempted_revisit").when(~here["moves"], "local_minimum")
         moved = F.struct(
             F.when(failure.isNull(), F.concat(walk, F.array(here["best"]))).otherwise(walk).alias("walk"), failure.alias("failure"), (state["decisions"] + 1).alias("decisions"))
-        return F.when((at == destination) | state["failure"].isNotNull(), state).otherwise(moved)
+        return F.when(ended(state), state).otherwise(moved)
+
+    def steps(state: Column, _: Column) -> Column:
+        return F.when(ended(state), state).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), state, step))
 
-    return F.aggregate(F.sequence(F.lit(1), limit), begin, step)
+    return F.aggregate(F.sequence(F.lit(1), F.ceil(limit / STEPS).cast("int")), begin, steps)
 
 
-def routes(pairs: DataFrame, decided: DataFrame, limit: int, protocol: str = "i1") -> DataFrame:
+def routes(pairs: DataFrame, decided: DataFrame, limit: int | Column, protocol: str = "i1") -> DataFrame:
     """Ordinary routes of pairs (graph_id, pair_index, source, destination) under every condition and metric.
 
     Returns the pair with condition_id, metric, walk, hops, decisions, success
@@ -99,7 +109,7 @@ def routes(pairs: DataFrame, decided: DataFrame, limit: int, protocol: str = "i1
                       F.col("r.decisions").alias("decisions"), (F.element_at("r.walk", -1) == F.col("destination")).alias("success"), order.alias("failure"), "by_node", "tolerance")
 
 
-def repaired(ordinary: DataFrame, limit: int, protocol: str = "i1") -> DataFrame:
+def repaired(ordinary: DataFrame, limit: int | Column, protocol: str = "i1") -> DataFrame:
     """One repair of each failed route: back one edge, the best unexplored alternative without a progress test, then on as before.
 
     Adds backtrackable, attempted, alternative_existed, initial_failure and

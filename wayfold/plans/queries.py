@@ -17,7 +17,7 @@ from wayfold.plans.workload import SQL
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-LIMIT, DRAWS = 64, 200
+DRAWS = 200
 #: Replicates of the whole job; DRAWS is what the SQL can check.
 WHOLE_DRAWS = 10_000
 #: Pairs of the whole job for each graph, all ordered pairs where there are fewer; workload.PAIRS is what the SQL can check.
@@ -69,14 +69,14 @@ class Inputs:
     def repaired(self, protocol: str = "i1", plain: DataFrame | None = None) -> DataFrame:
         if self.full:
             return walking.repaired(self.walks(protocol))
-        return routing.repaired(plain or self.ordinary(protocol), LIMIT, protocol)
+        return routing.repaired(plain or self.ordinary(protocol), 2 * F.size("by_node"), protocol)
 
     def ordinary(self, protocol: str = "i1") -> DataFrame:
         if self.full:
             return walking.ordinary(self.walks(protocol))
         place = self.coords.select("graph_id", "condition_id", "node", "x", "y")
         decided = routing.decisions(self.adjacent, place, workload.destinations(self.pairs, self.coords), protocol)
-        return routing.routes(self.pairs, decided, LIMIT, protocol)
+        return routing.routes(self.pairs, decided, F.size("by_node"), protocol)
 
     def methods(self) -> DataFrame:
         plain = self.ordinary()
