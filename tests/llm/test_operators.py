@@ -210,6 +210,14 @@ def test_nearest_recall_and_order(spark):
     assert ann.nearest(table.limit(0), lambda i: i == 4).count() == 0
 
 
+def test_nearest_of_each_length(spark):
+    rows = [(k, [1.0, k / 10, 0.5]) for k in range(12)] + [(90, [1.0, 2.0]), (91, [1.0, 2.5])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(table, lambda i: (i == 4) | (i == 90), k=3)
+    found = {q: [r.vec_id for r in got.orderBy("rank").collect() if r.query_id == q] for q in (4, 90)}
+    assert sorted(found[4][:2]) == [3, 5] and len(found[4]) == 3 and found[90] == [91]
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 1000, 4097])
 def test_permutation(n):
     order = token_shards.Permutation(n, 99)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 from dataclasses import dataclass
 
 import numpy as np
@@ -144,28 +145,36 @@ def nearest(table: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: s
     """query_id, rank (from 1), id_col, score: the k nearest found for every row that is_query holds for.
 
     Ties go to the smaller id.  Vectors that are null, empty, zero or hold null
-    or non-finite components, rows without an id, and vectors of another length
-    than the first of all take no part.  Rows that share a query's id are the query's own;
-    of other rows that share an id the nearest counts.
+    or non-finite components and rows without an id take no part.  Vectors of each
+    length are searched among their own kind, one forest for each.  Rows that share a
+    query's id are the query's own; of other rows that share an id the nearest counts.
     """
     v = F.col(f"`{vector_col}`").cast("array<double>")
     sound = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
     rows = table.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & (F.size(v) > 0) & sound)
-    first = rows.select(F.size("v").alias("n")).agg(F.min("n")).first()[0]
+    lengths = sorted(r.n for r in rows.select(F.size("v").alias("n")).distinct().collect())
+    found = [x for n in lengths if (x := _of_length(rows.where(F.size("v") == n), is_query, k, probes, probe_share)) is not None]
+    if not found:
+        return table.sparkSession.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
+    once = reduce(DataFrame.union, found).groupBy("query_id", "near").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "near"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("near").alias(id_col), "score")
+
 
+def _of_length(rows: DataFrame, is_query, k: int, probes: int, probe_share: float) -> DataFrame | None:
+    """(query_id, near, score) found among the sound rows (id, v) of one length; None where no forest can be made."""
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "v"])
 
-    rows = written(in_arrow(rows.where(F.size("v") == F.lit(first)), packed, "id long, v binary"), "vectors")
+    rows = written(in_arrow(rows, packed, "id long, v binary"), "vectors")
     forest, n = fit(rows)
-    schema = f"query_id long, rank int, `{id_col}` long, score double"
     if forest is None:
-        return table.sparkSession.createDataFrame([], schema)
+        return None
     probes = max(probes, round(probe_share * forest.leaves))
-    shared = table.sparkSession.sparkContext.broadcast(forest)  # bounded by SAMPLE_ROWS and TREES
+    shared = rows.sparkSession.sparkContext.broadcast(forest)  # bounded by SAMPLE_ROWS and TREES
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +210,4 @@ def nearest(table: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: s
                     out[2].extend(score)
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "near", "score"])
 
-    found = left.groupBy("leaf", "block").cogroup(right.groupBy("leaf", "block")).applyInArrow(meet, "query_id long, near long, score double")
-    once = found.groupBy("query_id", "near").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "near"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("near").alias(id_col), "score")
+    return left.groupBy("leaf", "block").cogroup(right.groupBy("leaf", "block")).applyInArrow(meet, "query_id long, near long, score double")
