@@ -210,6 +210,15 @@ def test_nearest_recall_and_order(spark):
     assert ann.nearest(table.limit(0), lambda i: i == 4).count() == 0
 
 
+def test_toxic_features_beyond_the_bound_raise(spark, monkeypatch):
+    counts = spark.createDataFrame([(k, 0, 50, 0, 0) for k in range(3)] + [(k, 500, 0, 0, 0) for k in range(3, 9)], "feature long, y00 long, y01 long, y10 long, y11 long")
+    monkeypatch.setattr(toxicity, "MOST_FEATURES", 3)
+    assert sorted(toxicity.clear_features(counts)[0]["feature"].tolist()) == [0, 1, 2]
+    monkeypatch.setattr(toxicity, "MOST_FEATURES", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        toxicity.clear_features(counts)
+
+
 def test_nearest_of_each_length(spark):
     rows = [(k, [1.0, k / 10, 0.5]) for k in range(12)] + [(90, [1.0, 2.0]), (91, [1.0, 2.5])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from wayfold.llm._base import ALNUM, filtered, in_arrow, mapped, slices, texts, written
 
-#: Features of a model at most, those of the largest z-scores: under 3 MB on the driver and in every worker.
+#: Features of a model at most, under 3 MB on the driver and in every worker; more raise an error.
 MOST_FEATURES = 65_536
 #: Prior weight as a share of all counts, least z-score and log-odds of a toxic feature, what a word without one costs.
 PRIOR_SHARE, LEAST_Z, LEAST_ODDS, DRIFT = 0.05, 3.0, 2.0, 0.25
@@ -100,7 +100,7 @@ def least_z(tested: int) -> float:
 
 
 def clear_features(counts: DataFrame) -> tuple[dict[str, np.ndarray], dict[str, float]]:
-    """The MOST_FEATURES features of the largest z-scores from LEAST_Z on, and the sums of all counts."""
+    """The features past the thresholds, and the sums of all counts; an error where they exceed MOST_FEATURES, none is dropped."""
     sums = {k: float(v or 0) for k, v in counts.agg(*[F.sum(g).alias(g) for g in GROUPS]).first().asDict().items()}
     all0, all1 = sums["y00"] + sums["y10"], sums["y01"] + sums["y11"]
     y0, y1 = F.col("y00") + F.col("y10"), F.col("y01") + F.col("y11")
@@ -110,8 +110,10 @@ def clear_features(counts: DataFrame) -> tuple[dict[str, np.ndarray], dict[str,
     delta = F.log(a1 / (all1 + total - a1)) - F.log(a0 / (all0 + total - a0))
     tested = counts.where(y1 >= 2)
     least = least_z(tested.count())
-    best = tested.where(delta >= LEAST_ODDS).withColumn("z", delta / F.sqrt(1 / a1 + 1 / a0)).where(F.col("z") >= least).orderBy(F.desc("z"), "feature").limit(MOST_FEATURES)
+    best = tested.where(delta >= LEAST_ODDS).withColumn("z", delta / F.sqrt(1 / a1 + 1 / a0)).where(F.col("z") >= least).orderBy(F.desc("z"), "feature").limit(MOST_FEATURES + 1)
     rows = best.select("feature", *GROUPS).toArrow()
+    if rows.num_rows > MOST_FEATURES:
+        raise ValueError(f"more than {MOST_FEATURES} toxic features pass the thresholds; raise MOST_FEATURES, memory allowing")
     return {c: rows.column(c).to_numpy() for c in rows.column_names}, sums
 
 
