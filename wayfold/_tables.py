@@ -2,15 +2,50 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of this machine only where none is set and all runs in this process."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file:///tmp/checkpoints"
+    return at.rstrip("/")
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a path, where the session still lives."""
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the session has ended
+        return
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/wayfold-{name}-{uuid.uuid4().hex}"
+    atexit.register(removed, spark, path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet under spark.checkpoint.dir and reads it again: cuts the lineage, survives lost executors."""
+    """The rows of df, written once as Parquet in the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or "file:///tmp/checkpoints"
-    path = f"{root.rstrip('/')}/wayfold-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = shared_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._wayfold_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes what written() wrote for these tables; nothing may read them afterwards."""
+    for t in tables:
+        if path := getattr(t, "_wayfold_path", None):
+            removed(t.sparkSession, path)
