@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from wayfold._tables import dropped, shared_path, written
 from wayfold.shipping import ship
 
+__all__ = ["ALNUM", "alnum_words", "dropped", "filtered", "given_back", "in_arrow", "in_groups", "mapped", "shared_path", "slices", "space_words", "texts", "written"]
+
 #: Maps A-Z to a-z, every other ASCII byte that is no digit or letter to a space; bytes from 0x80 stay.
 ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -33,7 +35,7 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, column: int, size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about size bytes in a string column, or one row where that has more."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(lengths, dtype=np.int64) // size
@@ -43,10 +45,32 @@ def slices(batch: pa.RecordBatch, column: int, size: int = 12 << 20) -> Iterator
             yield batch.slice(a, b - a)
 
 
+def given_back() -> None:
+    """Returns what Arrow's pool and the C heap hold free to the system; a worker lives on from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow with this package on the workers' path."""
+    """mapInArrow with this package on the workers' path; a task's free memory goes back when it ends."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            given_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def in_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """applyInArrow over groups that the caller keeps bounded, with this package on the workers' path."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.groupBy(*keys).applyInArrow(fn, schema)
 
 
 def mapped(df: DataFrame, keep: list[str], used: list[str], fields: T.StructType, fn: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
@@ -79,34 +103,3 @@ def filtered(df: DataFrame, text_col: str, fn: Callable[[pa.Array], list[bool]])
                 yield batch.filter(pa.array(fn(batch.column(at)), pa.bool_()))
 
     return in_arrow(df, run, df.schema)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (local tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = spark.sparkContext.getCheckpointDir() or "file:///tmp/checkpoints"
-    return at.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/wayfold-{name}-{uuid.uuid4().hex}"
-
-    def remove() -> None:
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session has ended
-            return
-
-    atexit.register(remove)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written once as Parquet in the shared folder and read again; cuts the lineage."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
