@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm._base import in_arrow, shared_path, slices, written
+from wayfold.llm._base import dropped, in_arrow, shared_path, slices, written
 from wayfold.llm.ngram_join import mixed
 from wayfold.llm.packing import tokenizer_ids
 
@@ -90,28 +90,33 @@ def sequences(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text", l
 def materialise(docs: DataFrame, tokenizer_path: str, path: str | None = None, *, text_col: str = "text", length: int = LENGTH, shard_rows: int = SHARD_ROWS, key: int = 20_240_229) -> str:
     """Writes shards under path/shard=K and path/manifest; returns path (one in the shared folder by default).
 
-    An empty table writes a manifest of no sequences.
+    Sequences are numbered by input partition, then by place in it; each input
+    partition ends in a padded sequence.  Repeated rows are written each for
+    itself.  An empty table writes a manifest of no sequences.
     """
     spark = docs.sparkSession
     path = path or shared_path(spark, "shards")
     staged = written(sequences(docs, tokenizer_path, text_col=text_col, length=length), "sequences")
-    parts = staged.groupBy("part").agg(F.count("*").alias("rows"))  # a row for each input partition
-    first = parts.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("first"))
-    n = staged.count()
+    parts = staged.groupBy("part").agg(F.count("*").alias("rows")).toArrow()  # a row for each input partition
+    rows = np.zeros(max(parts.column(0).to_pylist(), default=-1) + 1, np.int64)
+    rows[parts.column(0).to_numpy()] = parts.column(1).to_numpy()
+    n = int(rows.sum())
     if n:
         order = Permutation(n, key)
+        first = spark.sparkContext.broadcast(np.cumsum(rows) - rows)  # eight bytes for each input partition
 
         def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    slot = order.walk(batch.column(0).to_numpy())
-                    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // shard_rows), batch.column(1)], names=["slot", "shard", "ids"])
+                    slot = order.walk(first.value[batch.column(0).to_numpy()] + batch.column(1).to_numpy())
+                    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // shard_rows), batch.column(2)], names=["slot", "shard", "ids"])
 
-        numbered = staged.join(first, "part").select((F.col("first") + F.col("at")).alias("number"), "ids")
-        dealt = in_arrow(numbered, placed, "slot long, shard long, ids binary").repartition(F.col("shard")).sortWithinPartitions("shard", "slot")
+        dealt = in_arrow(staged, placed, "slot long, shard long, ids binary").repartition(F.col("shard")).sortWithinPartitions("shard", "slot")
+        # Spark's cast and text writer keep bytes as they are (tried on 4.1; the round-trip test tells)
         record = F.substring(F.col("ids"), 1, 2 * (length - 1)).cast("string")
         end = END_ID.to_bytes(2, "little").decode()
         dealt.select("shard", record.alias("value")).write.partitionBy("shard").option("lineSep", end).text(path)
+    dropped(staged)
     facts = {"sequences": n, "length": length, "shard_rows": shard_rows, "key": key, "rounds": ROUNDS, "end_id": END_ID, "pad_id": PAD_ID, "type": "<u2"}
     spark.range(1).select(F.lit(json.dumps(facts)).alias("value")).coalesce(1).write.text(f"{path}/manifest")
     return path
@@ -122,7 +127,11 @@ def manifest(spark: SparkSession, path: str) -> dict:
 
 
 def read_sequences(spark: SparkSession, path: str, first_slot: int = 0, last_slot: int | None = None) -> DataFrame:
-    """(slot, shard, number, ids) of the slots from first_slot to before last_slot; other shards aren't read."""
+    """(slot, shard, number, ids) of the slots from first_slot to before last_slot.
+
+    Only the folders of the shards that hold these slots are listed and read; an
+    empty range reads none.
+    """
     facts = manifest(spark, path)
     n, rows, stride = facts["sequences"], facts["shard_rows"], 2 * facts["length"]
     schema = "slot long, shard long, number long, ids binary"
@@ -143,7 +152,7 @@ def read_sequences(spark: SparkSession, path: str, first_slot: int = 0, last_slo
                 yield pa.RecordBatch.from_arrays([pa.array(slot[keep]), pa.array([shard] * len(keep), pa.int64()), pa.array(order.walk(slot[keep], back=True)), pa.array(ids, pa.binary())], names=["slot", "shard", "number", "ids"])
 
     shard = F.regexp_extract("path", r"/shard=(\d+)/", 1).cast("long")
-    # partition folders beside the manifest's: the base path keeps the shard column
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/shard=*")
-    files = files.select(shard.alias("shard"), "content").where(F.col("shard").between(first_slot // rows, (last - 1) // rows))
-    return in_arrow(files, cut, schema)
+    low, high = first_slot // rows, (last - 1) // rows
+    wanted = [f"{path}/shard=*"] if low == 0 and high == (n - 1) // rows else [f"{path}/shard={k}" for k in range(low, high + 1)]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(wanted)
+    return in_arrow(files.select(shard.alias("shard"), "content"), cut, schema)
