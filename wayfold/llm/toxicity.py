@@ -6,10 +6,16 @@ of positive score (Ruzzo and Tompa); Karlin-Altschul statistics turn a segment's
 score into the number of such segments that chance would give in a text of that
 length; a logistic curve over the extreme values calibrates the document score.
 
-Features of a word are the word itself and its beginnings of four and five
-letters, by 64-bit hash.  A feature is counted once in a document, so a word
-repeated in one text can't look like evidence from many.  Only the features that
-point to toxic text most clearly reach the driver and the workers.
+A word's step is the log-odds of its clearest toxic feature, which is the word
+itself or its beginning of four or five letters where several words share that;
+without one it is the word's own log-odds, negative or weakly positive, under a
+prior of NEUTRAL documents that keeps rare words near 0.  A word is counted once
+in a document, so a word repeated in one text can't look like evidence from many.
+
+All words keep their log-odds, quantised: a score table of two rows of slots,
+MOST_SLOTS each at most, holds them by hash.  Where features share a slot the
+commonest one's score is there; a word is looked up in both rows and takes that
+of the less common, so it gets another's score only if commoner ones lie on it twice.
 """
 
 from __future__ import annotations
@@ -27,16 +33,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm._base import ALNUM, filtered, in_arrow, mapped, slices, texts, written
+from wayfold.llm._base import ALNUM, dropped, filtered, in_arrow, mapped, slices, texts, written
 
-#: Features of a model at most, under 3 MB on the driver and in every worker; more raise an error.
-MOST_FEATURES = 65_536
-#: Prior weight as a share of all counts, least z-score and log-odds of a toxic feature, what a word without one costs.
-PRIOR_SHARE, LEAST_Z, LEAST_ODDS, DRIFT = 0.05, 3.0, 2.0, 0.25
-#: Share of the normal bound for the largest of many chance z-scores that a feature must reach.
+#: Slots of a row of the score table at most: 32 MB for the three models on the driver, 16 MB for one in a worker.
+MOST_SLOTS = 1 << 22
+#: Prior weight as a share of all counts, least z-score and log-odds of a clear toxic feature.
+PRIOR_SHARE, LEAST_Z, LEAST_ODDS = 0.05, 3.0, 2.0
+#: Documents, toxic and clean as usual, that a word without clear features has besides its own; what each such word costs; the bounds of its log-odds.
+NEUTRAL, DRIFT, WEAKEST, STRONGEST = 30.0, 0.15, -2.0, 1.4
+#: Share of the normal bound for the largest of many chance z-scores that a clear feature must reach.
 CHANCE_SHARE = 0.85
 #: A beginning stands for itself only if no single word has more than this share of its toxic documents.
 WORD_SHARE = 0.5
+#: Steps of the score table in a unit of log-odds; 0 in the table says that a slot is empty.
+GRAIN, ZERO = 16, 128
 #: Expected chance segments in a text below which a passage counts as found.
 SIGNIFICANT = 0.05
 #: Labelled rows at most that fit the calibration curve, those of the smallest hashes.
@@ -51,10 +61,10 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def features(word: bytes) -> list[int]:
-    """Signed 64-bit hashes of a word's features."""
+    """Signed 64-bit hashes of a word and of its beginnings of four and five letters, 0 where it is shorter."""
     text = word.decode("utf-8", "replace")
-    parts = [b"w" + word, *(b"p" + text[:n].encode("utf-8", "replace") for n in (4, 5) if len(text) >= n)]
-    return [xxhash.xxh3_64_intdigest(p) - (1 << 63) for p in parts]
+    parts = [b"w" + word, *(b"p" + text[:n].encode("utf-8", "replace") if len(text) >= n else b"" for n in (4, 5))]
+    return [xxhash.xxh3_64_intdigest(p) - (1 << 63) if p else 0 for p in parts]
 
 
 class Features(dict):
@@ -65,121 +75,161 @@ class Features(dict):
         return out
 
 
-#: Documents with a feature by fold and class: clean and toxic of fold 0, of fold 1.
+#: Documents with a word by fold and class: clean and toxic of fold 0, of fold 1.
 GROUPS = ["y00", "y01", "y10", "y11"]
 
 
 def class_counts(labelled: DataFrame) -> DataFrame:
-    """(feature, y00, y01, y10, y11) from (text, fold, toxic)."""
+    """(word, p4, p5, y00, y01, y10, y11) from (text, fold, toxic): hashes of each word and its beginnings, and its documents."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Features()
         for batch in (part for whole in batches for part in slices(whole, 0)):
-            seen: list[list[int]] = [[], [], [], []]
+            seen: list[Counter] = [Counter(), Counter(), Counter(), Counter()]
             for text, fold, toxic in zip(texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                seen[2 * fold + toxic] += {f for w in set(text.translate(ALNUM).split()) for f in known[w]}
-            for group, own in enumerate(seen):
-                feature, n = np.unique(np.array(own, np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(feature), pa.array(np.full(len(feature), group, np.int32)), pa.array(n)], names=["feature", "group", "n"])
+                seen[2 * fold + toxic].update(set(text.translate(ALNUM).split()))
+            words = list(set().union(*seen))
+            own = np.array([known[w] for w in words], np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*(pa.array(own[:, k]) for k in range(3)), *(pa.array([c[w] for w in words], pa.int64()) for c in seen)], names=["word", "p4", "p5", *GROUPS])
 
-    rows = in_arrow(labelled.select("text", "fold", "toxic"), count, "feature long, group int, n long")
-    return rows.groupBy("feature").agg(*[F.sum(F.when(F.col("group") == k, F.col("n")).otherwise(0)).alias(g) for k, g in enumerate(GROUPS)])
+    rows = in_arrow(labelled.select("text", "fold", "toxic"), count, "word long, p4 long, p5 long, " + ", ".join(f"{g} long" for g in GROUPS))
+    return rows.groupBy("word").agg(F.first("p4").alias("p4"), F.first("p5").alias("p5"), *[F.sum(g).alias(g) for g in GROUPS])
 
 
-def log_odds(y0: np.ndarray, y1: np.ndarray, all0: float, all1: float) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds ratio with a Dirichlet prior and its z-score, from the classes' counts and their sums over all features."""
-    prior = PRIOR_SHARE * (y0 + y1) + 1e-3
-    total = PRIOR_SHARE * (all0 + all1)
-    a1, a0 = y1 + prior, y0 + prior
-    delta = np.log(a1 / (all1 + total - a1)) - np.log(a0 / (all0 + total - a0))
-    return delta, delta / np.sqrt(1 / a1 + 1 / a0)
+#: The folds that a model learns from: both, for rows of fold 0, for rows of fold 1.
+MODELS = ((0, 1), (1,), (0,))
 
 
-def least_z(tested: int) -> float:
-    """What z-score counts among so many features: chance alone reaches about sqrt(2 log n), less here as its tail is shorter."""
-    return max(LEAST_Z, CHANCE_SHARE * math.sqrt(2 * math.log(max(2, tested))))
+def of_folds(folds: tuple[int, ...]) -> tuple[Column, Column]:
+    """Clean and toxic documents of these folds."""
+    y0, y1 = (sum((F.col(f"y{f}{c}") for f in folds[1:]), F.col(f"y{folds[0]}{c}")) for c in (0, 1))
+    return y0, y1
 
 
-def clear_features(counts: DataFrame) -> tuple[dict[str, np.ndarray], dict[str, float]]:
-    """The features past the thresholds, and the sums of all counts; an error where they exceed MOST_FEATURES, none is dropped."""
-    sums = {k: float(v or 0) for k, v in counts.agg(*[F.sum(g).alias(g) for g in GROUPS]).first().asDict().items()}
-    all0, all1 = sums["y00"] + sums["y10"], sums["y01"] + sums["y11"]
-    y0, y1 = F.col("y00") + F.col("y10"), F.col("y01") + F.col("y11")
-    prior = PRIOR_SHARE * (y0 + y1) + 1e-3
-    total = PRIOR_SHARE * (all0 + all1)
+def log_odds(y0: Column, y1: Column, all0: float, all1: float) -> tuple[Column, Column]:
+    """Log-odds ratio with a Dirichlet prior and its z-score, from the classes' counts and their sums over all words."""
+    prior, total = PRIOR_SHARE * (y0 + y1) + 1e-3, PRIOR_SHARE * (all0 + all1)
     a1, a0 = y1 + prior, y0 + prior
-    delta = F.log(a1 / (all1 + total - a1)) - F.log(a0 / (all0 + total - a0))
-    tested = counts.where(y1 >= 2)
-    least = least_z(tested.count())
-    best = tested.where(delta >= LEAST_ODDS).withColumn("z", delta / F.sqrt(1 / a1 + 1 / a0)).where(F.col("z") >= least).orderBy(F.desc("z"), "feature").limit(MOST_FEATURES + 1)
-    rows = best.select("feature", *GROUPS).toArrow()
-    if rows.num_rows > MOST_FEATURES:
-        raise ValueError(f"more than {MOST_FEATURES} toxic features pass the thresholds; raise MOST_FEATURES, memory allowing")
-    return {c: rows.column(c).to_numpy() for c in rows.column_names}, sums
+    delta = F.log(a1 / (F.lit(all1 + total) - a1)) - F.log(a0 / (F.lit(all0 + total) - a0))
+    return delta, delta / F.sqrt(1 / a1 + 1 / a0)
 
 
-def general(clear: dict[str, np.ndarray], labelled: DataFrame) -> dict[str, np.ndarray]:
-    """Without the beginnings that a single word accounts for."""
-    shared = labelled.sparkSession.sparkContext.broadcast(frozenset(clear["feature"].tolist()))
+def neutral_odds(y0: Column, y1: Column, share: float) -> Column:
+    """Log-odds of a word to which NEUTRAL documents are added, toxic in the share that all have."""
+    return F.log((y1 + NEUTRAL * share) / share) - F.log((y0 + NEUTRAL * (1 - share)) / (1 - share))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, wanted = Features(), shared.value
-        for batch in (part for whole in batches for part in slices(whole, 0)):
-            pairs = Counter((f, known[w][0]) for t in texts(batch.column(0)) for w in set(t.translate(ALNUM).split()) for f in known[w][1:] if f in wanted)
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in pairs], pa.int64()), pa.array([w for _, w in pairs], pa.int64()), pa.array(list(pairs.values()), pa.int64())], names=["feature", "word", "n"])
 
-    rows = in_arrow(labelled.where("toxic = 1").select("text"), count, "feature long, word long, n long").groupBy("feature", "word").agg(F.sum("n").alias("n"))
-    most = rows.groupBy("feature").agg(F.max("n").alias("most")).toArrow()  # a row for each clear feature at most
-    most = dict(zip(most.column(0).to_pylist(), most.column(1).to_pylist(), strict=True))
-    toxic = clear["y01"] + clear["y11"]
-    keep = np.array([most.get(f, 0) <= WORD_SHARE * n for f, n in zip(clear["feature"].tolist(), toxic.tolist(), strict=True)], bool)
-    return {k: v[keep] for k, v in clear.items()}
+def least_z(tested: int) -> float:
+    """What z-score counts among so many features: chance alone reaches about sqrt(2 log n), less here as its tail is shorter."""
+    return max(LEAST_Z, CHANCE_SHARE * math.sqrt(2 * math.log(max(2, tested))))
 
 
 @dataclass
 class Model:
-    """score: of features that point to toxic text; lam, k: Karlin-Altschul; curve: of the document score."""
+    """table: two rows of (score, commonness) bytes by slot; lam, k: Karlin-Altschul; curve: of the document score."""
 
-    score: dict[int, float]
+    scores: tuple[bytes, bytes]
+    common: tuple[bytes, bytes]
     lam: float
     k: float
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
-
-def fit_scores(clear: dict[str, np.ndarray], sums: dict[str, float], folds: tuple[int, ...], clean_docs: float) -> Model:
-    """Word scores from the folds' counts, and the statistics of chance segments among clean documents."""
-    y0, y1 = (sum(clear[f"y{f}{c}"] for f in folds).astype(float) for c in (0, 1))
-    all0, all1 = (sum(sums[f"y{f}{c}"] for f in folds) for c in (0, 1))
-    delta, z = log_odds(y0, y1, all0, all1) if len(y0) else (y0, y1)
-    toxic = (z >= LEAST_Z) & (delta >= LEAST_ODDS)
-    s = delta[toxic]
-    if not len(s):
-        return Model({}, 1.0, 1.0)
-    score = dict(zip(clear["feature"][toxic].tolist(), s.tolist(), strict=True))
-    # chance: a word's step is its score where a toxic feature occurs, else -DRIFT
-    words = max(20.0, all0 / max(1.0, clean_docs))  # features of a clean document, about four to a word
-    p = (y0[toxic] + 0.5) / max(1.0, clean_docs) / words
-    rest = max(1e-9, 1 - p.sum())
+    def looked_up(self, feature: int) -> int:
+        """A feature's quantised score, 0 if the table doesn't have it."""
+        slots, h = len(self.scores[0]), feature & 0xFFFFFFFFFFFFFFFF
+        a, b = (h & 0xFFFFFFFF) % slots, (h >> 32) % slots
+        if not self.scores[0][a] or not self.scores[1][b]:
+            return 0
+        return self.scores[0][a] if self.common[0][a] <= self.common[1][b] else self.scores[1][b]
+
+
+#: Quantised scores from here on are those of clear toxic features; words without any stay under it.
+CLEAR = ZERO + round(GRAIN * 1.5)
+
+
+def scored(words: DataFrame, sums: dict[str, float]) -> DataFrame:
+    """(feature, docs, m0, m1, m2, whole): quantised scores of words and shared beginnings in the three MODELS, 0 for none."""
+    ends = [words.where(F.col(p) != 0).groupBy(F.col(p).alias("feature")).agg(*[F.sum(g).alias(g) for g in GROUPS], F.max(F.col("y01") + F.col("y11")).alias("most")) for p in ("p4", "p5")]
+    toxic = F.col("y01") + F.col("y11")
+    shared = ends[0].unionByName(ends[1]).where(F.col("most") <= WORD_SHARE * toxic).drop("most")
+    both = words.select(F.col("word").alias("feature"), *GROUPS, F.lit(True).alias("whole")).unionByName(shared.withColumn("whole", F.lit(False)))
+    least = least_z(both.where(toxic >= 2).count())
+    values = []
+    for folds in MODELS:
+        y0, y1 = of_folds(folds)
+        all0, all1 = (max(1.0, sum(sums[f"y{f}{c}"] for f in folds)) for c in (0, 1))
+        delta, z = log_odds(y0, y1, all0, all1)
+        clear = (z >= (least if len(folds) == 2 else LEAST_Z)) & (delta >= LEAST_ODDS)
+        weak = F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), neutral_odds(y0, y1, all1 / (all0 + all1))))
+        q = F.greatest(F.lit(1), F.least(F.lit(255), F.round(F.when(clear, delta).otherwise(weak) * GRAIN).cast("int") + ZERO))
+        values.append(F.when(clear | F.col("whole"), q).otherwise(F.lit(0)))
+    docs = sum((F.col(g) for g in GROUPS[1:]), F.col(GROUPS[0]))
+    # a half's model takes only what the whole one calls clear for clear, else its thresholds would be lower
+    whole_clear = values[0] >= CLEAR
+    halves = [F.when((v >= CLEAR) & ~whole_clear, F.when(F.col("whole"), F.lit(ZERO + round(GRAIN * STRONGEST))).otherwise(F.lit(0))).otherwise(v) for v in values[1:]]
+    out = both.select("feature", docs.alias("docs"), *[v.cast("int").alias(f"m{k}") for k, v in enumerate([values[0], *halves])], "whole", *GROUPS)
+    return out.where("m0 + m1 + m2 > 0")
+
+
+def fit_models(counts: DataFrame) -> list[Model]:
+    """The three MODELS without curves from class_counts."""
+    sums = {k: float(v or 0) for k, v in counts.agg(*[F.sum(g).alias(g) for g in GROUPS]).first().asDict().items()}
+    table = written(scored(counts, sums), "scores")
+    n = table.count()
+    slots = min(MOST_SLOTS, 1 << max(16, (8 * n).bit_length()))
+    h = F.col("feature")
+    low, high = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)
+    models = [([np.zeros(slots, np.uint8), np.zeros(slots, np.uint8)], [np.zeros(slots, np.uint8), np.zeros(slots, np.uint8)]) for _ in MODELS]
+    for row, part in enumerate((low, high)):
+        best = table.groupBy((part % slots).cast("int").alias("slot")).agg(F.max(F.struct("docs", "feature", "m0", "m1", "m2")).alias("best"))
+        got = best.select("slot", F.least(F.lit(255), F.floor(F.log2(F.col("best.docs") + 1) * 8)).cast("short").alias("docs"), *[F.col(f"best.m{k}").cast("short").alias(f"m{k}") for k in range(3)]).toArrow()  # MOST_SLOTS rows at most
+        at = got.column("slot").to_numpy()
+        for k, (scores, common) in enumerate(models):
+            scores[row][at] = got.column(f"m{k}").to_numpy()
+            common[row][at] = got.column("docs").to_numpy()
+    out = []
+    for k, folds in enumerate(MODELS):
+        y0, _ = of_folds(folds)
+        steps = {r.q: float(r.n or 0) for r in table.where("whole").groupBy(F.col(f"m{k}").alias("q")).agg(F.sum(y0 + F.when(F.col(f"m{k}") >= CLEAR, 0.5).otherwise(0.0)).alias("n")).collect()}  # 255 rows at most
+        out.append(Model(tuple(x.tobytes() for x in models[k][0]), tuple(x.tobytes() for x in models[k][1]), *chance(steps)))
+    dropped(table)
+    return out
+
+
+def step_of(q: int) -> float:
+    """What a word with this quantised score adds to a segment."""
+    return (q - ZERO) / GRAIN if q >= CLEAR else (q - ZERO) / GRAIN - DRIFT if q else -DRIFT
+
+
+def chance(steps: dict[int, float]) -> tuple[float, float]:
+    """Lambda and K of segments in clean text, whose words have the quantised scores with these weights."""
+    weight, s = np.array(list(steps.values()), float), np.array([step_of(q) for q in steps], float)
+    if not len(s) or s.max() <= 0 or not weight.sum():
+        return 1.0, 1.0
+    p = weight / weight.sum()
+    psi = lambda x: (p * np.exp(np.minimum(50, x * s))).sum() - 1
     low, high = 1e-3, 1.0
-    psi = lambda x: (p * np.exp(np.minimum(50, x * s))).sum() + rest * math.exp(-x * DRIFT) - 1
     while psi(high) < 0 and high < 64:
         high *= 2
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if psi(mid) < 0 else (low, mid)
-    return Model(score, max(low, 1e-2), max(1e-6, float(p.sum())))
+    return max(low, 1e-2), max(1e-6, float(p[s > 0].sum()))
 
 
 class WordScores(dict):
-    """Score of a word: its strongest feature's, else -DRIFT."""
+    """Step of a word: its clearest toxic feature's, else its own log-odds less DRIFT."""
 
-    def __init__(self, score: dict[int, float]) -> None:
+    def __init__(self, model: Model) -> None:
         super().__init__()
-        self.score = score
+        self.model = model
 
     def __missing__(self, word: bytes) -> float:
         if len(self) > CACHE_WORDS:
             self.clear()
-        self[word] = best = max((self.score[f] for f in features(word) if f in self.score), default=-DRIFT)
+        own, *ends = features(word)
+        q = self.model.looked_up(own)
+        clear = max([q, *(self.model.looked_up(f) for f in ends if f)])
+        self[word] = best = step_of(clear if clear >= CLEAR else q)
         return best
 
 
@@ -187,8 +237,9 @@ def segments(steps: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (start, end, score) in linear time, after Ruzzo and Tompa."""
     sums = np.concatenate(([0.0], np.cumsum(steps)))
     found: list[list[float]] = []  # start, end, sum before, sum up to the end
-    for at in np.flatnonzero(steps > 0):
-        own = [int(at), int(at) + 1, float(sums[at]), float(sums[at + 1])]
+    turns = np.flatnonzero(np.diff(np.concatenate(([False], steps > 0, [False])).astype(np.int8)))  # where runs of positive steps begin and end
+    starts, ends = turns[::2], turns[1::2]
+    for own in map(list, zip(starts.tolist(), ends.tolist(), sums[starts].tolist(), sums[ends].tolist(), strict=True)):
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= own[2]:
@@ -254,25 +305,24 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, *, i
     known = F.broadcast(known) if labels.count() <= BROADCAST_LABELS else known
     order = F.crc32(F.concat(F.lit("fold"), F.col("id").cast("string")))
     labelled = own.join(known, "id").select("text", "toxic", (order % 2).cast("int").alias("fold"), order.alias("order"))
-    counts = written(class_counts(labelled), "features")
-    clear, sums = clear_features(counts)
-    clear = general(clear, labelled)
-    docs_of = {(r.fold, r.toxic): r["count"] for r in labelled.groupBy("fold", "toxic").count().collect()}
-    clean = [docs_of.get((f, 0), 0) for f in (0, 1)]
-    halves = [fit_scores(clear, sums, (1,), clean[1]), fit_scores(clear, sums, (0,), clean[0])]  # for rows of fold 0, of fold 1
+    counts = written(class_counts(labelled), "words")
+    model, *halves = fit_models(counts)  # halves: for rows of fold 0, of fold 1
+    dropped(counts)
 
     # the rows of the smallest hashes: a threshold from the count, then only numbers go to the driver
-    share = min(1.0, CALIBRATION_ROWS / max(1, sum(docs_of.values())))
+    share = min(1.0, CALIBRATION_ROWS / max(1, labelled.count()))
     sample = labelled.where(F.col("order") <= int(share * 0xFFFFFFFF))
 
+    shared = docs.sparkSession.sparkContext.broadcast(halves)
+
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = [WordScores(m.score) for m in halves]
+        models = shared.value
+        scores = [WordScores(m) for m in models]
         for batch in batches:
-            rows = [measures(t, scores[f], halves[f])[1:] for t, f in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True)]
+            rows = [measures(t, scores[f], models[f])[1:] for t, f in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.float64()), batch.column(2)], names=["best", "total", "toxic"])
 
     got = in_arrow(sample.select("text", "fold", "toxic"), value, "best double, total double, toxic int").toArrow().to_pandas()
-    model = fit_scores(clear, sums, (0, 1), sum(clean))
     model.curve = logistic(np.sqrt(got[["best", "total"]].to_numpy(float)), got["toxic"].to_numpy(float))
     return model
 
@@ -294,7 +344,7 @@ def score_toxicity(docs: DataFrame, model: Model, *, text_col: str = "text", kee
     rows are scored each for itself.
     """
     keep = docs.columns if keep is None else keep
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_FEATURES scores at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_SLOTS bounds it
 
     def fields(batch: pa.RecordBatch) -> list[pa.Array]:
         m = shared.value
@@ -336,5 +386,5 @@ _kept: list = []
 def worker_scores(model: Model) -> WordScores:
     """Keeps the words' scores from batch to batch of one model."""
     if not _kept or _kept[0] is not model:
-        _kept[:] = [model, WordScores(model.score)]
+        _kept[:] = [model, WordScores(model)]
     return _kept[1]
