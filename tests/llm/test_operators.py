@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,13 +211,38 @@ def test_nearest_recall_and_order(spark):
     assert ann.nearest(table.limit(0), lambda i: i == 4).count() == 0
 
 
-def test_toxic_features_beyond_the_bound_raise(spark, monkeypatch):
-    counts = spark.createDataFrame([(k, 0, 50, 0, 0) for k in range(3)] + [(k, 500, 0, 0, 0) for k in range(3, 9)], "feature long, y00 long, y01 long, y10 long, y11 long")
-    monkeypatch.setattr(toxicity, "MOST_FEATURES", 3)
-    assert sorted(toxicity.clear_features(counts)[0]["feature"].tolist()) == [0, 1, 2]
-    monkeypatch.setattr(toxicity, "MOST_FEATURES", 2)
-    with pytest.raises(ValueError, match="more than 2"):
-        toxicity.clear_features(counts)
+def test_toxic_log_odds_by_brute_force(spark):
+    """Every word keeps its log-odds, negative ones too; a beginning counts where several words share it."""
+    rng = random.Random(15)
+    ends = [f"hate{x}" for x in "abcdef"]
+    rows = []
+    for k in range(400):
+        own = words(rng, 30, 80) + (["calm"] if k % 5 and k % 2 else [])
+        rows.append((" ".join(own + ([rng.choice(ends)] if k % 5 == 0 else [])), k % 2, int(k % 5 == 0)))
+    counts = toxicity.class_counts(spark.createDataFrame(rows, "text string, fold int, toxic int"))
+    model, first, _ = toxicity.fit_models(counts)
+    for m, folds in ((model, (0, 1)), (first, (1,))):
+        taught = [(set(t.split()), y) for t, f, y in rows if f in folds]
+        y0, y1 = (Counter(w for t, y in taught if y == label for w in t) for label in (0, 1))
+        all0, all1 = sum(y0.values()), sum(y1.values())
+        x = all1 / (all0 + all1)
+        scores = toxicity.WordScores(m)
+        for w in set(y0) | set(y1):
+            if w in ends:
+                continue
+            weak = math.log((y1[w] + toxicity.NEUTRAL * x) / x) - math.log((y0[w] + toxicity.NEUTRAL * (1 - x)) / (1 - x))
+            assert abs(scores[w.encode()] + toxicity.DRIFT - max(toxicity.WEAKEST, min(toxicity.STRONGEST, weak))) <= 0.5 / toxicity.GRAIN + 1e-9, w
+    scores = toxicity.WordScores(model)
+    assert scores[b"calm"] < -0.5 and scores[b"hateq"] == scores[b"hateqq"] >= toxicity.LEAST_ODDS and scores[b"unheard"] == -toxicity.DRIFT
+    assert sum(p * math.exp(model.lam * s) for s, p in [(-1.0, 1.0)]) < 1 and 0 < model.k <= 1
+
+
+def test_toxic_scores_share_few_slots(spark, monkeypatch):
+    counts = spark.createDataFrame([(k * 0x9E3779B97F4A7C15 % (1 << 64) - (1 << 63), 0, 0, 5 if k % 3 else 500, 1 if k % 3 else 0, 5, 0) for k in range(1, 3000)], "word long, p4 long, p5 long, y00 long, y01 long, y10 long, y11 long")
+    monkeypatch.setattr(toxicity, "MOST_SLOTS", 1 << 13)
+    model = toxicity.fit_models(counts)[0]
+    common = [model.looked_up(r.word) for r in counts.where("y00 = 500").collect()]
+    assert len(set(common)) == 1 and common[0] < toxicity.ZERO  # rarer words never hide commoner ones
 
 
 def test_nearest_of_each_length(spark):
@@ -250,6 +276,7 @@ def test_token_shards_round_trip(spark, tmp_path):
     assert stream[: len(expected)].tolist() == expected and not stream[len(expected) :].any()
     part = token_shards.read_sequences(spark, path, 20, 37).collect()
     assert {r.slot: bytes(r.ids) for r in part} == {r.slot: bytes(r.ids) for r in rows if 20 <= r.slot < 37}
+    assert {f.split("/shard=")[1].split("/")[0] for f in token_shards.read_sequences(spark, path, 20, 22).inputFiles()} == {"1"}
     for shard in {r.shard for r in rows}:  # a file is its records in slot order and nothing else
         (file,) = (tmp_path / "out" / f"shard={shard}").glob("part-*")
         assert file.read_bytes() == b"".join(bytes(r.ids) for r in sorted(rows, key=lambda r: r.slot) if r.shard == shard)
@@ -281,16 +308,51 @@ def test_lm_score(spark, monkeypatch):
     one = {r.doc_id: r for r in lm_score.score(docs, learn).collect()}
     for k, own in enumerate(cut):
         assert (one[k].n_tokens, one[k].n_known, one[k].train_tokens) == (len(own), sum(c[w] > 0 for w in own), n) and abs(one[k].base_score - base[k]) < 1e-9 and one[k].score < 0
+    # brute force by the same levels; false mass lowers a token's probability by FALSE_SHARE at most, false pairs are rare
+    pairs = Counter(x for k in train for x in zip([b"\0end", *cut[k][:-1]], cut[k]))
+    level = lambda n: lm_score.levels(np.array([n]))
+    low, high = lambda n: int(lm_score.low_count(level(n))[0]), lambda n: int(lm_score.high_count(level(n))[0])
+    exact = []
+    for own in cut:
+        total = 0.0
+        for h, w in zip([b"\0end", *own[:-1]], own):
+            p = (low(c[w]) + 1) / (n + v + 1)
+            total += math.log10((low(pairs[h, w]) + 300 * p) / (high(c[h]) + 300))
+        exact.append(total)
+    slack = math.log10(1 + 2 * lm_score.FALSE_SHARE)
+    assert all(abs(one[k].score - exact[k]) <= len(cut[k]) * slack + 1e-9 for k in one)
+    routed = {r.doc_id: r for r in lm_score.score(docs, learn, broadcast_bytes=0).collect()}
+    assert all(abs(routed[k].score - one[k].score) < 1e-9 and routed[k][:3] == one[k][:3] for k in one)
     monkeypatch.setattr(lm_score, "HEAD_WORDS", 10)  # most words meet their counts in the join
-    monkeypatch.setattr(lm_score, "SHARD_BITS", 1 << 12)  # several shards, one pass each
     many = {r.doc_id: r for r in lm_score.score(docs, learn).collect()}
     for k in one:
-        assert many[k].n_known == one[k].n_known and abs(many[k].base_score - base[k]) < 1e-9 and abs(many[k].score - one[k].score) < 0.1 * abs(one[k].score) + 1
+        assert many[k].n_known == one[k].n_known and abs(many[k].base_score - base[k]) < 1e-9 and abs(many[k].score - one[k].score) < 1e-9
     nothing = lm_score.score(docs, F.lit(False)).collect()
     assert all(r.n_known == 0 and r.base_score == 0 for r in nothing)
     assert lm_score.score(empty(spark), learn).count() == 0
 
 
+def test_lm_probabilities_sum_to_one_at_most(spark):
+    rng = random.Random(18)
+    texts = spark.createDataFrame([(" ".join(f"w{int(rng.paretovariate(0.6)) % 20_000}" for _ in range(3000)),) for _ in range(40)], "text string")
+    own = np.concatenate([lm_score.tokens(pa.array([r.text]))[0] for r in texts.collect()])
+    vocabulary, n = np.unique(own, return_counts=True)
+    bits, probes = 3, lm_score.probes_for(len(vocabulary))
+    counts = lm_score.counted(texts, bits)
+    segments = lm_score.built(counts, probes)
+    lookup = lm_score.whole(segments, bits, probes)
+    false = len(vocabulary) * np.mean([r.filled**probes for r in segments.collect() if r.part >> bits == lm_score.PAIR])
+    assert false <= 2 * lm_score.FALSE_SHARE * lm_score.PAIR_PRIOR
+    single = lookup.level(lm_score.word_keys(vocabulary), lm_score.WORD)
+    assert (lm_score.low_count(single) > n).mean() < 0.03 and (lm_score.high_count(single) >= n).all()
+    p = (lm_score.low_count(single) + 1) / (len(own) + len(vocabulary) + 1)
+    order = np.argsort(n)
+    for h in [*order[:20], *order[len(order) // 2 :][:20], *order[-20:]]:
+        level = lookup.level(lm_score.pair_keys(np.full(len(vocabulary), vocabulary[h]), vocabulary), lm_score.PAIR)
+        total = ((lm_score.low_count(level) + lm_score.PAIR_PRIOR * p) / (lm_score.high_count(single[h]) + lm_score.PAIR_PRIOR + false)).sum()
+        assert 0.5 < total <= 1.01, total
+
+
 def test_filter_levels():
     counts = np.array([1, 2, 3, 4, 5, 7, 100, 12345, 10**9])
     level = lm_score.levels(counts)
