@@ -245,6 +245,31 @@ def test_toxic_scores_share_few_slots(spark, monkeypatch):
     assert len(set(common)) == 1 and common[0] < toxicity.ZERO  # rarer words never hide commoner ones
 
 
+def test_nearest_searches_part_of_the_rows():
+    """Candidates of a query are fewer than all rows from some hundred rows on."""
+    rng = np.random.default_rng(16)
+    centres = rng.normal(size=(60, 24))
+    x = ann.unit(centres[rng.integers(60, size=4000)] + 0.3 * rng.normal(size=(4000, 24)))
+    forest = ann.grow(x, ann.TREES, max(ann.LEAF_SAMPLE, min(ann.LEAF_ROWS, len(x) // 100)))
+    leaf = forest.leaf_of(x)
+    found = forest.search(x[:40], 16)
+    hits = rows = 0
+    for k, leaves in enumerate(found):
+        candidates = np.flatnonzero(np.isin(leaf, leaves).any(axis=1))
+        s = x @ x[k]
+        s[k] = -9
+        hits += len(set(np.argsort(-s)[:5].tolist()) & set(candidates.tolist()))
+        rows += len(candidates)
+    assert hits / 200 >= 0.9 and rows / 40 < 0.1 * len(x)
+
+
+def test_nearest_of_very_large_and_small_vectors(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e199]), (2, [2.0**-700, 2.0**-703]), (3, [0.0, 1e-300]), (4, [-1e300, 1e300])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 3, 4]
+    assert all(abs(r.score - e) < 1e-12 for r, e in zip(got, [1 / math.sqrt(1.01), 1 / math.sqrt(1 + 1 / 64), 0.0, -math.sqrt(0.5)]))
+
+
 def test_nearest_of_each_length(spark):
     rows = [(k, [1.0, k / 10, 0.5]) for k in range(12)] + [(90, [1.0, 2.0]), (91, [1.0, 2.5])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from wayfold.llm._base import in_arrow, written
 
-#: Rows that fit the trees, those of the smallest hashes; trees; rows aimed at in a leaf; least sampled rows in a leaf.
+#: Rows that fit the trees, those of the smallest hashes; trees; rows aimed at in a leaf, a hundredth of all at most; least sampled rows in a leaf.
 SAMPLE_ROWS, TREES, LEAF_ROWS, LEAF_SAMPLE = 60_000, 12, 160, 8
 #: Leaves searched for a query over all trees: so many at least, and this share of all leaves.
-PROBES, PROBE_SHARE = 400, 1 / 15
+PROBES, PROBE_SHARE = 80, 1 / 14
 #: Rows of a leaf that one task compares at once.
 BLOCK_ROWS = 8192
 
@@ -102,9 +102,13 @@ def grow(sample: np.ndarray, trees: int, leaf_rows: int, seed: int = 1) -> Fores
     return Forest(np.array(normals).reshape(-1, width), np.array(offsets, float), np.array(children, np.int64).reshape(-1, 2), np.array(roots), leaves)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component to between 0.5 and 1: no product over- or underflows, no cosine changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    big = np.abs(x).max(axis=1, keepdims=True)
-    x = x / big
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -122,11 +126,12 @@ def fit(rows: DataFrame) -> tuple[Forest | None, int]:
     picked = rows.where(F.crc32(F.concat(F.lit("sample"), F.col("id").cast("string"))) <= int(share * 0xFFFFFFFF))
     sample = [r.v for r in picked.select("v").toLocalIterator()] or [rows.select("v").first().v]
     x = unit(np.frombuffer(b"".join(map(bytes, sample)), np.float64).reshape(len(sample), -1))
-    return grow(x, TREES, max(LEAF_SAMPLE, round(LEAF_ROWS * len(x) / n))), n
+    return grow(x, TREES, max(LEAF_SAMPLE, round(min(LEAF_ROWS, n / 100) * len(x) / n))), n
 
 
 def best(q: np.ndarray, x: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query its k nearest rows with exact cosines; equal rows get equal scores."""
+    q, x = scaled(q), scaled(x)
     near = unit(q) @ unit(x).T
     near[own[:, None] == ids[None, :]] = -np.inf
     for r in range(len(q)):
