@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from wayfold._tables import dropped, shared_path, written
 from wayfold.shipping import ship
 
-__all__ = ["ALNUM", "alnum_words", "dropped", "filtered", "given_back", "in_arrow", "in_groups", "mapped", "shared_path", "slices", "space_words", "texts", "written"]
+__all__ = ["ALNUM", "alnum_words", "caches", "dropped", "filtered", "given_back", "in_arrow", "in_groups", "mapped", "shared_path", "slices", "space_words", "texts", "written"]
 
 #: Maps A-Z to a-z, every other ASCII byte that is no digit or letter to a space; bytes from 0x80 stay.
 ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -54,11 +54,35 @@ def given_back() -> None:
         return
 
 
-def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow with this package on the workers' path; a task's free memory goes back when it ends."""
-    ship(df.sparkSession)
+#: What empties the caches that an operator keeps in a worker from task to task, by operator.
+caches: dict[str, Callable[[], None]] = {}
+
+
+def only(keeps: str | None) -> None:
+    """Empties all operators' caches but one's: a worker holds those of the operator that it runs alone."""
+    for name, emptied in caches.items():
+        if name != keeps:
+            emptied()
+
+
+#: Bytes of an Arrow batch between the JVM and a worker: Spark's own bound leaves 64 MB, once for each task on either side.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def prepared(df: DataFrame) -> None:
+    """Ships the package, and bounds the session's Arrow batches where the user hasn't set a bound."""
+    spark = df.sparkSession
+    ship(spark)
+    if str(spark.conf.get(BATCH_KEY, "67108864b")).rstrip("b") == "67108864":  # Spark's default
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
+def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, keeps: str | None = None) -> DataFrame:
+    """mapInArrow with this package on the workers' path; a task's free memory goes back when it ends, other operators' caches when it begins."""
+    prepared(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(keeps)
         try:
             yield from fn(batches)
         finally:
@@ -69,11 +93,16 @@ def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 def in_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """applyInArrow over groups that the caller keeps bounded, with this package on the workers' path."""
-    ship(df.sparkSession)
-    return df.groupBy(*keys).applyInArrow(fn, schema)
+    prepared(df)
+
+    def run(rows: pa.Table) -> pa.Table:
+        only(None)
+        return fn(rows)
+
+    return df.groupBy(*keys).applyInArrow(run, schema)
 
 
-def mapped(df: DataFrame, keep: list[str], used: list[str], fields: T.StructType, fn: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
+def mapped(df: DataFrame, keep: list[str], used: list[str], fields: T.StructType, fn: Callable[[pa.RecordBatch], list[pa.Array]], keeps: str | None = None) -> DataFrame:
     """Adds fields to the kept columns, batch by batch.
 
     fn gets batches of a bounded size with the columns keep + used (its first is
@@ -90,10 +119,10 @@ def mapped(df: DataFrame, keep: list[str], used: list[str], fields: T.StructType
             for batch in slices(whole, columns.index(used[0])):
                 yield pa.RecordBatch.from_arrays([batch.column(columns.index(c)) for c in kept] + fn(batch), names=schema.names)
 
-    return in_arrow(source, run, schema)
+    return in_arrow(source, run, schema, keeps)
 
 
-def filtered(df: DataFrame, text_col: str, fn: Callable[[pa.Array], list[bool]]) -> DataFrame:
+def filtered(df: DataFrame, text_col: str, fn: Callable[[pa.Array], list[bool]], keeps: str | None = None) -> DataFrame:
     """The rows, with all their columns, for whose text fn says so; it gets texts of a bounded size at once."""
     at = df.columns.index(text_col)
 
@@ -102,4 +131,4 @@ def filtered(df: DataFrame, text_col: str, fn: Callable[[pa.Array], list[bool]])
             for batch in slices(whole, at):
                 yield batch.filter(pa.array(fn(batch.column(at)), pa.bool_()))
 
-    return in_arrow(df, run, df.schema)
+    return in_arrow(df, run, df.schema, keeps)

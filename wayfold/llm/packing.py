@@ -21,10 +21,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm._base import in_arrow, shared_path, slices
+from wayfold.llm._base import caches, in_arrow, shared_path, slices
 
 #: Words that a worker's cache holds before it starts anew, and the longest it keeps.
-CACHE_WORDS, CACHE_CHARS = 1_000_000, 64
+CACHE_WORDS, CACHE_CHARS = 400_000, 64
 #: Bits of a sequence id: bucket, input partition, count within both.
 PARTITION_SHIFT, BUCKET_SHIFT = 34, 58
 
@@ -104,6 +104,9 @@ def tokenizer_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+caches["tokenizer"] = tokenizer_ids.cache_clear
+
+
 def piece_lengths(n: int, longest: int) -> list[int]:
     """n as a sum of powers of two up to longest, descending."""
     return [longest] * (n // longest) + [1 << k for k in range(longest.bit_length() - 2, -1, -1) if n % longest >> k & 1]
@@ -129,7 +132,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
         ids, made = tokenizer_ids(tokenizer_path), [0] * longest.bit_length()
         base = TaskContext.get().partitionId() << PARTITION_SHIFT
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 2 << 20):
                 own_ids, edges = ids.of(part.column(1))
                 row, start, length, data, total, bucket, sequence = [], [], [], [], [], [], []
                 for k in range(part.num_rows):
@@ -148,7 +151,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
                         begin += size
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int32())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(data, pa.binary()), pa.array(total, pa.int64()), pa.array(bucket, pa.int32()), pa.array(sequence, pa.int64()), pa.array(np.zeros(len(row), np.int64))], names=names)
 
-    return in_arrow(source, run, schema)
+    return in_arrow(source, run, schema, "tokenizer")
 
 
 def write_buckets(pieces: DataFrame, path: str | None = None) -> str:

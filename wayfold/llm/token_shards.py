@@ -84,7 +84,7 @@ def sequences(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text", l
         if len(rest):
             yield rows(np.concatenate([rest, np.full(length - 1 - len(rest), PAD_ID, np.uint16)]), 1)
 
-    return in_arrow(docs.select(F.col(f"`{text_col}`").alias("text")), run, "part int, at long, ids binary")
+    return in_arrow(docs.select(F.col(f"`{text_col}`").alias("text")), run, "part int, at long, ids binary", "tokenizer")
 
 
 def materialise(docs: DataFrame, tokenizer_path: str, path: str | None = None, *, text_col: str = "text", length: int = LENGTH, shard_rows: int = SHARD_ROWS, key: int = 20_240_229) -> str:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm._base import ALNUM, dropped, filtered, in_arrow, mapped, slices, texts, written
+from wayfold.llm._base import ALNUM, caches, dropped, filtered, in_arrow, mapped, slices, texts, written
 
 #: Slots of a row of the score table at most: 32 MB for the three models on the driver, 16 MB for one in a worker.
 MOST_SLOTS = 1 << 22
@@ -54,7 +54,7 @@ CALIBRATION_ROWS = 20_000
 #: Label rows up to which they are broadcast to the documents (under 64 MB); beyond, both sides are shuffled.
 BROADCAST_LABELS = 2_000_000
 #: Words whose scores a worker keeps before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 #: A word before lower-casing.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -360,7 +360,7 @@ def score_toxicity(docs: DataFrame, model: Model, *, text_col: str = "text", kee
             passages.append([{"start": len(text[: places[s][0]].decode()), "end": len(text[: places[e - 1][1]].decode()), "score": v, "expected": x} for s, e, v, x in found])
         return [pa.array(score, pa.float64()), pa.array(passages, pa.list_(PASSAGE))]
 
-    return mapped(docs, keep, [text_col], FIELDS, fields)
+    return mapped(docs, keep, [text_col], FIELDS, fields, "toxicity")
 
 
 def probability(model: Model, best: float, total: float) -> float:
@@ -377,10 +377,11 @@ def without_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", leas
         scores = worker_scores(m)
         return [probability(m, *measures(t, scores, m)[1:]) < least for t in texts(column)]
 
-    return filtered(docs, text_col, keep)
+    return filtered(docs, text_col, keep, "toxicity")
 
 
 _kept: list = []
+caches["toxicity"] = _kept.clear
 
 
 def worker_scores(model: Model) -> WordScores:
