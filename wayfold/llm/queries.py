@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
@@ -40,6 +41,20 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_ngrams(table(spark, sf_dir, "documents"))
 
 
+OP3_SQL = f"""
+with recursive cut as (
+  select doc_id, [x for x in string_split_regex(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[\\x20\\x09-\\x0D]+') if x <> ''] as words from documents),
+placed as (select doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) as k from cut where len(words) > 0),
+shingles as (select distinct doc_id, array_to_string(words[k:k + 4], ' ') as shingle from placed),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all),
+links as (select p.a, p.b from pairs p join sizes x on p.a = x.doc_id join sizes y on p.b = y.doc_id where 100 * p.n >= 80 * (x.n + y.n - p.n)),
+reach as (select doc_id, doc_id as other from documents union select r.doc_id, l.b from reach r join links l on r.other = l.a),
+least as (select doc_id, min(other) as component_id from reach group by doc_id)
+select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, l.component_id from documents d join least l using (doc_id) left join sizes s using (doc_id)
+"""
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     digest = F.sha2(F.concat_ws(",", "items"), 256)
@@ -140,4 +155,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": op10_chat,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_url_filter": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_ngram_join": OP3_SQL, "op7_url_filter": OP7_SQL}
