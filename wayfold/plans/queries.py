@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold._tables import written
@@ -270,9 +270,14 @@ def bootstrapped(own: Inputs) -> tuple[DataFrame, DataFrame]:
     rows = estimands.contrasts(own.graph_rows()).select("model", "condition_id", F.col("replicate").cast("int").alias("place"), (100 * F.col("advantage")).alias("value"))
     if own.full:
         rows = written(rows, "advantages")  # some rows, each a graph's routes
+    return rows, inference.bootstrap(rows, ["model"], "value", drawn_graphs(own, rows))
+
+
+def drawn_graphs(own: Inputs, rows: DataFrame) -> DataFrame:
+    """(model, replicate, position, drawn): the places of the graphs that each replicate draws."""
     strata = rows.groupBy("model").agg(F.countDistinct("place").cast("int").alias("graphs"))
     drawn = sampling.bootstrap_draws(strata, WHOLE_DRAWS) if own.full else inference.draws(strata, DRAWS, F.expr(DRAW_INDEX).cast("int"))
-    return rows, inference.bootstrap(rows, ["model"], "value", drawn.select("model", "replicate", "position", "drawn"))
+    return drawn.select("model", "replicate", "position", "drawn")
 
 
 BOOT = f""", vals as (select model, condition_id, replicate as place, 100 * (poincare - euclidean) / pair_count as value from graph_rows),
@@ -325,6 +330,68 @@ def equivalence_labels(spark, sf_dir, full=False):
     return rounded(interval.select("model", "condition_id", "low", "high", *geometry.interval_status(low, high, 5.0), geometry.interval_label(low, high, 5.0).alias("label")), 7)
 
 
+@query(f"""{BOOT}{INTERACTIONS}, paired as (select i.model, i.radius, d.replicate, avg(i.interaction) as estimate from drawn d join inter i on i.model = d.model and i.replicate = d.drawn group by all),
+  means as (select model, radius, avg(interaction) as mean, count(*) as graphs from inter group by all)
+  select model, radius, round(mean, 7) as mean, graphs, round(low, 7) as low, round(high, 7) as high from means join
+  (select model, radius, quantile_disc(estimate, 0.025) as low, quantile_disc(estimate, 0.975) as high from paired group by all) using (model, radius)""", full=True)
+def interaction_intervals(spark, sf_dir, full=False):
+    """Family interactions by radius, the same graphs drawn for both families."""
+    own = Inputs(spark, sf_dir, full)
+    rows = own.graph_rows()
+    of_graph = rows.select("graph_id", "model", F.col("replicate").cast("int").alias("place")).distinct()
+    values = estimands.interactions(rows).join(of_graph, "graph_id").select("model", "radius", "place", F.col("interaction").alias("value"))
+    boot = inference.bootstrap(values, ["model"], "value", drawn_graphs(own, of_graph))
+    mean = values.groupBy("model", "radius").agg(F.avg("value").alias("mean"), F.count("*").alias("graphs"))
+    return rounded(mean.join(inference.percentile_interval(boot, ["model", "radius"]), ["model", "radius"]).select("model", "radius", "mean", "graphs", "low", "high"), 7)
+
+
+@query(f"""{BOOT}, diff as (select condition_id, replicate, avg(estimate) filter (model = 'barabasi_albert') - avg(estimate) filter (model = 'erdos_renyi') as estimate from boot group by all)
+  select condition_id, round(contrast, 7) as contrast, round(low, 7) as low, round(high, 7) as high from
+  (select condition_id, avg(value) filter (model = 'barabasi_albert') - avg(value) filter (model = 'erdos_renyi') as contrast from vals group by all) join
+  (select condition_id, quantile_disc(estimate, 0.025) as low, quantile_disc(estimate, 0.975) as high from diff group by all) using (condition_id)""", full=True)
+def model_contrast_intervals(spark, sf_dir, full=False):
+    """Unpaired contrasts of the two models with bootstrap intervals."""
+    rows, boot = bootstrapped(Inputs(spark, sf_dir, full))
+    of = lambda m, v: F.avg(F.when(F.col("model") == m, F.col(v)))
+    between = lambda v: of("barabasi_albert", v) - of("erdos_renyi", v)
+    replicated = boot.groupBy("condition_id", "replicate").agg(between("estimate").alias("estimate"))
+    point = rows.groupBy("condition_id").agg(between("value").alias("contrast"))
+    return rounded(point.join(inference.percentile_interval(replicated, ["condition_id"]), "condition_id").select("condition_id", "contrast", "low", "high"), 7)
+
+
+@query(f"""{BOOT}, own as (select split_part(condition_id, '_', 1) as family, replicate, avg(estimate) as estimate from boot group by all),
+  cells as (select model, condition_id, split_part(condition_id, '_', 1) as family, avg(value) as value from vals group by all)
+  select family, round(mean, 7) as mean, strata, round(low, 7) as low, round(high, 7) as high from (select family, avg(value) as mean, count(*) as strata from cells group by all) join
+  (select family, quantile_disc(estimate, 0.025) as low, quantile_disc(estimate, 0.975) as high from own group by all) using (family)""", full=True)
+def marginal_intervals(spark, sf_dir, full=False):
+    """Equal-weight marginals of the cells by family, with the intervals of their replicated means."""
+    rows, boot = bootstrapped(Inputs(spark, sf_dir, full))
+    family = F.split("condition_id", "_")[0].alias("family")
+    cells = rows.groupBy("model", "condition_id").agg(F.avg("value").alias("value")).select(family, "value")
+    replicated = boot.groupBy(family, "replicate").agg(F.avg("estimate").alias("estimate"))
+    mean = cells.groupBy("family").agg(F.avg("value").alias("mean"), F.count("*").alias("strata"))
+    return rounded(mean.join(inference.percentile_interval(replicated, ["family"]), "family").select("family", "mean", "strata", "low", "high"), 7)
+
+
+@query("""select model, condition_id, count(*) as graphs, count(distinct replicate) as replicates, (max(replicate) - min(replicate) + 1)::int as span,
+  count(distinct replicate) = count(*) and max(replicate) - min(replicate) + 1 = count(*) and min(replicate) = 0 as covered from graph_rows group by all""", full=True)
+def stratum_coverage(spark, sf_dir, full=False):
+    """Whether each stratum has each replicate from 0 on once."""
+    rows = Inputs(spark, sf_dir, full).graph_rows()
+    place = F.col("replicate")
+    counted = rows.groupBy("model", "condition_id").agg(F.count("*").alias("graphs"), F.countDistinct(place).alias("replicates"), (F.max(place) - F.min(place) + 1).cast("int").alias("span"), F.min(place).alias("least"))
+    return counted.select("model", "condition_id", "graphs", "replicates", "span", ((F.col("replicates") == F.col("graphs")) & (F.col("span") == F.col("graphs")) & (F.col("least") == 0)).alias("covered"))
+
+
+@query("""select family, method, failure, routes, round(routes / sum(routes) over (partition by family, method), 8) as share from (
+  select split_part(condition_id, '_', 1) as family, method, final_failure as failure, count(*) as routes from method where final_failure is not null group by all)""", full=True)
+def pooled_failures(spark, sf_dir, full=False):
+    """Composition of the failures that remain, counts pooled over the conditions of a family."""
+    own = Inputs(spark, sf_dir, full)
+    failed = own.methods().where("final_failure is not null").groupBy(F.split("condition_id", "_")[0].alias("family"), "method", F.col("final_failure").alias("failure")).agg(F.count("*").alias("routes"))
+    return rounded(failed.withColumn("share", F.col("routes") / F.sum("routes").over(Window.partitionBy("family", "method"))))
+
+
 ASSOCIATION = f"""{CLUSTERING}, prop as (select graph_id, avg(degree) as mean_degree from local group by all),
 vals as (select g.model, g.condition_id, p.mean_degree as x, g.poincare / g.pair_count as y from graph_rows g join prop p using (graph_id))"""
 
