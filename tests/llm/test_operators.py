@@ -263,6 +263,43 @@ def test_nearest_searches_part_of_the_rows():
     assert hits / 200 >= 0.9 and rows / 40 < 0.1 * len(x)
 
 
+def test_nearest_by_brute_force(spark):
+    """With all leaves searched the nearest are those of brute force: repeated ids and rows, ties, several blocks of queries."""
+    rng = np.random.default_rng(19)
+    x = rng.integers(-2, 3, size=(900, 4)).astype(float)
+    ids = np.r_[np.arange(600), rng.integers(600, 640, size=300)]
+    rows = [(int(i), v.tolist(), "x", 1) for i, v in zip(ids, x)]
+    rows += rows[:40] + [(700, [1.0, 2.0, 0.0, 0.0], "x", 1)] * 700
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, near string, leaf int")
+    asked = lambda i: i % 3 == 0
+    expected = {}
+    sound = [(i, np.array(v)) for i, v, *_ in {(i, tuple(v)) for i, v, *_ in rows} if any(v)]
+    for i, v in sound:
+        for j, w in sound if i % 3 == 0 else ():
+            if j != i:
+                key = (i, j)
+                expected[key] = max(expected.get(key, -2.0), (v * w).sum() / (np.linalg.norm(v) * np.linalg.norm(w)))
+    by = {}
+    for (i, j), s in expected.items():
+        by.setdefault(i, []).append((-round(s, 9), j))
+    got = {}
+    for r in ann.nearest(table, asked, probes=10**6).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-round(r.score, 9), r.vec_id))
+    assert {q: [s for s, _ in v] for q, v in got.items()} == {q: [s for s, _ in sorted(v)[:5]] for q, v in by.items()}
+    whole = {q: dict((j, s) for s, j in v) for q, v in by.items()}
+    assert all(whole[q][j] == s and len({j for _, j in v}) == len(v) for q, v in got.items() for s, j in v)
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(20)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(700, 8)))], "vec_id long, embedding array<double>")
+    one = ann.nearest(table, lambda i: i % 10 == 0).orderBy("query_id", "rank").collect()
+    for name, value in [("QUERY_ROWS", 30), ("MEET_ROWS", 17), ("HELD_PAIRS", 50), ("EXACT_BYTES", 640)]:
+        monkeypatch.setattr(ann, name, value)
+    many = ann.nearest(table, lambda i: i % 10 == 0).orderBy("query_id", "rank").collect()
+    assert len(one) == 350 and [r[:3] for r in one] == [r[:3] for r in many] and [r.score for r in one] == [r.score for r in many]
+
+
 def test_nearest_of_very_large_and_small_vectors(spark):
     rows = [(0, [1e200, 0.0]), (1, [1e200, 1e199]), (2, [2.0**-700, 2.0**-703]), (3, [0.0, 1e-300]), (4, [-1e300, 1e300])]
     got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i == 0).orderBy("rank").collect()

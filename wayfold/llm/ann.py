@@ -2,31 +2,37 @@
 
 Trees are fitted on a bounded sample and sent to the workers; every row goes to
 its leaf in each tree.  A query searches all trees through one priority queue of
-margins and takes the leaves that come first.  Rows and queries meet by leaf,
-large leaves in blocks, and the best of each block are ranked again by exact
-cosines in double precision.
+margins and takes the leaves that come first.  Blocks of queries go to the workers
+with the leaves that each searches; rows stream past them, ordered by leaf, and a
+task keeps each query's nearest by exact cosines in double precision.  A vector is
+written once for all trees, and a task returns at most k rows for a query.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from functools import reduce
 from dataclasses import dataclass
+from functools import reduce
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm._base import in_arrow, written
+from wayfold.llm._base import dropped, in_arrow, written
 
 #: Rows that fit the trees, those of the smallest hashes; trees; rows aimed at in a leaf, a hundredth of all at most; least sampled rows in a leaf.
 SAMPLE_ROWS, TREES, LEAF_ROWS, LEAF_SAMPLE = 60_000, 12, 160, 8
 #: Leaves searched for a query over all trees: so many at least, and this share of all leaves.
 PROBES, PROBE_SHARE = 80, 1 / 14
-#: Rows of a leaf that one task compares at once.
-BLOCK_ROWS = 8192
+#: Queries that meet the rows in one pass at most, fewer where their vectors and leaf bits pass these bytes; rows compared at once.
+QUERY_ROWS, QUERY_BYTES, MEET_ROWS = 4096, 64 << 20, 512
+#: Tasks of a pass over the rows at most, where the cluster has no more cores: each returns its own nearest.
+PARTS = 16
+#: Found pairs that a task holds before it keeps the best; bytes of vectors that exact cosines take at once.
+HELD_PAIRS, EXACT_BYTES = 200_000, 16 << 20
 
 
 @dataclass
@@ -117,33 +123,97 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
 
 
+def flat(column: pa.Array) -> np.ndarray:
+    """Lists of one length as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def binary(x: np.ndarray) -> pa.Array:
+    """Rows of a matrix as binary values."""
+    return pa.array([r.tobytes() for r in x], pa.binary())
+
+
 def fit(rows: DataFrame) -> tuple[Forest | None, int]:
     """A forest from at most about SAMPLE_ROWS rows of (id, v), and how many rows there are."""
     n = rows.count()
     if not n:
         return None, 0
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([binary(flat(batch.column(0)))], names=["v"])
+
     share = min(1.0, SAMPLE_ROWS / n)
     picked = rows.where(F.crc32(F.concat(F.lit("sample"), F.col("id").cast("string"))) <= int(share * 0xFFFFFFFF))
-    sample = [r.v for r in picked.select("v").toLocalIterator()] or [rows.select("v").first().v]
-    x = unit(np.frombuffer(b"".join(map(bytes, sample)), np.float64).reshape(len(sample), -1))
+    sample = in_arrow(picked.select("v"), packed, "v binary").limit(SAMPLE_ROWS + SAMPLE_ROWS // 4).collect()  # a repeated id may be drawn with all its rows
+    sample = sample or in_arrow(rows.select("v").limit(1), packed, "v binary").collect()
+    x = unit(np.frombuffer(b"".join(bytes(r.v) for r in sample), np.float64).reshape(len(sample), -1))
     return grow(x, TREES, max(LEAF_SAMPLE, round(min(LEAF_ROWS, n / 100) * len(x) / n))), n
 
 
-def best(q: np.ndarray, x: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its k nearest rows with exact cosines; equal rows get equal scores."""
-    q, x = scaled(q), scaled(x)
-    near = unit(q) @ unit(x).T
-    near[own[:, None] == ids[None, :]] = -np.inf
-    for r in range(len(q)):
-        row = near[r]
-        floor = np.partition(row, -k)[-k] - 1e-9 if len(row) > k else -np.inf
-        at = np.flatnonzero((row >= floor) & np.isfinite(row))
-        if not len(at):
-            continue
-        v = x[at]
-        score = (v * q[r]).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((q[r] * q[r]).sum()))
-        order = np.lexsort((ids[at], -score))[:k]
-        yield r, at[order], score[order]
+def best_of(q: np.ndarray, near: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each q its k best pairs (q, near, score), ordered; of pairs with the same ids the best, ties to the smaller near."""
+    order = np.lexsort((-score, near, q))
+    q, near, score = q[order], near[order], score[order]
+    first = np.r_[True, (q[1:] != q[:-1]) | (near[1:] != near[:-1])][: len(q)]
+    q, near, score = q[first], near[first], score[first]
+    order = np.lexsort((near, -score, q))
+    q, near, score = q[order], near[order], score[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[place < k], near[place < k], score[place < k]
+
+
+class Block:
+    """Queries with the leaves that each searches, and what was found for them so far."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaves: np.ndarray, k: int):
+        """leaves: for each leaf the bits of the queries that search it."""
+        self.ids, self.leaves, self.k = ids, leaves, k
+        self.x, self.unit = scaled(vectors), unit(vectors)
+        self.length = np.sqrt((self.x * self.x).sum(axis=1))
+        self.floor = np.full(len(ids), -np.inf)
+        self.held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        self.pairs = self.compared = 0
+
+    def meet(self, ids: np.ndarray, leaf: np.ndarray, vectors: np.ndarray) -> None:
+        """Compares rows with the queries that search one of their leaves in any tree."""
+        bits = np.bitwise_or.reduce(self.leaves[leaf], axis=1)
+        asked = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(bits, axis=0), count=len(self.ids)))
+        rows = np.flatnonzero(bits.any(axis=1))
+        if not len(rows):
+            return
+        rows = rows[np.argsort(ids[rows], kind="stable")]
+        ids, x = ids[rows], scaled(vectors[rows])
+        length = np.sqrt((x * x).sum(axis=1))
+        candidate = np.unpackbits(bits[rows], axis=1, count=len(self.ids)).T[asked].astype(bool)
+        self.compared += int(candidate.sum())
+        near = np.where(candidate, self.unit[asked] @ (x / length[:, None]).T, -np.inf)
+        for c in np.flatnonzero(np.isin(ids, self.ids)):
+            near[self.ids[asked] == ids[c], c] = -np.inf
+        floor = self.floor[asked]
+        many = np.flatnonzero(((near >= floor[:, None]) & (near > -np.inf)).sum(axis=1) > self.k)
+        if len(many):  # the k-th nearest id of these rows bounds what can be among the nearest; rows of one id stand together
+            top = np.maximum.reduceat(near[many], np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]), axis=1)
+            if top.shape[1] > self.k:
+                floor[many] = np.maximum(floor[many], np.partition(top, -self.k, axis=1)[:, -self.k] - 1e-9)
+        r, c = np.nonzero((near >= floor[:, None]) & (near > -np.inf))
+        step = max(1, EXACT_BYTES // (8 * x.shape[1]))
+        for at in range(0, len(r), step):
+            q, y = asked[r[at : at + step]], c[at : at + step]
+            score = (self.x[q] * x[y]).sum(axis=1) / (self.length[q] * length[y])  # one sum for each pair: equal rows get equal scores
+            self.held.append((q, ids[y], score))
+            self.pairs += len(q)
+            if self.pairs > HELD_PAIRS:
+                self.settle()
+        if not np.isfinite(self.floor).any():
+            self.settle()
+
+    def settle(self) -> None:
+        """Keeps the k best of each query; the last of them is its floor."""
+        q, near, score = best_of(*(np.concatenate(x) for x in zip(*self.held, strict=True)), self.k)
+        self.held, self.pairs = [(q, near, score)], 0
+        full = np.flatnonzero(np.bincount(q, minlength=len(self.ids)) == self.k)
+        self.floor[full] = score[np.searchsorted(q, full, side="right") - 1] - 1e-9
 
 
 def nearest(table: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, probes: int = PROBES, probe_share: float = PROBE_SHARE) -> DataFrame:
@@ -153,12 +223,13 @@ def nearest(table: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: s
     or non-finite components and rows without an id take no part.  Vectors of each
     length are searched among their own kind, one forest for each.  Rows that share a
     query's id are the query's own; of other rows that share an id the nearest counts.
+    An empty table gives no rows; other columns aren't read.
     """
     v = F.col(f"`{vector_col}`").cast("array<double>")
     sound = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
     rows = table.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & (F.size(v) > 0) & sound)
     lengths = sorted(r.n for r in rows.select(F.size("v").alias("n")).distinct().collect())
-    found = [x for n in lengths if (x := _of_length(rows.where(F.size("v") == n), is_query, k, probes, probe_share)) is not None]
+    found = [x for n in lengths for x in _of_length(rows.where(F.size("v") == n), is_query, k, probes, probe_share)]
     if not found:
         return table.sparkSession.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
     once = reduce(DataFrame.union, found).groupBy("query_id", "near").agg(F.max("score").alias("score"))
@@ -166,53 +237,65 @@ def nearest(table: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: s
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("near").alias(id_col), "score")
 
 
-def _of_length(rows: DataFrame, is_query, k: int, probes: int, probe_share: float) -> DataFrame | None:
-    """(query_id, near, score) found among the sound rows (id, v) of one length; None where no forest can be made."""
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "v"])
+def by_leaf(searched: list[bytes], leaves: int) -> np.ndarray:
+    """For each leaf the bits of the queries that search it, from the bits of the leaves that each query searches."""
+    parts = []
+    for some in batched(searched, 512):
+        bits = np.frombuffer(b"".join(some), np.uint8).reshape(len(some), -1)
+        parts.append(np.packbits(np.unpackbits(bits, axis=1, count=leaves), axis=0))
+    return np.ascontiguousarray(np.concatenate(parts).T)
+
 
-    rows = written(in_arrow(rows, packed, "id long, v binary"), "vectors")
+def _of_length(rows: DataFrame, is_query, k: int, probes: int, probe_share: float) -> Iterator[DataFrame]:
+    """(query_id, near, score) found among the sound rows (id, v) of one length, a table for each block of queries."""
     forest, n = fit(rows)
     if forest is None:
-        return None
+        return
     probes = max(probes, round(probe_share * forest.leaves))
-    shared = rows.sparkSession.sparkContext.broadcast(forest)  # bounded by SAMPLE_ROWS and TREES
+    context = rows.sparkSession.sparkContext
+    shared = context.broadcast(forest)  # bounded by SAMPLE_ROWS and TREES
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                leaf = shared.value.leaf_of(unit(matrix(part.column(1))))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(leaf.tolist(), pa.list_(pa.int64())), part.column(1)], names=["id", "leaf", "v"])
+                x = flat(part.column(1))
+                leaf = shared.value.leaf_of(unit(x)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.FixedSizeListArray.from_arrays(leaf.ravel(), leaf.shape[1]).cast(pa.list_(pa.int32())), binary(x)], names=["id", "leaf", "v"])
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, (32 << 20) // (8 * len(shared.value.normals) + 8))
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                leaf = shared.value.search(unit(matrix(part.column(1))), probes)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(leaf, pa.list_(pa.int64())), part.column(1)], names=["id", "leaf", "v"])
-
-    leafed = in_arrow(rows, placed, "id long, leaf array<long>, v binary").select("id", F.explode("leaf").alias("leaf"), "v")
-    leafed = written(leafed, "leaves")
-    size = leafed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    left = leafed.join(size, "leaf").select("leaf", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "v")
-    asked = in_arrow(rows.where(is_query(F.col("id"))), searched, "id long, leaf array<long>, v binary").select("id", F.explode("leaf").alias("leaf"), "v")
-    right = asked.join(size, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id"), "v")
-
-    def meet(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if mine.num_rows and theirs.num_rows:
-            x, ids = matrix(mine.column("v").combine_chunks()), mine.column("id").to_numpy()
-            for at in range(0, theirs.num_rows, 256):
-                some = theirs.slice(at, 256)
-                q, own = matrix(some.column("v").combine_chunks()), some.column("id").to_numpy()
-                for r, rows_at, score in best(q, x, own, ids, k):
-                    out[0].extend([own[r]] * len(rows_at))
-                    out[1].extend(ids[rows_at])
-                    out[2].extend(score)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "near", "score"])
-
-    return left.groupBy("leaf", "block").cogroup(right.groupBy("leaf", "block")).applyInArrow(meet, "query_id long, near long, score double")
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                bits = np.zeros((part.num_rows, shared.value.leaves), np.uint8)
+                for r, found in enumerate(shared.value.search(unit(matrix(part.column(1))), probes)):
+                    bits[r, found] = 1
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), binary(np.packbits(bits, axis=1))], names=["id", "v", "leaves"])
+
+    leafed = written(in_arrow(rows, placed, "id long, leaf array<int>, v binary").sortWithinPartitions(F.col("leaf")[0]), "leaves")
+    alone = leafed.where(is_query(F.col("id"))).select("id", "v").dropDuplicates()
+    asked = written(in_arrow(alone, searched, "id long, v binary, leaves binary"), "queries")
+    first = asked.first()
+    size = min(QUERY_ROWS, max(64, QUERY_BYTES // (len(first.v) + len(first.leaves)))) if first else 1
+    parts = leafed.coalesce(max(PARTS, context.defaultParallelism))
+
+    def met(block) -> DataFrame:
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mine = Block(*block.value, k)
+            for batch in batches:
+                for at in range(0, batch.num_rows, MEET_ROWS):
+                    part = batch.slice(at, MEET_ROWS)
+                    mine.meet(part.column(0).to_numpy(), flat(part.column(1)), matrix(part.column(2)))
+            mine.settle()
+            q, near, score = mine.held[0]
+            yield pa.RecordBatch.from_arrays([pa.array(mine.ids[q]), pa.array(near), pa.array(score)], names=["query_id", "near", "score"])
+
+        return written(in_arrow(parts, meet, "query_id long, near long, score double"), "near")
+
+    for some in batched(asked.toLocalIterator(), size):  # at most QUERY_BYTES on the driver and in each worker
+        vectors = np.frombuffer(b"".join(bytes(r.v) for r in some), np.float64).reshape(len(some), -1)
+        block = context.broadcast((np.array([r.id for r in some], np.int64), vectors, by_leaf([bytes(r.leaves) for r in some], forest.leaves)))
+        yield met(block)
+        block.unpersist()
+    dropped(leafed, asked)
