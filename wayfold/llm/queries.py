@@ -41,9 +41,12 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_ngrams(table(spark, sf_dir, "documents"))
 
 
+#: DuckDB's expression for a text with A-Z in lower case; null is empty.
+LOWER_SQL = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+
 OP3_SQL = f"""
 with recursive cut as (
-  select doc_id, [x for x in string_split_regex(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[\\x20\\x09-\\x0D]+') if x <> ''] as words from documents),
+  select doc_id, [x for x in string_split_regex({LOWER_SQL}, '[\\x20\\x09-\\x0D]+') if x <> ''] as words from documents),
 placed as (select doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) as k from cut where len(words) > 0),
 shingles as (select distinct doc_id, array_to_string(words[k:k + 4], ' ') as shingle from placed),
 sizes as (select doc_id, count(*) as n from shingles group by doc_id),
@@ -61,6 +64,21 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+OP4_SQL = f"""
+with cut as (select doc_id, regexp_extract_all({LOWER_SQL}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') as words from documents),
+items as (select item_id::varchar as item, regexp_extract_all({LOWER_SQL}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') as words from benchmark where item_id is not null),
+starts as (select item, words, least(len(words), 10) as size, unnest(range(1, greatest(len(words) - 9, 1) + 1)) as k from items where len(words) > 0),
+windows as (select distinct item, size, array_to_string(words[k:k + size - 1], ' ') as span from starts),
+sizes as (select distinct size from windows),
+places as (select doc_id, words, size, unnest(range(1, len(words) - size + 2)) as k from cut, sizes where len(words) >= size),
+found as (select p.doc_id, p.k, p.size, w.item from places p join windows w on p.size = w.size and array_to_string(p.words[p.k:p.k + p.size - 1], ' ') = w.span),
+hits as (select doc_id, count(distinct place) as n from (select doc_id, unnest(range(k, k + size)) as place from found) group by doc_id),
+named as (select doc_id, count(*) as n, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from found) group by doc_id)
+select c.doc_id, len(c.words)::bigint as n_words, coalesce(h.n, 0)::bigint as n_hit, coalesce(m.n, 0)::bigint as n_items, sha256(coalesce(m.items, '')) as items_sha256, h.n is not null as contaminated
+from cut c left join hits h using (doc_id) left join named m using (doc_id)
+"""
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
 
@@ -142,6 +160,21 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP10_SQL = """
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+  union all select -1, 0, 'user', '{end}{start}assistant ok' union all select -1, 1, 'assistant', '{end}{start}assistant ok'),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as place from turns),
+marked as (
+  select *, length(replace(replace(text, '{esc}', '{esc}{esc}'), '<|', '<{esc}|')) + length(replace(replace(replace(role, '{esc}', '{esc}{esc}'), '<|', '<{esc}|'), chr(10), '{esc}n')) as escaped from placed)
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by place)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by place) filter (role = 'assistant'), '')) as loss_sha256,
+  (sum(escaped) + count(*) * ({marks} + 2))::bigint as formatted_chars
+from marked group by conv_id
+""".format(end=chat.END, start=chat.START, esc=chat.ESCAPE, marks=len(chat.START) + len(chat.END))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -155,4 +188,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": op10_chat,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_ngram_join": OP3_SQL, "op7_url_filter": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_ngram_join": OP3_SQL, "op4_decontamination": OP4_SQL, "op7_url_filter": OP7_SQL, "op10_chat": OP10_SQL}
