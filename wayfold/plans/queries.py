@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfold._tables import written
 from wayfold.functions import geometry
-from wayfold.operators import embedding, estimands, graphs, inference, routing, sampling, validation, walking
+from wayfold.operators import diagnostics, embedding, estimands, graphs, identities, inference, routing, sampling, validation, walking
 from wayfold.plans import workload
 from wayfold.plans.workload import SQL
 
@@ -522,3 +522,112 @@ def bootstrap_stream(spark, sf_dir):
 def generated_graphs(spark, sf_dir):
     design = sampling.schedule(spark).withColumn("seed", F.col("schedule_index") + 1)
     return graphs.generate(design.select("graph_id", "model", "n", "m", "seed"))
+
+
+@query("""select r.graph_id, r.pair_index, r.condition_id, r.metric, r.failure, r.walk[-1] as stopped, r.hops::int as failure_hop, count(n.neighbour) as terminal_degree, round(any_value(n.d_node), 7) as current_distance, round(min(n.d_next), 7) as best_neighbour_distance,
+  round(any_value(n.d_node) - min(n.d_next), 7) as progress_gap from route2 r join near n on n.graph_id = r.graph_id and n.condition_id = r.condition_id and n.metric = r.metric and n.destination = r.destination and n.node = r.walk[-1]
+  where not r.success group by r.graph_id, r.pair_index, r.condition_id, r.metric, r.failure, r.walk, r.hops""", full=True)
+def failure_diagnostics(spark, sf_dir, full=False):
+    own = Inputs(spark, sf_dir, full)
+    return rounded(diagnostics.failure_diagnostics(own.ordinary("i2"), own.adjacent, own.coords, workload.TOLERANCE).drop("tolerance"), 7)
+
+
+@query("""select graph_id, condition_id, count(*) as pairs, count(*) filter (e0 = 0) as coincident, round(avg(e0), 7) as euclidean_before, round(avg(e1), 7) as euclidean_after, round(avg(abs(e1 - e0)), 7) as euclidean_change,
+  round(max(abs(e1 - e0 * scale)), 7) as largest_scale_error, round(avg(p0), 7) as poincare_before, round(avg(p1), 7) as poincare_after, round(avg(abs(p1 - p0)), 7) as poincare_change, round(max(abs(p1 - p0)), 7) as largest_poincare_change from (
+  select a.graph_id, a.condition_id, a.radius / 0.5 as scale, sqrt((c.x - d.x) ** 2 + (c.y - d.y) ** 2) as e0, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) as e1,
+    2 * asinh(sqrt((c.x - d.x) ** 2 + (c.y - d.y) ** 2) / sqrt((1 - c.x * c.x - c.y * c.y) * (1 - d.x * d.x - d.y * d.y))) as p0,
+    2 * asinh(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / sqrt((1 - a.x * a.x - a.y * a.y) * (1 - b.x * b.x - b.y * b.y))) as p1
+  from coords a join coords b on a.graph_id = b.graph_id and a.condition_id = b.condition_id and a.node < b.node
+  join coords c on c.graph_id = a.graph_id and c.family = a.family and c.node = a.node and c.radius = 0.5 join coords d on d.graph_id = a.graph_id and d.family = a.family and d.node = b.node and d.radius = 0.5
+  where a.radius > 0.5) group by all""")
+def distance_change(spark, sf_dir):
+    """From the smallest radius to each other one."""
+    c = Inputs(spark, sf_dir).coords
+    least = geometry.RADII[0]
+    return rounded(diagnostics.distance_change(c.where(F.col("radius") == least), c.where(F.col("radius") > least).withColumn("scale", F.col("radius") / least)), 7)
+
+
+@query("""select graph_id, condition_id, nodes, r_least, r_q1, r_median, r_q3, r_most, r_mean, r_spread, centre_offset, outside, coalesce(coincident, 0)::bigint as coincident from (
+  select graph_id, condition_id, count(*) as nodes, round(min(r), 7) as r_least, round(quantile_cont(r, 0.25), 7) as r_q1, round(median(r), 7) as r_median, round(quantile_cont(r, 0.75), 7) as r_q3, round(max(r), 7) as r_most, round(avg(r), 7) as r_mean, round(stddev_pop(r), 7) as r_spread,
+    round(sqrt(avg(x) ** 2 + avg(y) ** 2), 7) as centre_offset, count(*) filter (r >= 1) as outside from (select *, sqrt(x * x + y * y) as r from coords) group by all)
+  left join (select graph_id, condition_id, sum(n) as coincident from (select graph_id, condition_id, x, y, count(*) as n from coords group by all) where n > 1 group by all) using (graph_id, condition_id)""")
+def coordinate_summary(spark, sf_dir):
+    return rounded(diagnostics.coordinate_summary(Inputs(spark, sf_dir).coords), 7)
+
+
+@query("""select graph_id, count(distinct u) as nodes, count(distinct u) * count(distinct u) - count(distinct (u, v)) as missing, count(*) - count(distinct (u, v)) as repeated, count(*) filter (d is null) as not_finite, count(*) filter (d < 0) as negative,
+  count(*) filter (u = v and d <> 0) as diagonal, (select count(*) from apsp x join apsp y on x.graph_id = y.graph_id and x.u = y.v and x.v = y.u where x.u < x.v and x.d <> y.d and x.graph_id = a.graph_id) as uneven from apsp a group by graph_id""")
+def matrix_violations(spark, sf_dir):
+    return diagnostics.matrix_violations(graphs.all_pairs(Inputs(spark, sf_dir).edges))
+
+
+@query(f"""select g.graph_id, g.condition_id, m.metric, m.numerator, m.denominator from (select *, pair_count - poincare as failures from graph_rows) g, lateral (
+  {" union all ".join(f"select '{name}' as metric, {a}{f' - {b}' if b else ''} as numerator, {n} as denominator" for name, (a, b, n) in diagnostics.METRICS.items())}) m""", full=True)
+def metric_counts(spark, sf_dir, full=False):
+    return diagnostics.metric_counts(Inputs(spark, sf_dir, full).graph_rows())
+
+
+@query("""select graph_id, (8 - count(distinct condition_id))::bigint as missing, count(*) - count(distinct condition_id) as repeated, count(distinct (model, replicate)) - 1 as identities, count(distinct pair_count) - 1 as pair_counts,
+  count(*) filter (greatest(euclidean, poincare, repaired) > pair_count) as impossible, count(*) filter (repaired < poincare) as worse_by_repair from graph_rows group by graph_id""", full=True)
+def graph_row_violations(spark, sf_dir, full=False):
+    return diagnostics.graph_row_violations(Inputs(spark, sf_dir, full).graph_rows(), 2 * len(geometry.RADII), ["model", "replicate"])
+
+
+@query("""select graph_id, condition_id, count(s) as recovered, sum(h)::bigint as hops, sum(l)::bigint as shortest, round(avg(s), 8) as stretch, round(max(s), 8) as largest from (
+  select graph_id, condition_id, case when hit then hops / shortest end as s, case when hit then hops end as h, case when hit then shortest end as l from (select *, initial_failure is not null and success as hit from method where method = 'repaired')) group by all""", full=True)
+def recovered_stretch(spark, sf_dir, full=False):
+    own = diagnostics.recovered_stretch(Inputs(spark, sf_dir, full).methods())
+    return rounded(own)
+
+
+@query("""select l_orderkey as cell_id, n = 3 and k = 3 as complete, case when n = 3 and k = 3 then round(median, 4) end as median, case when n = 3 and k = 3 then round(hi, 4) end as largest, case when n = 3 and k = 3 then round(lo, 4) end as smallest,
+  case when n = 3 and k = 3 then round(hi - lo, 4) end as spread, case when n = 3 and k = 3 then round(case when median <> 0 then (hi - lo) / median else 0 end, 4) end as relative_spread from (
+  select l_orderkey, count(distinct l_linenumber) filter (l_linenumber <= 3) as n, count(*) as k, median(p) filter (l_linenumber in (2, 3)) as median, max(p) filter (l_linenumber in (2, 3)) as hi, min(p) filter (l_linenumber in (2, 3)) as lo
+  from (select l_orderkey, l_linenumber, l_extendedprice::double as p from lineitem) group by l_orderkey)""", alone=True)
+def capacity_cells(spark, sf_dir):
+    """The cell summary on the star schema: orders as cells, their lines as repetitions, prices as runtimes."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rounded(diagnostics.capacity_cells(lines.select(F.col("l_orderkey").alias("cell_id"), (F.col("l_linenumber") - 1).alias("repetition"), F.col("l_extendedprice").cast("double").alias("runtime"))), 4)
+
+
+@query()
+def pair_sensitivity(spark, sf_dir):
+    """Pairs' differences between the two metrics on the first family's largest radius, 2,000 replicates."""
+    own = Inputs(spark, sf_dir, full=True).ordinary().where("condition_id = 'hydra_r095'")
+    value = F.sum(F.when(F.col("metric") == "poincare", 1).otherwise(-1) * F.col("success").cast("int"))
+    return rounded(diagnostics.pair_sensitivity(own.groupBy("graph_id", "pair_index").agg(value.alias("value"))))
+
+
+@query()
+def graph_seeds(spark, sf_dir):
+    return identities.graph_seeds(sampling.schedule(spark))
+
+
+@query()
+def sentinel_pairs(spark, sf_dir):
+    return identities.sentinel_pairs(sampling.schedule(spark))
+
+
+@query()
+def audit_pairs(spark, sf_dir):
+    return identities.audit_pairs(sampling.schedule(spark))
+
+
+@query()
+def pair_identities(spark, sf_dir):
+    return identities.pair_identities(Inputs(spark, sf_dir, full=True).pairs)
+
+
+@query("""select graph_id, '{"configuration_name":"design","model":"' || model || '","replicate_index":' || r || ',"seed_identity_version":3,"setting_index":' || k || ',"setting_label":"n' || n || '_m' || m || '"}' as identity from (
+  select format('{}_n{:04d}_m{:02d}_rep{:03d}', if(a = 0, 'er', 'ba'), n, m, r) as graph_id, if(a = 0, 'erdos_renyi', 'barabasi_albert') as model, r, n, m, (b * 3 + c) as k
+  from (select a, b, c, r, [100, 300, 1000][b + 1] as n, [4, 8, 16][c + 1] as m from range(2) x(a), range(3) y(b), range(3) z(c), range(20) w(r)))""", alone=True)
+def graph_identities(spark, sf_dir):
+    design = sampling.schedule(spark).withColumn("configuration", F.lit("design")).withColumn("label", F.concat(F.lit("n"), "n", F.lit("_m"), "m")).withColumn("setting", F.floor(F.col("schedule_index") / sampling.REPLICATES) % (len(sampling.SIZES) * len(sampling.ATTACHMENTS)))
+    return design.select("graph_id", identities.graph_identity("configuration", "setting", "label", "model", "replicate_index").alias("identity"))
+
+
+@query("""select m.model, o.outcome, (case when m.model = 'erdos_renyi' then 'er' else 'ba' end) || (case when o.outcome = 'success_contrast' then '_success_contrast' else '_common_success_stretch_contrast' end) as family
+  from (values ('erdos_renyi'), ('barabasi_albert')) m(model), (values ('success_contrast'), ('stretch_contrast')) o(outcome)""", alone=True)
+def family_labels(spark, sf_dir):
+    design = sampling.schedule(spark).select("model").distinct().withColumn("outcome", F.explode(F.array(F.lit("success_contrast"), F.lit("stretch_contrast"))))
+    return design.select("model", "outcome", identities.family_label("model", "outcome").alias("family"))
