@@ -105,3 +105,80 @@ def test_identities(spark):
     assert identities.pair_identities(pairs, "h").first().identity == f"{number(payload, b'i2idv1', 16):032x}"
     assert identities.domain_seed(5, "d", "a", 1) == number({"algorithm": "blake2s-32-domain-separated-v1", "domain": "d", "identity": ["a", 1], "master_seed": 5}, b"GRPseed1", 4)
     assert identities.property_seed("p", 1, "x") == number({"analysis_plan_hash": "p", "seed_identity_version": 2, "master": 14_000_003, "family": "iteration2_property_associations_v2", "identity": [1, "x"]}, b"GRP2prop", 8)
+
+
+def test_walk_resources(spark):
+    """Counted along whole walks of the second protocol, repaired ones too, by an instrumented walk of its own."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from wayfold.operators import walking
+
+    rng = random.Random(4)
+    n = 40
+    place = {k: (rng.uniform(-0.6, 0.6), rng.uniform(-0.6, 0.6)) for k in range(n)}
+    near = {k: set() for k in range(n)}
+    for k in range(n):
+        for j in (k + 1, rng.randrange(n)):
+            if k != j % n:
+                near[k].add(j % n)
+                near[j % n].add(k)
+    adjacent = spark.createDataFrame([("g", a, b) for a in near for b in near[a]], "graph_id string, node long, neighbour long")
+    coords = spark.createDataFrame([("g", "c", k, *p) for k, p in place.items()], "graph_id string, condition_id string, node long, x double, y double")
+    pairs = spark.createDataFrame([("g", k, *rng.sample(range(n), 2)) for k in range(80)], "graph_id string, pair_index int, source long, destination long")
+    walked = walking.walks(pairs, adjacent, coords, "i2").where("metric = 'euclidean'").cache()
+    plain = walking.ordinary(walked)
+    fixed = walking.repaired(walked).join(plain.select("pair_index", F.col("hops").alias("h")), "pair_index").withColumn("initial_hops", F.expr("case when attempted then h end"))
+
+    def costs(walk, target, back=None):
+        total = 0
+        for at, v in enumerate(walk):
+            if v == target:
+                continue
+            if back is not None and at == back + 1:
+                free = near[v] - set(walk[: back + 1])
+                total += 0 if target in free else len(free)
+            elif target not in near[v]:
+                total += 1 + len(near[v])
+        return total, len(set(walk))
+
+    for r in diagnostics.walk_resources(plain, adjacent).collect():
+        assert (r.evaluations, r.history) == costs(r.walk, r.destination)
+    hops = {r.pair_index: r.initial_hops for r in fixed.collect()}
+    rows = diagnostics.walk_resources(fixed, adjacent).collect()
+    assert sum(h is not None for h in hops.values()) > 3
+    for r in rows:
+        assert (r.evaluations, r.history) == costs(r.walk, r.destination, hops[r.pair_index])
+
+
+def test_repeated_eigenvalues():
+    """A basis of a repeated eigenspace is the same for every rotation that a solver may return."""
+    from wayfold.operators import embedding
+
+    rng = np.random.default_rng(3)
+    q = np.linalg.qr(rng.normal(size=(7, 7)))[0]
+    values = np.array([5.0, 3.0, 3.0, 3.0, 1.0, -2.0, -2.0])
+    one = embedding.settled(values, q)
+    for _ in range(5):
+        turned = q.copy()
+        for low, high in ((1, 4), (5, 7)):
+            turned[:, low:high] = q[:, low:high] @ np.linalg.qr(rng.normal(size=(high - low, high - low)))[0]
+        other = embedding.settled(values, turned * rng.choice([-1, 1], size=7))
+        assert np.allclose(other, one, atol=1e-10)
+    assert np.allclose(one.T @ one, np.eye(7), atol=1e-12) and np.allclose(one @ np.diag(values) @ one.T, q @ np.diag(values) @ q.T, atol=1e-10)
+    complete = 1.0 - np.eye(5)
+    assert np.isfinite(embedding.classical_mds(complete)).all() and np.linalg.norm(embedding.hydra(complete), axis=1).max() < 1
+
+
+def test_spectral_diagnostics(spark):
+    from wayfold.operators import embedding
+
+    ring = spark.createDataFrame([("ring", k, (k + 1) % 6) for k in range(6)] + [("path", 0, 1)], "graph_id string, src long, dst long")
+    got = {(r.graph_id, r.family): r for r in embedding.spectral_diagnostics(ring).collect()}
+    d = np.array([[min((a - b) % 6, (b - a) % 6) for a in range(6)] for b in range(6)], float)
+    values = np.sort(np.linalg.eigvalsh(np.cosh(d)))[::-1]
+    r = got["ring", "hydra"]
+    assert sorted([*r.retained, *r.rejected]) == pytest.approx(sorted(values)) and r.retained[0] == pytest.approx(values[0]) and len(r.retained) == 1 + (values[-2:] < -r.zero).sum()
+    assert len(got["ring", "mds"].retained) == 2 and len(got["path", "mds"].retained) == 1 and got["path", "mds"].retained[0] == pytest.approx(0.5)
+    assert embedding.spectral_diagnostics(ring.limit(0)).count() == 0

@@ -154,3 +154,23 @@ def pair_sensitivity(pair_values: DataFrame, pair_counts: tuple[int, ...] = (250
     means = tasks.repartition(parts, "graph_id", "pairs", "start").mapInPandas(run, "pairs int, replicate int, mean double")
     per = means.groupBy("pairs", "replicate").agg(F.avg("mean").alias("estimate"), F.count("*").alias("graphs")).where("graphs >= 2")
     return per.groupBy("pairs").agg((100 * F.stddev_samp("estimate")).alias("standard_error"), F.count("*").alias("replicates"), F.max("graphs").alias("graphs"))
+
+
+def walk_resources(routes: DataFrame, adjacent: DataFrame) -> DataFrame:
+    """Routes of the second protocol with evaluations (distances that their decisions asked for) and history (distinct nodes remembered).
+
+    routes: graph_id, pair_index, condition_id, metric, destination, walk; where a repair took place also initial_hops, the hops
+    before it (null without one).  A node next to the destination needs no distance; every other node that decides measures
+    itself and its neighbours; the repair measures the unexplored neighbours of the node that it went back to.
+    """
+    keys = ["graph_id", "pair_index", "condition_id", "metric"]
+    if "initial_hops" not in routes.columns:
+        routes = routes.withColumn("initial_hops", F.lit(None).cast("int"))
+    steps = routes.select(*keys, "destination", "initial_hops", F.slice("walk", F.lit(1), F.coalesce("initial_hops", F.size("walk") - 1) + 1).alias("before"), F.posexplode("walk").alias("at", "node"))
+    steps = steps.where("node <> destination").withColumn("back", F.coalesce(F.col("at") == F.col("initial_hops") + 1, F.lit(False)))
+    near = adjacent.groupBy("graph_id", "node").agg(F.collect_set("neighbour").alias("near"))
+    free = F.array_except("near", "before")
+    known = F.coalesce("near", F.array().cast("array<long>"))
+    cost = F.when(F.col("back"), F.when(F.array_contains(free, F.col("destination")), 0).otherwise(F.size(free))).when(F.array_contains(known, F.col("destination")), 0).otherwise(1 + F.size(known))
+    spent = steps.join(near, ["graph_id", "node"], "left").groupBy(*keys).agg(F.sum(cost).cast("long").alias("evaluations"))
+    return routes.join(spent, keys, "left").withColumn("evaluations", F.coalesce("evaluations", F.lit(0).cast("long"))).withColumn("history", F.size(F.array_distinct("walk"))).drop("initial_hops")

@@ -631,3 +631,29 @@ def graph_identities(spark, sf_dir):
 def family_labels(spark, sf_dir):
     design = sampling.schedule(spark).select("model").distinct().withColumn("outcome", F.explode(F.array(F.lit("success_contrast"), F.lit("stretch_contrast"))))
     return design.select("model", "outcome", identities.family_label("model", "outcome").alias("family"))
+
+
+RESOURCES_SQL = """, spent as (
+  select r.graph_id, r.pair_index, r.condition_id, r.metric, sum(case when n.near = 1 then 0 else 1 + n.k end) as evaluations from (select *, unnest(walk) as node from route2) r
+  join (select a.graph_id, a.node, p.destination, count(*) as k, max((a.neighbour = p.destination)::int) as near from adj a join (select distinct graph_id, destination from pairs) p using (graph_id) group by all) n
+    on n.graph_id = r.graph_id and n.node = r.node and n.destination = r.destination where r.node <> r.destination group by all),
+used as (select r.*, coalesce(s.evaluations, 0)::bigint as evaluations, len(list_distinct(r.walk))::int as history from route2 r left join spent s using (graph_id, pair_index, condition_id, metric))"""
+
+
+@query(f"{RESOURCES_SQL} select graph_id, pair_index, condition_id, metric, evaluations, history from used", full=True)
+def walk_resources(spark, sf_dir, full=False):
+    own = Inputs(spark, sf_dir, full)
+    return diagnostics.walk_resources(own.ordinary("i2"), own.adjacent).select("graph_id", "pair_index", "condition_id", "metric", "evaluations", "history")
+
+
+@query(f"""{RESOURCES_SQL} select condition_id, metric as method, sum(hops)::bigint as hops_sum, round(avg(hops), 8) as hops_mean, max(hops)::int as hops_max, sum(evaluations)::bigint as evaluations_sum, round(avg(evaluations), 8) as evaluations_mean, max(evaluations)::bigint as evaluations_max,
+  sum(history)::bigint as history_sum, round(avg(history), 8) as history_mean, max(history)::int as history_max from used group by all""", full=True)
+def resource_summary_i2(spark, sf_dir, full=False):
+    own = Inputs(spark, sf_dir, full)
+    used = diagnostics.walk_resources(own.ordinary("i2"), own.adjacent).withColumnRenamed("metric", "method")
+    return rounded(estimands.resource_summary(used, ("hops", "evaluations", "history")))
+
+
+@query()
+def spectral_diagnostics(spark, sf_dir):
+    return embedding.spectral_diagnostics(Inputs(spark, sf_dir).edges)
