@@ -320,7 +320,7 @@ def marginal_means(spark, sf_dir, full=False):
     return rounded(estimands.marginals(cells, [["model", "family"], ["model", "radius"], ["model"], []], "value").select("model", "family", "radius", "mean", "strata"), 7)
 
 
-@query(f"""{BOOT} select model, condition_id, round(low, 7) as low, round(high, 7) as high, low >= -5 and high <= 5 as within_margin, low > 0 as positive, high < 0 as negative, low > 5 as above_margin, high < -5 as below_margin,
+@query(f"""{BOOT} select model, condition_id, round(low, 7) + 0.0::double as low, round(high, 7) + 0.0::double as high, low >= -5 and high <= 5 as within_margin, low > 0 as positive, high < 0 as negative, low > 5 as above_margin, high < -5 as below_margin,
   case when low >= -5 and high <= 5 then 'practically_equivalent' when low > 0 then 'positive' when high < 0 then 'negative' else 'unresolved' end as label
   from (select model, condition_id, quantile_disc(estimate, 0.025) as low, quantile_disc(estimate, 0.975) as high from boot group by all)""", full=True)
 def equivalence_labels(spark, sf_dir, full=False):
@@ -332,7 +332,7 @@ def equivalence_labels(spark, sf_dir, full=False):
 
 @query(f"""{BOOT}{INTERACTIONS}, paired as (select i.model, i.radius, d.replicate, avg(i.interaction) as estimate from drawn d join inter i on i.model = d.model and i.replicate = d.drawn group by all),
   means as (select model, radius, avg(interaction) as mean, count(*) as graphs from inter group by all)
-  select model, radius, round(mean, 7) as mean, graphs, round(low, 7) as low, round(high, 7) as high from means join
+  select model, radius, round(mean, 7) + 0.0::double as mean, graphs, round(low, 7) + 0.0::double as low, round(high, 7) + 0.0::double as high from means join
   (select model, radius, quantile_disc(estimate, 0.025) as low, quantile_disc(estimate, 0.975) as high from paired group by all) using (model, radius)""", full=True)
 def interaction_intervals(spark, sf_dir, full=False):
     """Family interactions by radius, the same graphs drawn for both families."""
@@ -346,7 +346,7 @@ def interaction_intervals(spark, sf_dir, full=False):
 
 
 @query(f"""{BOOT}, diff as (select condition_id, replicate, avg(estimate) filter (model = 'barabasi_albert') - avg(estimate) filter (model = 'erdos_renyi') as estimate from boot group by all)
-  select condition_id, round(contrast, 7) as contrast, round(low, 7) as low, round(high, 7) as high from
+  select condition_id, round(contrast, 7) + 0.0::double as contrast, round(low, 7) + 0.0::double as low, round(high, 7) + 0.0::double as high from
   (select condition_id, avg(value) filter (model = 'barabasi_albert') - avg(value) filter (model = 'erdos_renyi') as contrast from vals group by all) join
   (select condition_id, quantile_disc(estimate, 0.025) as low, quantile_disc(estimate, 0.975) as high from diff group by all) using (condition_id)""", full=True)
 def model_contrast_intervals(spark, sf_dir, full=False):
@@ -361,7 +361,7 @@ def model_contrast_intervals(spark, sf_dir, full=False):
 
 @query(f"""{BOOT}, own as (select split_part(condition_id, '_', 1) as family, replicate, avg(estimate) as estimate from boot group by all),
   cells as (select model, condition_id, split_part(condition_id, '_', 1) as family, avg(value) as value from vals group by all)
-  select family, round(mean, 7) as mean, strata, round(low, 7) as low, round(high, 7) as high from (select family, avg(value) as mean, count(*) as strata from cells group by all) join
+  select family, round(mean, 7) + 0.0::double as mean, strata, round(low, 7) + 0.0::double as low, round(high, 7) + 0.0::double as high from (select family, avg(value) as mean, count(*) as strata from cells group by all) join
   (select family, quantile_disc(estimate, 0.025) as low, quantile_disc(estimate, 0.975) as high from own group by all) using (family)""", full=True)
 def marginal_intervals(spark, sf_dir, full=False):
     """Equal-weight marginals of the cells by family, with the intervals of their replicated means."""
@@ -525,7 +525,7 @@ def generated_graphs(spark, sf_dir):
 
 
 @query("""select r.graph_id, r.pair_index, r.condition_id, r.metric, r.failure, r.walk[-1] as stopped, r.hops::int as failure_hop, count(n.neighbour) as terminal_degree, round(any_value(n.d_node), 7) as current_distance, round(min(n.d_next), 7) as best_neighbour_distance,
-  round(any_value(n.d_node) - min(n.d_next), 7) as progress_gap from route2 r join near n on n.graph_id = r.graph_id and n.condition_id = r.condition_id and n.metric = r.metric and n.destination = r.destination and n.node = r.walk[-1]
+  round(any_value(n.d_node) - min(n.d_next), 7) + 0.0::double as progress_gap from route2 r join near n on n.graph_id = r.graph_id and n.condition_id = r.condition_id and n.metric = r.metric and n.destination = r.destination and n.node = r.walk[-1]
   where not r.success group by r.graph_id, r.pair_index, r.condition_id, r.metric, r.failure, r.walk, r.hops""", full=True)
 def failure_diagnostics(spark, sf_dir, full=False):
     own = Inputs(spark, sf_dir, full)
