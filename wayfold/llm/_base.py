@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,7 +16,7 @@ from pyspark.sql import types as T
 from wayfold._tables import dropped, shared_path, written
 from wayfold.shipping import ship
 
-__all__ = ["ALNUM", "alnum_words", "caches", "dropped", "filtered", "given_back", "in_arrow", "in_groups", "mapped", "shared_path", "slices", "space_words", "texts", "written"]
+__all__ = ["ALNUM", "alnum_words", "caches", "dropped", "filtered", "given_back", "in_arrow", "in_duck", "in_groups", "mapped", "shared_path", "slices", "space_words", "texts", "written"]
 
 #: Maps A-Z to a-z, every other ASCII byte that is no digit or letter to a space; bytes from 0x80 stay.
 ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -132,3 +134,25 @@ def filtered(df: DataFrame, text_col: str, fn: Callable[[pa.Array], list[bool]],
                 yield batch.filter(pa.array(fn(batch.column(at)), pa.bool_()))
 
     return in_arrow(df, run, df.schema, keeps)
+
+
+#: DuckDB's memory in a worker; tables are of one slice or shard, so that nothing is spilled to a local folder.
+DUCK_MEMORY = "600MB"
+
+
+@functools.lru_cache(1)
+def duck() -> duckdb.DuckDBPyConnection:
+    """A worker's DuckDB: one thread for a task's one core, in memory alone."""
+    return duckdb.connect(config={"threads": 1, "memory_limit": DUCK_MEMORY, "temp_directory": ""})
+
+
+def in_duck(sql: str, **tables: pa.Table) -> pa.Table:
+    """The rows of a query over Arrow tables, in the worker's DuckDB."""
+    con = duck()
+    for name, rows in tables.items():
+        con.register(name, rows)
+    try:
+        return con.sql(sql).to_arrow_table()
+    finally:
+        for name in tables:
+            con.unregister(name)

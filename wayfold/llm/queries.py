@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm import ann, chat, decontaminate, license_scan, lm_score, ngram_join, packing, token_shards, toxicity, url_filter
+from wayfold.llm import ann, byte_bpe, chat, decontaminate, divergence, license_scan, lm_score, ngram_join, packing, periodicity, token_shards, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -175,6 +175,95 @@ from marked group by conv_id
 """.format(end=chat.END, start=chat.START, esc=chat.ESCAPE, marks=len(chat.START) + len(chat.END))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+#: Every term of a language for every group and for the language itself, as the definition has it.
+OP11_SQL = f"""
+with docs as (select row_number() over () as d, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({LOWER_SQL}, '[a-z\\x{{80}}-\\x{{10FFFF}}]+') as words from documents),
+said as (select d, lang, source, unnest(words) as term from docs),
+counts as (select lang, source, term, count(*) as n from said group by all),
+kept as (select lang, term from said group by all having count(distinct d) >= {divergence.LEAST_DOCUMENTS}),
+sizes as (select lang, count(*) as v from kept group by all),
+groups as (select distinct lang, source from docs),
+dense as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0)::hugeint as n from groups g join kept k using (lang) left join counts c using (lang, source, term)
+  union all select k.lang, null, k.term, sum(c.n) from kept k join counts c using (lang, term) group by all),
+totals as (select lang, source, sum(n) as total from dense group by all),
+shares as (
+  select x.lang, x.source, x.term, x.n, (1 + {divergence.SCALE}::hugeint * (x.n + 2) // (t.total + 2 * s.v))::bigint as p
+  from dense x join totals t on t.lang = x.lang and t.source is not distinct from x.source join sizes s on s.lang = x.lang),
+pairs as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::bigint as value from shares a join shares b using (lang, term) where a.source <> b.source group by all),
+terms as (
+  select a.lang, a.source, a.term as item, ((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::bigint as value
+  from shares a join shares b using (lang, term) where a.source is not null and b.source is null and a.n > 0 and a.p > b.p),
+ranked as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(p.value, 0) as value from groups a join groups b using (lang) left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source where a.source <> b.source
+  union all select lang, source, 'term', item, value from terms),
+placed as (select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from ranked)
+select lang, source, part, item, value, rank from placed where part = 'pair' or rank <= {divergence.TOP_TERMS}
+"""
+
+#: White space between words, as Java's pattern.
+SPACE = r"[\\x20\\x09-\\x0D]+"
+
+
+def with_period(docs: DataFrame) -> DataFrame:
+    """doc_id and text; of each tenth document the words from the a-th on repeat the next p."""
+    words = f"filter(split(text, '{SPACE}'), w -> w <> '')"
+    h = "crc32(cast(doc_id as string))"
+    n, g = "cardinality(words)", f"({h} div 10)"
+    repeated = f"transform(words, (w, i) -> if(i < {g} % {n}, w, words[cast({g} % {n} + (i - {g} % {n}) % (1 + ({n} - {g} % {n}) div (3 + {g} % 8)) as int)]))"
+    chosen = docs.select("doc_id", F.expr(f"if({h} % 10 = 0, {words}, null)").alias("words"), "text")
+    return chosen.select("doc_id", F.expr(f"if({n} > 0, array_join({repeated}, ' '), text)").alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodicity.find_runs(with_period(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    # quotients of different lengths and periods differ by more than a double's last place
+    best = F.expr("array_max(transform(periodic_runs, r -> struct(r.length / r.period as exponent, -r.start as start, -r.period as period, r.length as length)))")
+    listed = F.expr("array_join(transform(periodic_runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("periodic_runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("(1000 * best.length) div (-best.period)").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+#: Stretches of triples that come again q words later, joined to runs; crc32 by a table of its 256 steps.
+OP12_SQL = r"""
+with crc_steps as (select list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) as steps),
+hashed as (
+  select doc_id, [x for x in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] as words,
+    xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1])), 4294967295) as h
+  from documents, crc_steps),
+sized as (select *, len(words) as n, case when h % 10 = 0 and len(words) > 0 then (h // 10) % len(words) end as a from hashed),
+changed as (select *, 1 + (n - a) // (3 + (h // 10) % 8) as p from sized),
+cut as (
+  select row_number() over () as d, doc_id, n, case when a is null then words else list_transform(range(n), lambda i: words[1 + case when i < a then i else a + (i - a) % p end]) end as words from changed),
+triples as (select d, n, k - 1 as spot, words[k] || ' ' || words[k + 1] || ' ' || words[k + 2] as triple from (select d, n, words, unnest(range(1, n - 1)) as k from cut where n >= 6)),
+again as (select x.d, x.spot, y.spot - x.spot as q from triples x join triples y on x.d = y.d and x.triple = y.triple and y.spot > x.spot and 4 * (y.spot - x.spot) <= x.n),
+chains as (select d, q, spot, spot - row_number() over (partition by d, q order by spot) as chain from again),
+repeats as (select d, min(spot) as start, max(spot) - min(spot) + 3 + q as length, q from chains group by d, q, chain),
+runs as (select d, start, length, min(q) as period from repeats where length >= greatest(6, 4 * q) group by all),
+listed as (
+  select d, count(*) as n_runs, max({'e': length / period, 's': -start, 'p': -period, 'l': length}) as best, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as runs
+  from runs group by d),
+gone as (select distinct d, unnest(range(start + period, start + length)) as spot from runs),
+lists as (select d, list(spot) as gone from gone group by d)
+select c.doc_id, coalesce(l.n_runs, 0)::bigint as n_runs, (-l.best.s)::bigint as start, l.best.l::bigint as length, (-l.best.p)::bigint as period, ((1000 * l.best.l) // (-l.best.p))::bigint as exponent_milli,
+  sha256(coalesce(l.runs, '')) as runs_sha256,
+  sha256(coalesce(array_to_string(case when g.gone is null then c.words else list_transform(list_filter(range(n), lambda i: not list_contains(g.gone, i)), lambda i: c.words[i + 1]) end, ' '), '')) as collapsed_sha256
+from cut c left join listed l using (d) left join lists g using (d)
+"""
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep=["doc_id"])
+    return byte_bpe.decode(coded, ranks).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -186,6 +275,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_license_scan": op9_license_scan,
     "op10_chat": op10_chat,
+    "op11_divergence": op11_divergence,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_ngram_join": OP3_SQL, "op4_decontamination": OP4_SQL, "op7_url_filter": OP7_SQL, "op10_chat": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_ngram_join": OP3_SQL, "op4_decontamination": OP4_SQL, "op7_url_filter": OP7_SQL, "op10_chat": OP10_SQL, "op11_divergence": OP11_SQL, "op12_periodic_runs": OP12_SQL}
