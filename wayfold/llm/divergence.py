@@ -29,6 +29,9 @@ LEAST_DOCUMENTS, SCALE, TOP_TERMS = 10, 1_000_000_000, 10
 #: Counted rows that a task holds before it sums them and sends them on.
 HELD_ROWS = 400_000
 
+#: Rows of kept terms in a shard that makes partial sums: their number follows the rows, so that sums for each pair of sources stay few.
+SHARD_ROWS = 500_000
+
 #: Maps A-Z to a-z and every other ASCII byte that is no letter to a space; bytes from 0x80 stay.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -110,7 +113,8 @@ def audit_sources(docs: DataFrame, *, lang_col: str = "lang", source_col: str =
     zero everywhere; a language without kept terms has distances of 0.  Each row
     is a document, so repeated rows count anew; ties go to the smaller item by its
     UTF-8 bytes.  An empty table gives no rows.  There are as many shards as input
-    partitions, or more, so that a shard is no larger than what a task sends.
+    partitions, or more, so that a shard is no larger than what a task sends; partial
+sums are made in as many as the kept rows need.
     """
     shards = shards or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     dealt = counted(docs, lang_col, source_col, text_col).withColumn("shard", F.pmod(F.xxhash64("lang", "term"), F.lit(shards)))
@@ -120,7 +124,8 @@ def audit_sources(docs: DataFrame, *, lang_col: str = "lang", source_col: str =
     groups = written(sums.join(sums.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.sum("leads").alias("v")), "lang").drop("leads"), "groups")
 
     shared_sql = SHARED.format(top=int(top_terms))
-    full = kept.where("term is not null").join(groups, ["lang", "source"])
+    fewer = 1 + kept.count() // SHARD_ROWS
+    full = kept.where("term is not null").withColumn("shard", F.pmod("shard", F.lit(fewer))).join(groups, ["lang", "source"])
     parts = written(in_groups(full, ["shard"], lambda rows: in_duck(shared_sql, counts=rows), "part string, lang string, source string, item string, value long"), "partial-sums")
 
     zero = groups.select("lang", "source", "v", "total", share("0", "total").alias("p0"))
