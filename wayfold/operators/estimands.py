@@ -68,6 +68,13 @@ def stretch_summary(routes: DataFrame) -> DataFrame:
     return per.groupBy("condition_id", "method").agg(F.avg("all").alias("stretch"), F.count("all").alias("graphs"), F.avg("common").alias("common_stretch"), F.count("common").alias("common_graphs"))
 
 
+def common_stretch(routes: DataFrame) -> DataFrame:
+    """(graph_id, condition_id, stretch_contrast): mean difference in stretch over the pairs on which both metrics succeed; no row without one."""
+    of = lambda m: F.max(F.when((F.col("method") == m) & F.col("success"), F.col("hops") / F.col("shortest")))
+    pairs = routes.groupBy("graph_id", "condition_id", "pair_index").agg(of("euclidean").alias("e"), of("poincare").alias("p")).where("e is not null and p is not null")
+    return pairs.groupBy("graph_id", "condition_id").agg((F.avg("p") - F.avg("e")).alias("stretch_contrast"))
+
+
 def band_summary(routes: DataFrame) -> DataFrame:
     """Success and stretch by condition, method and band of the shortest length, every band present."""
     own = routes.withColumn("band", distance_band(F.col("shortest"))).groupBy("condition_id", "method", "band").agg(F.count("*").alias("routes"), count_of(F.col("success")).alias("successes"), F.avg(F.when(F.col("success"), F.col("hops") / F.col("shortest"))).alias("stretch"))

@@ -92,6 +92,61 @@ def all_pairs(edges: DataFrame) -> DataFrame:
     return edges.groupBy("graph_id").applyInPandas(run, "graph_id string, u long, v long, d int")
 
 
+def bits_reached(first: np.ndarray, near: np.ndarray, sources: np.ndarray, wanted: list[tuple[int, int]]) -> list[int]:
+    """Hops of (source's place, destination) pairs, -1 without a path: 64 sources are the bits of one number for each node.
+
+    near lists neighbours of all nodes one after the other, first where each node's begin (with the end).
+    """
+    n, words = len(first) - 1, -(-len(sources) // 64)
+    seen = np.zeros((n, words), np.uint64)
+    k = np.arange(len(sources))
+    np.bitwise_or.at(seen, (sources, k // 64), np.uint64(1) << (k % 64).astype(np.uint64))
+    at, to = (np.array(w, np.int64) for w in zip(*wanted, strict=True))
+    word, bit = at // 64, np.uint64(1) << (at % 64).astype(np.uint64)
+    out = np.where(sources[at] == to, 0, -1)
+    held, new, level = np.flatnonzero(np.diff(first)), seen.copy(), 0
+    while held.size and (open_ := np.flatnonzero(out < 0)).size:
+        level += 1
+        reached = np.zeros_like(seen)
+        reached[held] = np.bitwise_or.reduceat(new[near], first[held], axis=0)
+        new = reached & ~seen
+        if not new.any():
+            break
+        seen |= new
+        out[open_[(new[to[open_], word[open_]] & bit[open_]) != 0]] = level
+    return out.tolist()
+
+
+def pair_lengths(edges: DataFrame, pairs: DataFrame, together: int = 1024) -> DataFrame:
+    """(graph_id, pair_index, source, destination, shortest): hops of each pair, null without a path or where a node has no edge.
+
+    A bit-parallel search from up to that many sources of a graph at once in each
+    task, which ends when all its pairs are reached; no table of n^2 rows.
+    """
+    spark = pairs.sparkSession
+    ship(spark)
+    ends = edges.groupBy("graph_id").agg(F.collect_list("src").alias("src"), F.collect_list("dst").alias("dst"))
+    rank = F.dense_rank().over(Window.partitionBy("graph_id").orderBy("source"))
+    parts = pairs.withColumn("part", F.floor((rank - 1) / together)).groupBy("graph_id", "part").agg(F.sort_array(F.collect_list(F.struct("pair_index", "source", "destination"))).alias("p"))
+    some = parts.select("graph_id", "part", F.col("p.pair_index").alias("pair_index"), F.col("p.source").alias("source"), F.col("p.destination").alias("destination"))
+    schema = f"graph_id string, pair_index {pairs.schema['pair_index'].dataType.simpleString()}, source long, destination long, shortest int"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for g in batch.itertuples():
+                source, destination = np.array(g.source, np.int64), np.array(g.destination, np.int64)
+                src, dst = (np.array([] if e is None else e, np.int64) for e in (g.src, g.dst))
+                n = int(max(source.max(), destination.max(), src.max(initial=0), dst.max(initial=0))) + 1
+                a, b = np.concatenate([src, dst]), np.concatenate([dst, src])
+                order = np.argsort(a, kind="stable")
+                first = np.searchsorted(a[order], np.arange(n + 1))
+                sources, place = np.unique(source, return_inverse=True)
+                hops = bits_reached(first, b[order], sources, list(zip(place.tolist(), destination.tolist(), strict=True)))
+                yield pd.DataFrame({"graph_id": g.graph_id, "pair_index": g.pair_index, "source": source, "destination": destination, "shortest": pd.array([h if h >= 0 else None for h in hops], "Int32")})
+
+    return some.join(ends, "graph_id", "left").repartition("graph_id", "part").drop("part").mapInPandas(run, schema)
+
+
 def network_metrics(edges: DataFrame, apsp: DataFrame) -> DataFrame:
     """n, m, mean and largest degree, population variance, clustering, diameter, mean distance."""
     nodes = clustering(edges).groupBy("graph_id").agg(

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.operators.graphs import midrank
-from wayfold.shipping import ship
 
 
 def draws(strata: DataFrame, replicates: int, index: Column) -> DataFrame:
@@ -56,39 +53,3 @@ def projected_precision(values: DataFrame, by: list[str], value: str, candidates
     spread = values.groupBy(*by).agg(F.var_samp(value).alias("variance"))
     width = 2 * 1.959963984540054 * F.sqrt(F.col("variance") / F.col("graphs"))
     return spread.withColumn("graphs", F.explode(F.array(*[F.lit(c) for c in candidates]))).select(*by, "graphs", "variance", width.alias("full_width"))
-
-
-def permutation_associations(values: DataFrame, family: list[str], hypotheses: str, x: str, y: str, stratum: str, replicates: int = 999, seed: int = 7) -> DataFrame:
-    """Within-stratum rank association of each hypothesis with a plus-one permutation p and a max-statistic family-wise p.
-
-    One family is one task: its rows are a design's graphs, some hundreds.
-    """
-    ship(values.sparkSession)
-    fields = ", ".join(f"{f} {values.schema[f].dataType.simpleString()}" for f in [*family, hypotheses])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(seed)
-        names, residuals, strata = [], [], None
-        for name, rows in group.groupby(hypotheses, sort=True):
-            rows = rows.sort_values([stratum, x, y]) if strata is None else rows
-            rank = rows.groupby(stratum)[[x, y]].rank()
-            rest = (rank - rank.groupby(rows[stratum]).transform("mean")).to_numpy()
-            names.append(name)
-            residuals.append((rest, rows[stratum].to_numpy()))
-        observed, beyond, largest = [], [], []
-        perms = np.zeros((len(names), replicates))
-        for k, (rest, s) in enumerate(residuals):
-            scale = np.sqrt((rest[:, 0] ** 2).sum() * (rest[:, 1] ** 2).sum())
-            observed.append(rest[:, 0] @ rest[:, 1] / scale if scale > 1e-12 else np.nan)
-            for r in range(replicates):
-                order = np.lexsort((rng.random(len(s)), s))
-                base = np.lexsort((np.arange(len(s)), s))
-                shuffled = np.empty(len(s))
-                shuffled[base] = rest[order, 1]
-                perms[k, r] = abs(rest[:, 0] @ shuffled / scale) if scale > 1e-12 else np.nan
-        top = np.nanmax(perms, axis=0)
-        beyond = [(1 + np.sum(perms[k] >= abs(o))) / (1 + replicates) if o == o else None for k, o in enumerate(observed)]
-        largest = [(1 + np.sum(top >= abs(o))) / (1 + replicates) if o == o else None for o in observed]
-        return pd.DataFrame({**{f: group[f].iloc[0] for f in family}, hypotheses: names, "association": observed, "p": beyond, "family_p": largest})
-
-    return values.groupBy(*family).applyInPandas(run, f"{fields}, association double, p double, family_p double")

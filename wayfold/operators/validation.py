@@ -52,3 +52,12 @@ def design_gaps(routes: DataFrame, pairs: DataFrame, conditions: DataFrame) -> D
 def not_finite(table: DataFrame, columns: list[str]) -> DataFrame:
     bad = reduce(lambda a, b: a | b, [F.isnan(c) | (F.abs(F.col(c)) == float("inf")) for c in columns])
     return table.where(bad)
+
+
+def length_mismatches(lengths: DataFrame, apsp: DataFrame) -> DataFrame:
+    """(graph_id, pairs, mismatches): pairs whose length isn't that of the distance table, in either direction; both absent agree."""
+    there = apsp.select("graph_id", F.col("u").alias("source"), F.col("v").alias("destination"), F.col("d").alias("there"))
+    back = apsp.select("graph_id", F.col("v").alias("source"), F.col("u").alias("destination"), F.col("d").alias("back"))
+    both = lengths.join(there, ["graph_id", "source", "destination"], "left").join(back, ["graph_id", "source", "destination"], "left")
+    same = F.col("shortest").eqNullSafe(F.col("there")) & F.col("shortest").eqNullSafe(F.col("back"))
+    return both.groupBy("graph_id").agg(F.count("*").alias("pairs"), F.count(F.when(~same, 1)).alias("mismatches"))

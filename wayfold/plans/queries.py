@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfold._tables import written
 from wayfold.functions import geometry
-from wayfold.operators import diagnostics, embedding, estimands, graphs, identities, inference, routing, sampling, validation, walking
+from wayfold.operators import associations, diagnostics, embedding, estimands, graphs, identities, inference, routing, sampling, validation, walking
 from wayfold.plans import workload
 from wayfold.plans.workload import SQL
 
@@ -24,6 +24,9 @@ WHOLE_DRAWS = 10_000
 WHOLE_PAIRS, PAIR_SEED = 1_000, 41_000_003
 
 
+PROPERTIES = ["average_degree", "maximum_degree", "population_degree_variance", "average_clustering_coefficient", "diameter", "average_shortest_path_length"]
+
+
 def query(sql: str | None = None, alone: bool = False, full: bool = False) -> Callable[[Query], Query]:
     """Registers a query under its function's name; sql follows the workload's tables unless it stands alone.
 
@@ -79,17 +82,31 @@ class Inputs:
         return routing.routes(self.pairs, decided, F.size("by_node"), protocol)
 
     def methods(self) -> DataFrame:
+        """Routes of all methods with their pairs' lengths, made once."""
+        if "methods" in self.walked:
+            return self.walked["methods"]
         plain = self.ordinary()
         both = estimands.methods(plain, self.repaired(plain=plain))
-        short = graphs.all_pairs(self.edges).select("graph_id", F.col("u").alias("source"), F.col("v").alias("destination"), F.col("d").alias("shortest"))
-        return both.join(short, ["graph_id", "source", "destination"])
+        short = graphs.pair_lengths(self.edges, self.pairs).select("graph_id", "pair_index", "shortest")
+        self.walked["methods"] = written(both.join(short.where("shortest is not null"), ["graph_id", "pair_index"]), "methods")
+        return self.walked["methods"]
 
     def graph_rows(self) -> DataFrame:
-        """With model and replicate, taken from the graph's number."""
-        number = F.substring("graph_id", -1, 1).cast("int")
+        """With model and replicate."""
         plain = self.ordinary()
-        rows = estimands.graph_rows(estimands.methods(plain, self.repaired(plain=plain)))
-        return rows.withColumn("model", F.when(number < 5, "erdos_renyi").otherwise("barabasi_albert")).withColumn("replicate", number % 5)
+        return workload.placed(estimands.graph_rows(estimands.methods(plain, self.repaired(plain=plain))))
+
+    def properties(self) -> DataFrame:
+        return graphs.network_metrics(self.edges, graphs.all_pairs(self.edges))
+
+    def outcomes(self) -> DataFrame:
+        """(model, outcome_name, stratum, graph_id, condition_id, outcome, properties): what the property associations compare."""
+        routes = self.methods()
+        rows = workload.placed(estimands.graph_rows(routes)).withColumn("success_contrast", (F.col("poincare") - F.col("euclidean")) / F.col("pair_count"))
+        both = rows.join(estimands.common_stretch(routes), ["graph_id", "condition_id"], "left")
+        kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("outcome_name"), F.col(c).alias("outcome")) for c in ("success_contrast", "stretch_contrast")])).alias("o")
+        own = both.select("model", "graph_id", "condition_id", kinds).select("model", "o.outcome_name", F.lit("all").alias("stratum"), "graph_id", "condition_id", "o.outcome")
+        return own.join(self.properties().select("graph_id", *PROPERTIES), "graph_id")
 
 
 def joined(column: str):
@@ -418,10 +435,50 @@ def projected_precision(spark, sf_dir, full=False):
 
 @query()
 def permutation_associations(spark, sf_dir):
-    own = Inputs(spark, sf_dir, full=True)
-    degree = graphs.degrees(own.edges).groupBy("graph_id").agg(F.max("degree").cast("double").alias("x"))
-    values = own.graph_rows().join(degree, "graph_id").select(F.lit("success").alias("family"), "condition_id", "model", "x", (F.col("poincare") / F.col("pair_count")).alias("y"))
-    return inference.permutation_associations(values, ["family"], "condition_id", "x", "y", "model", WHOLE_DRAWS)
+    """Four families of properties and conditions, 10,000 shared permutations and draws each."""
+    return associations.property_associations(Inputs(spark, sf_dir, full=True).outcomes(), PROPERTIES, ["model", "outcome_name"], replicates=WHOLE_DRAWS)
+
+
+@query(f"""{CLUSTERING}, metrics as (
+    select l.*, p.diameter::double as diameter, p.aspl as average_shortest_path_length
+    from (select graph_id, avg(degree) as average_degree, max(degree)::double as maximum_degree, var_pop(degree) as population_degree_variance, avg(clustering) as average_clustering_coefficient from local group by all) l
+    join (select graph_id, max(d) as diameter, avg(d) as aspl from apsp where u <> v group by all) p using (graph_id)),
+  props as (unpivot metrics on {', '.join(PROPERTIES)} into name property value x),
+  common as (
+    select e.graph_id, e.condition_id, avg(p.hops / p.shortest) - avg(e.hops / e.shortest) as stretch from method e join method p on p.graph_id = e.graph_id and p.condition_id = e.condition_id and p.pair_index = e.pair_index
+    where e.method = 'euclidean' and p.method = 'poincare' and e.success and p.success group by all),
+  outs as (
+    select model, 'success_contrast' as outcome_name, graph_id, condition_id, (poincare - euclidean) / pair_count as y from graph_rows
+    union all select model, 'stretch_contrast', graph_id, condition_id, stretch from graph_rows left join common using (graph_id, condition_id)),
+  own as (select o.*, p.property, p.x from outs o join props p using (graph_id)),
+  kept as (
+    select *, avg(x) over w as mx, avg(y) over w as my, rank() over (w order by x) + (count(*) over (partition by model, outcome_name, property, condition_id, x) - 1) / 2.0::double as rx,
+      rank() over (w order by y) + (count(*) over (partition by model, outcome_name, property, condition_id, y) - 1) / 2.0::double as ry from own where y is not null window w as (partition by model, outcome_name, property, condition_id)),
+  found as (
+    select model, outcome_name, property, condition_id, count(*) as defined, sum((x - mx) * (y - my)) / nullif(sqrt(sum((x - mx) ** 2) * sum((y - my) ** 2)), 0) as a,
+      corr(rx, ry) as r, sqrt(sum((x - mx) ** 2)) <= 1e-12 * sqrt(count(*)) * max(abs(x)) as flat_x, sqrt(sum((y - my) ** 2)) <= 1e-12 * sqrt(count(*)) * max(abs(y)) as flat_y from kept group by all),
+  named as (
+    select o.model, o.outcome_name, o.property, o.condition_id, coalesce(f.defined, 0)::int as defined, f.a, f.r,
+      case when coalesce(f.defined, 0) < 3 then '{associations.FEW}' when flat_x then '{associations.NO_X}' when flat_y then '{associations.NO_Y}' end as na_reason
+    from (select distinct model, outcome_name, property, condition_id from own) o left join found f using (model, outcome_name, property, condition_id))
+  select model, outcome_name, property, condition_id, defined, round(case when na_reason is null then a end, 7) + 0.0::double as association, round(case when na_reason is null then r end, 7) + 0.0::double as rank_association, na_reason from named""", full=True)
+def association_statistics(spark, sf_dir, full=False):
+    """Six properties with both outcomes under every condition, without their replicates."""
+    found = associations.property_associations(Inputs(spark, sf_dir, full).outcomes(), PROPERTIES, ["model", "outcome_name"], replicates=2)
+    return rounded(found.select("model", "outcome_name", "property", "condition_id", "defined", "association", "rank_association", "na_reason"), 7)
+
+
+@query("select p.graph_id, p.pair_index, p.source, p.destination, a.d::int as shortest from pairs p left join apsp a on a.graph_id = p.graph_id and a.u = p.source and a.v = p.destination", full=True)
+def pair_lengths(spark, sf_dir, full=False):
+    own = Inputs(spark, sf_dir, full)
+    return graphs.pair_lengths(own.edges, own.pairs)
+
+
+@query("select graph_id, count(*) as pairs, 0::bigint as mismatches from pairs group by all", full=True)
+def length_mismatches(spark, sf_dir, full=False):
+    """Bit-parallel lengths against joined frontiers, both ways of each pair."""
+    own = Inputs(spark, sf_dir, full)
+    return validation.length_mismatches(graphs.pair_lengths(own.edges, own.pairs), graphs.all_pairs(own.edges))
 
 
 @query("""select rule, violations from (values ('walk_edge_missing', 0::bigint), ('length_mismatch', 0), ('wrong_start', 0), ('success_elsewhere', 0), ('failed_at_destination', 0), ('failure_unlabelled', 0), ('ordinary_revisit', 0), ('duplicate_key', 0)) v(rule, violations)""", alone=True, full=True)

@@ -47,6 +47,13 @@ def pairs(base: DataFrame) -> DataFrame:
     return size.where("n >= 2").select("graph_id", "n", k.alias("k")).select("graph_id", F.col("k").alias("pair_index"), s.alias("source"), F.when(s == t, (t + 1) % F.col("n")).otherwise(t).alias("destination"))
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """Adds model and replicate: five of ten labels for each model, replicates numbered by label within it."""
+    number = F.substring("graph_id", 2, 20).cast("long")
+    model = F.when(F.pmod(number, F.lit(10)) < 5, "erdos_renyi").otherwise("barabasi_albert")
+    return rows.withColumn("model", model).withColumn("replicate", (F.dense_rank().over(Window.partitionBy("model").orderBy(number)) - 1).cast("int"))
+
+
 def destinations(pair: DataFrame, coord: DataFrame) -> DataFrame:
     conditions = coord.select("graph_id", "condition_id").distinct()
     metric = F.explode(F.array(F.lit("euclidean"), F.lit("poincare")))
@@ -146,8 +153,9 @@ method as (
   select r.graph_id, r.pair_index, r.condition_id, 'repaired', r.final_failure is null, r.hops, r.decisions, r.initial_failure, r.final_failure, r.source, r.destination, a.d
   from repair1 r join apsp a on a.graph_id = r.graph_id and a.u = r.source and a.v = r.destination where r.metric = 'poincare'),
 graph_rows as (
-  select graph_id, condition_id, case when right(graph_id, 1)::int < 5 then 'erdos_renyi' else 'barabasi_albert' end as model, right(graph_id, 1)::int % 5 as replicate,
-         count(*) filter (method = 'euclidean' and success) as euclidean, count(*) filter (method = 'poincare' and success) as poincare, count(*) filter (method = 'repaired' and success) as repaired,
-         count(*) filter (method = 'repaired') as pair_count
-  from method group by all)
+  select * exclude (number), (dense_rank() over (partition by model order by number) - 1)::int as replicate from (
+    select graph_id, condition_id, substr(graph_id, 2)::bigint as number, case when (substr(graph_id, 2)::bigint % 10 + 10) % 10 < 5 then 'erdos_renyi' else 'barabasi_albert' end as model,
+           count(*) filter (method = 'euclidean' and success) as euclidean, count(*) filter (method = 'poincare' and success) as poincare, count(*) filter (method = 'repaired' and success) as repaired,
+           count(*) filter (method = 'repaired') as pair_count
+    from method group by all))
 """
