@@ -103,12 +103,19 @@ def repair(walk: list[int], failure: str | None, decisions: int, target: int, ne
 
 
 def walks(pairs: DataFrame, adjacent: DataFrame, coords: DataFrame, protocol: str = "i1", tolerance: float = 1e-12, data_hash: str = "", together: int = 100) -> DataFrame:
-    """Ordinary and repaired routes of pairs under every condition and both metrics: PLAIN and REPAIR, for ordinary() and repaired()."""
+    """Ordinary and repaired routes of pairs under every condition and both metrics: PLAIN and REPAIR, for ordinary() and repaired().
+
+    coords may have a tolerance of their own for each condition and metric
+    (euclidean_tolerance, poincare_tolerance); a metric whose tolerance is null isn't
+    walked there.
+    """
     spark = pairs.sparkSession
     ship(spark)
     lists = lambda *c: F.sort_array(F.collect_list(F.struct(*c)))
     near = adjacent.groupBy("graph_id").agg(lists("node", "neighbour").alias("e")).select("graph_id", F.col("e.node").alias("src"), F.col("e.neighbour").alias("dst"))
-    place = coords.groupBy("graph_id", "condition_id").agg(lists("node", "x", "y").alias("c")).select("graph_id", "condition_id", F.col("c.node").alias("node"), F.col("c.x").alias("x"), F.col("c.y").alias("y"))
+    limit = lambda m: F.first(f"{m}_tolerance") if f"{m}_tolerance" in coords.columns else F.lit(float(tolerance))
+    place = coords.groupBy("graph_id", "condition_id").agg(lists("node", "x", "y").alias("c"), *[limit(m).alias(m) for m in ("euclidean", "poincare")])
+    place = place.select("graph_id", "condition_id", F.col("c.node").alias("node"), F.col("c.x").alias("x"), F.col("c.y").alias("y"), "euclidean", "poincare")
     some = pairs.groupBy("graph_id", F.floor(F.col("pair_index") / together).alias("part")).agg(lists("pair_index", "source", "destination").alias("p"))
     some = some.select("graph_id", "part", F.col("p.pair_index").alias("pair_index"), F.col("p.source").alias("source"), F.col("p.destination").alias("destination"))
 
@@ -123,7 +130,9 @@ def walks(pairs: DataFrame, adjacent: DataFrame, coords: DataFrame, protocol: st
                 for k, s, t in zip(g.pair_index, g.source, g.destination):
                     k, s, t = int(k), int(s), int(t)
                     rank = priority(key, g.graph_id, k, s, t)
-                    for metric in ("euclidean", "poincare"):
+                    for metric, tolerance in (("euclidean", g.euclidean), ("poincare", g.poincare)):
+                        if tolerance is None or tolerance != tolerance:
+                            continue
                         d, walk = (lambda v: distance_of(metric, at[v], at[t])), [s]
                         failure, count = walk_on(walk, t, by, d, tolerance, protocol, rank)
                         out.append((g.graph_id, k, s, t, g.condition_id, metric, walk, len(walk) - 1, count, failure is None, failure, *repair(walk, failure, count, t, by, d, tolerance, protocol, rank)))

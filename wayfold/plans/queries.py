@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfold._tables import written
 from wayfold.functions import geometry
-from wayfold.operators import associations, diagnostics, embedding, estimands, graphs, identities, inference, routing, sampling, validation, walking
+from wayfold.operators import associations, crossed, diagnostics, embedding, estimands, graphs, identities, inference, routing, sampling, validation, walking
 from wayfold.plans import workload
 from wayfold.plans.workload import SQL
 
@@ -468,6 +468,22 @@ def association_statistics(spark, sf_dir, full=False):
     return rounded(found.select("model", "outcome_name", "property", "condition_id", "defined", "association", "rank_association", "na_reason"), 7)
 
 
+def whole_crossed(spark, sf_dir) -> DataFrame:
+    own = Inputs(spark, sf_dir, full=True)
+    return crossed.crossed_records(own.pairs, own.edges, own.adjacent)
+
+
+@query()
+def crossed_routes(spark, sf_dir):
+    """28 records of each of 1,000 pairs a graph, over its own hyperbolic and classical embeddings."""
+    return whole_crossed(spark, sf_dir).withColumn("walk", joined("walk"))
+
+
+@query()
+def crossed_success(spark, sf_dir):
+    return crossed.success_rows(whole_crossed(spark, sf_dir))
+
+
 @query("select p.graph_id, p.pair_index, p.source, p.destination, a.d::int as shortest from pairs p left join apsp a on a.graph_id = p.graph_id and a.u = p.source and a.v = p.destination", full=True)
 def pair_lengths(spark, sf_dir, full=False):
     own = Inputs(spark, sf_dir, full)
