@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfold._tables import written
 from wayfold.functions import geometry
-from wayfold.operators import associations, crossed, diagnostics, embedding, estimands, graphs, identities, inference, routing, sampling, validation, walking
+from wayfold.operators import associations, crossed, diagnostics, embedding, estimands, graphs, identities, inference, oracle, routing, sampling, validation, walking
 from wayfold.plans import workload
 from wayfold.plans.workload import SQL
 
@@ -468,6 +468,22 @@ def association_statistics(spark, sf_dir, full=False):
     return rounded(found.select("model", "outcome_name", "property", "condition_id", "defined", "association", "rank_association", "na_reason"), 7)
 
 
+@query()
+def route_audit(spark, sf_dir):
+    """Each graph's sentinel pairs, walked again with certified comparisons."""
+    own = Inputs(spark, sf_dir, full=True)
+    again = oracle.independent_routes(oracle.chosen_pairs(own.pairs), own.adjacent, own.coords, "i2", workload.TOLERANCE)
+    return oracle.audit(own.walks("i2"), written(again, "independent"))
+
+
+@query()
+def route_audit_i1(spark, sf_dir):
+    """The first protocol's audit pairs, walked again with certified comparisons."""
+    own = Inputs(spark, sf_dir, full=True)
+    again = oracle.independent_routes(oracle.chosen_pairs(own.pairs, "audit"), own.adjacent, own.coords, "i1", workload.TOLERANCE)
+    return oracle.audit(own.walks("i1"), written(again, "independent"))
+
+
 def whole_crossed(spark, sf_dir) -> DataFrame:
     own = Inputs(spark, sf_dir, full=True)
     return crossed.crossed_records(own.pairs, own.edges, own.adjacent)
