@@ -165,12 +165,27 @@ def test_generators():
 
 
 def test_whole_design_generated(spark):
-    made = queries.generated_graphs(spark, "").groupBy("graph_id").agg(F.count("*").alias("edges"), F.max("dst").alias("last"))
+    made = graphs.generate(sampling.schedule(spark).withColumn("seed", F.col("schedule_index") + 1)).groupBy("graph_id").agg(F.count("*").alias("edges"), F.max("dst").alias("last"))
     rows = {r.graph_id: r for r in sampling.schedule(spark).join(made, "graph_id", "left").collect()}
     assert len(rows) == 360 and all(r.last == r.n - 1 for r in rows.values())
     assert all(r.edges == r.m * (r.n - r.m) for r in rows.values() if r.model == "barabasi_albert")
 
 
+def test_design_of_the_table(spark, small):
+    """Each graph of the table has its random graph: as many nodes, connected, and seeds, samples and names of its own."""
+    of = {r.graph_id: r for r in queries.full_schedule(spark, small).collect()}
+    sizes = {r.graph_id: r.n for r in queries.workload.nodes(spark, small).select("graph_id", "n").distinct().collect()}
+    assert {g: r.n for g, r in of.items()} == sizes and sorted(r.schedule_index for r in of.values()) == list(range(len(sizes)))
+    made = queries.generated_graphs(spark, small)
+    for r in made.groupBy("graph_id").agg(F.count("*").alias("edges"), F.max("dst").alias("last"), F.min("src").alias("first")).collect():
+        own = of[r.graph_id]
+        assert (r.first, r.last) == (0, own.n - 1) and (own.model == "erdos_renyi" or r.edges == own.m * (own.n - own.m))
+    assert all(r.connected for r in graphs.is_connected(made).collect())
+    for name, least in (("graph_seeds", 5), ("sentinel_pairs", 5), ("audit_pairs", 10)):
+        counts = {r.graph_id: r["count"] for r in queries.QUERIES[name](spark, small).groupBy("graph_id").count().collect()}
+        assert set(counts) == set(of) and min(counts.values()) >= least
+
+
 def test_embeddings():
     points = np.array([(0, 0), (0.2, 0), (0, 0.3), (-0.1, -0.15), (0.25, -0.2)])
     gap = 1 - (points**2).sum(axis=1)
@@ -202,8 +217,8 @@ def test_intervals_and_ranks(spark):
 
 
 def test_whole_replicates(spark, small):
-    stream = queries.bootstrap_stream(spark, small).groupBy("model", "n", "m").agg(F.countDistinct("replicate").alias("replicates"), F.count("*").alias("draws"), F.max("drawn").alias("last"))
-    assert [(r.replicates, r.draws, r.last) for r in stream.collect()] == [(10_000, 200_000, 19)] * 18
+    stream = queries.bootstrap_stream(spark, small).groupBy("model").agg(F.countDistinct("replicate").alias("replicates"), F.count("*").alias("draws"), F.max("drawn").alias("last"))
+    assert [(r.replicates, r.draws, r.last) for r in stream.collect()] == [(10_000, 50_000, 4)] * 2
     p = [r.p for r in queries.permutation_associations(spark, small).where("outcome_name = 'success_contrast' and p is not null").collect()]
     assert p and all(abs(x * 10_001 - round(x * 10_001)) < 1e-6 for x in p)
     _, boot = queries.bootstrapped(queries.Inputs(spark, small, full=True))

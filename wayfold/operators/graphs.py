@@ -92,11 +92,15 @@ def all_pairs(edges: DataFrame) -> DataFrame:
     return edges.groupBy("graph_id").applyInPandas(run, "graph_id string, u long, v long, d int")
 
 
-def bits_reached(first: np.ndarray, near: np.ndarray, sources: np.ndarray, wanted: list[tuple[int, int]]) -> list[int]:
-    """Hops of (source's place, destination) pairs, -1 without a path: 64 sources are the bits of one number for each node.
+def neighbour_lists(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each node's neighbours begin (with the end), and all neighbours one after the other."""
+    a, b = np.concatenate([src, dst]), np.concatenate([dst, src])
+    order = np.argsort(a, kind="stable")
+    return np.searchsorted(a[order], np.arange(n + 1)), b[order]
 
-    near lists neighbours of all nodes one after the other, first where each node's begin (with the end).
-    """
+
+def bits_reached(first: np.ndarray, near: np.ndarray, sources: np.ndarray, wanted: list[tuple[int, int]]) -> list[int]:
+    """Hops of (source's place, destination) pairs, -1 without a path: 64 sources are the bits of one number for each node of neighbour_lists."""
     n, words = len(first) - 1, -(-len(sources) // 64)
     seen = np.zeros((n, words), np.uint64)
     k = np.arange(len(sources))
@@ -137,11 +141,8 @@ def pair_lengths(edges: DataFrame, pairs: DataFrame, together: int = 1024) -> Da
                 source, destination = np.array(g.source, np.int64), np.array(g.destination, np.int64)
                 src, dst = (np.array([] if e is None else e, np.int64) for e in (g.src, g.dst))
                 n = int(max(source.max(), destination.max(), src.max(initial=0), dst.max(initial=0))) + 1
-                a, b = np.concatenate([src, dst]), np.concatenate([dst, src])
-                order = np.argsort(a, kind="stable")
-                first = np.searchsorted(a[order], np.arange(n + 1))
                 sources, place = np.unique(source, return_inverse=True)
-                hops = bits_reached(first, b[order], sources, list(zip(place.tolist(), destination.tolist(), strict=True)))
+                hops = bits_reached(*neighbour_lists(n, src, dst), sources, list(zip(place.tolist(), destination.tolist(), strict=True)))
                 yield pd.DataFrame({"graph_id": g.graph_id, "pair_index": g.pair_index, "source": source, "destination": destination, "shortest": pd.array([h if h >= 0 else None for h in hops], "Int32")})
 
     return some.join(ends, "graph_id", "left").repartition("graph_id", "part").drop("part").mapInPandas(run, schema)
@@ -177,10 +178,9 @@ def erdos_renyi(n: int, p: float, seed: int, most: int = 50) -> tuple[np.ndarray
     """Edges of a connected G(n, p), and the attempt that was connected; never a part of a graph."""
     for attempt in range(most):
         rng = np.random.default_rng([seed, attempt])
-        u, v = np.triu_indices(n, 1)
-        keep = rng.random(len(u)) < p
-        edges = np.column_stack([u[keep], v[keep]])
-        if len(edges) and (distances_of(n, edges[:, 0], edges[:, 1])[0] >= 0).all():
+        ends = [np.flatnonzero(rng.random(n - u - 1) < p) + u + 1 for u in range(n - 1)]
+        edges = np.column_stack([np.repeat(np.arange(n - 1), [len(v) for v in ends]), np.concatenate([np.zeros(0, np.int64), *ends])])
+        if len(edges) and min(bits_reached(*neighbour_lists(n, edges[:, 0], edges[:, 1]), np.zeros(1, np.int64), [(0, k) for k in range(n)])) >= 0:
             return edges, attempt
     raise ValueError("no connected graph within the attempts")
 

@@ -548,28 +548,40 @@ def log_exp_round_trip(spark, sf_dir):
     return rounded(c.select("graph_id", "condition_id", "node", tx.alias("tx"), ty.alias("ty")).select("graph_id", "condition_id", "node", x.alias("x"), y.alias("y")), 9)
 
 
-@query("""select ((a * 3 + b) * 3 + c) * 20 + r as schedule_index, if(a = 0, 'erdos_renyi', 'barabasi_albert') as model, [100, 300, 1000][b + 1] as n, [4, 8, 16][c + 1] as m, r::int as replicate_index,
-  format('{}_n{:04d}_m{:02d}_rep{:03d}', if(a = 0, 'er', 'ba'), [100, 300, 1000][b + 1], [4, 8, 16][c + 1], r) as graph_id from range(2) x(a), range(3) y(b), range(3) z(c), range(20) w(r)""", alone=True)
+DESIGN = """, design as (
+  select (row_number() over (order by model desc, replicate) - 1)::bigint as schedule_index, model, n::int as n, least(if(replicate % 2 = 0, 8, 16), n - 1)::int as m, replicate::int as replicate_index, graph_id from (
+    select graph_id, n, model, dense_rank() over (partition by model order by number) - 1 as replicate from (
+      select distinct graph_id, n, substr(graph_id, 2)::bigint as number, case when (substr(graph_id, 2)::bigint % 10 + 10) % 10 < 5 then 'erdos_renyi' else 'barabasi_albert' end as model from base where n >= 2)))"""
+
+
+def design(spark, sf_dir) -> DataFrame:
+    return workload.design(workload.nodes(spark, sf_dir))
+
+
+@query(f"{DESIGN} select * from design")
 def full_schedule(spark, sf_dir):
-    return sampling.schedule(spark).withColumn("schedule_index", F.col("schedule_index").cast("long"))
+    return design(spark, sf_dir)
 
 
-@query("""select count(*) as graphs, count(*) * 1000 as shortest_paths, count(*) * 15000 as i1_routes, count(*) * 28000 as i2_routes, sum(n * (n - 1) // 2 * 7)::bigint as distortion_pairs
-  from (select unnest([100, 300, 1000]) as n), range(2) a, range(3) b, range(20) c""", alone=True)
+@query(f"""{DESIGN} select count(*) as graphs, count(*) * 1000 as shortest_paths, count(*) * 15000 as i1_routes, count(*) * 28000 as i2_routes, sum(n::bigint * (n - 1) // 2 * 7)::bigint as distortion_pairs from design""")
 def frozen_workload(spark, sf_dir):
-    return sampling.workload(sampling.schedule(spark))
+    return sampling.workload(design(spark, sf_dir).withColumn("n", F.col("n").cast("long")))
 
 
-@query("""select n, i as number, i // (n - 1) as source, case when i % (n - 1) < i // (n - 1) then i % (n - 1) else i % (n - 1) + 1 end as destination from (select unnest([2, 5, 9])::bigint as n) s, range(72) t(i) where i < n * (n - 1)""", alone=True)
-def pair_bijection(spark, sf_dir):
-    numbers = spark.sql("select n, explode(sequence(0L, n * (n - 1) - 1)) as number from values (2L), (5L), (9L) as t(n)")
-    return numbers.select("n", "number", *sampling.pair_of_index(F.col("n"), F.col("number")))
+@query("""select graph_id, pair_index, source * (n - 1) + destination - (destination > source)::int as number, source, destination from pairs join (select distinct graph_id, n from base) using (graph_id)""", full=True)
+def pair_bijection(spark, sf_dir, full=False):
+    """Each pair's number, and the pair that the number stands for."""
+    own = Inputs(spark, sf_dir, full)
+    sizes = own.base.groupBy("graph_id").agg(F.first("n").alias("n"))
+    number = F.col("source") * (F.col("n") - 1) + F.col("destination") - (F.col("destination") > F.col("source")).cast("int")
+    numbered = own.pairs.join(sizes, "graph_id").select("graph_id", "pair_index", "n", number.cast("long").alias("number"))
+    return numbered.select("graph_id", "pair_index", "number", *sampling.pair_of_index(F.col("n"), F.col("number")))
 
 
-@query("""select n, m, round(2.0::double * m * (n - m) / (n * (n - 1)), 12) as p from (select unnest([100, 300, 1000]) as n), (select unnest([4, 8, 16]) as m)""", alone=True)
+@query(f"{DESIGN} select graph_id, n, m, round(2.0::double * m * (n - m) / (n::bigint * (n - 1)), 12) as p from design")
 def matched_probability(spark, sf_dir):
-    design = sampling.schedule(spark).select("n", "m").distinct()
-    return design.select("n", "m", F.round(sampling.matched_p(F.col("n"), F.col("m")), 12).alias("p"))
+    of = design(spark, sf_dir)
+    return of.select("graph_id", "n", "m", F.round(sampling.matched_p(F.col("n").cast("double"), F.col("m")), 12).alias("p"))
 
 
 @query("""select o_orderpriority, round(sum(o_totalprice), 2) as total, round(median(o_totalprice), 2) as middle, round(quantile_disc(o_totalprice, 0.25), 2) as q1, round(quantile_disc(o_totalprice, 0.75), 2) as q3, count(*) as orders from orders group by grouping sets ((o_orderpriority), ())""", alone=True)
@@ -603,14 +615,14 @@ def sampled_pairs(spark, sf_dir):
 
 @query()
 def bootstrap_stream(spark, sf_dir):
-    strata = sampling.schedule(spark).select("model", "n", "m").distinct().withColumn("graphs", F.lit(20))
+    strata = design(spark, sf_dir).groupBy("model").agg(F.count("*").cast("int").alias("graphs"))
     return sampling.bootstrap_draws(strata, WHOLE_DRAWS)
 
 
 @query()
 def generated_graphs(spark, sf_dir):
-    design = sampling.schedule(spark).withColumn("seed", F.col("schedule_index") + 1)
-    return graphs.generate(design.select("graph_id", "model", "n", "m", "seed"))
+    own = design(spark, sf_dir).withColumn("seed", F.col("schedule_index") + 1)
+    return graphs.generate(own.select("graph_id", "model", "n", "m", "seed"))
 
 
 @query("""select r.graph_id, r.pair_index, r.condition_id, r.metric, r.failure, r.walk[-1] as stopped, r.hops::int as failure_hop, count(n.neighbour) as terminal_degree, round(any_value(n.d_node), 7) as current_distance, round(min(n.d_next), 7) as best_neighbour_distance,
@@ -689,17 +701,17 @@ def pair_sensitivity(spark, sf_dir):
 
 @query()
 def graph_seeds(spark, sf_dir):
-    return identities.graph_seeds(sampling.schedule(spark))
+    return identities.graph_seeds(design(spark, sf_dir))
 
 
 @query()
 def sentinel_pairs(spark, sf_dir):
-    return identities.sentinel_pairs(sampling.schedule(spark))
+    return identities.sentinel_pairs(design(spark, sf_dir))
 
 
 @query()
 def audit_pairs(spark, sf_dir):
-    return identities.audit_pairs(sampling.schedule(spark))
+    return identities.audit_pairs(design(spark, sf_dir))
 
 
 @query()
@@ -707,19 +719,17 @@ def pair_identities(spark, sf_dir):
     return identities.pair_identities(Inputs(spark, sf_dir, full=True).pairs)
 
 
-@query("""select graph_id, '{"configuration_name":"design","model":"' || model || '","replicate_index":' || r || ',"seed_identity_version":3,"setting_index":' || k || ',"setting_label":"n' || n || '_m' || m || '"}' as identity from (
-  select format('{}_n{:04d}_m{:02d}_rep{:03d}', if(a = 0, 'er', 'ba'), n, m, r) as graph_id, if(a = 0, 'erdos_renyi', 'barabasi_albert') as model, r, n, m, (b * 3 + c) as k
-  from (select a, b, c, r, [100, 300, 1000][b + 1] as n, [4, 8, 16][c + 1] as m from range(2) x(a), range(3) y(b), range(3) z(c), range(20) w(r)))""", alone=True)
+@query(f"""{DESIGN} select graph_id, '{{"configuration_name":"design","model":"' || model || '","replicate_index":' || replicate_index || ',"seed_identity_version":3,"setting_index":' || schedule_index || ',"setting_label":"n' || n || '_m' || m || '"}}' as identity from design""")
 def graph_identities(spark, sf_dir):
-    design = sampling.schedule(spark).withColumn("configuration", F.lit("design")).withColumn("label", F.concat(F.lit("n"), "n", F.lit("_m"), "m")).withColumn("setting", F.floor(F.col("schedule_index") / sampling.REPLICATES) % (len(sampling.SIZES) * len(sampling.ATTACHMENTS)))
-    return design.select("graph_id", identities.graph_identity("configuration", "setting", "label", "model", "replicate_index").alias("identity"))
+    own = design(spark, sf_dir).withColumn("configuration", F.lit("design")).withColumn("label", F.concat(F.lit("n"), "n", F.lit("_m"), "m"))
+    return own.select("graph_id", identities.graph_identity("configuration", "schedule_index", "label", "model", "replicate_index").alias("identity"))
 
 
-@query("""select m.model, o.outcome, (case when m.model = 'erdos_renyi' then 'er' else 'ba' end) || (case when o.outcome = 'success_contrast' then '_success_contrast' else '_common_success_stretch_contrast' end) as family
-  from (values ('erdos_renyi'), ('barabasi_albert')) m(model), (values ('success_contrast'), ('stretch_contrast')) o(outcome)""", alone=True)
+@query(f"""{DESIGN} select m.model, o.outcome, (case when m.model = 'erdos_renyi' then 'er' else 'ba' end) || (case when o.outcome = 'success_contrast' then '_success_contrast' else '_common_success_stretch_contrast' end) as family
+  from (select distinct model from design) m, (values ('success_contrast'), ('stretch_contrast')) o(outcome)""")
 def family_labels(spark, sf_dir):
-    design = sampling.schedule(spark).select("model").distinct().withColumn("outcome", F.explode(F.array(F.lit("success_contrast"), F.lit("stretch_contrast"))))
-    return design.select("model", "outcome", identities.family_label("model", "outcome").alias("family"))
+    own = design(spark, sf_dir).select("model").distinct().withColumn("outcome", F.explode(F.array(F.lit("success_contrast"), F.lit("stretch_contrast"))))
+    return own.select("model", "outcome", identities.family_label("model", "outcome").alias("family"))
 
 
 RESOURCES_SQL = """, spent as (

@@ -54,6 +54,14 @@ def placed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("model", model).withColumn("replicate", (F.dense_rank().over(Window.partitionBy("model").orderBy(number)) - 1).cast("int"))
 
 
+def design(base: DataFrame) -> DataFrame:
+    """(schedule_index, model, n, m, replicate_index, graph_id): a random graph for each graph of the table, as large, by turns with 8 and 16 edges a node."""
+    each = placed(base.groupBy("graph_id").agg(F.first("n").alias("n")).where("n >= 2"))
+    order = Window.orderBy(F.col("model").desc(), "replicate")  # a row for each graph
+    m = F.least(F.when(F.col("replicate") % 2 == 0, 8).otherwise(16), F.col("n") - 1).cast("int")
+    return each.select((F.row_number().over(order) - 1).cast("long").alias("schedule_index"), "model", F.col("n").cast("int").alias("n"), m.alias("m"), F.col("replicate").alias("replicate_index"), "graph_id")
+
+
 def destinations(pair: DataFrame, coord: DataFrame) -> DataFrame:
     conditions = coord.select("graph_id", "condition_id").distinct()
     metric = F.explode(F.array(F.lit("euclidean"), F.lit("poincare")))
