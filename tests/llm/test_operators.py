@@ -346,6 +346,49 @@ def test_token_shards_round_trip(spark, tmp_path):
     assert token_shards.read_sequences(spark, gone).count() == 0
 
 
+def test_token_shards_are_whole(spark, tmp_path):
+    """A bound on records a file doesn't split a shard; cut, repeated and missing shards are told, each where it is read."""
+    rng = random.Random(9)
+    docs = documents(spark, [" ".join(words(rng, 200)) for _ in range(30)])
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "3")
+    try:
+        path = token_shards.materialise(docs, TOKENIZER, f"file://{tmp_path}/out", length=64, shard_rows=16)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    n = token_shards.manifest(spark, path)["sequences"]
+    slots = [r.slot for r in token_shards.read_sequences(spark, path).collect()]
+    assert n > 48 and sorted(slots) == list(range(n))
+    (file,) = (tmp_path / "out" / "shard=1").glob("part-*")
+    data = file.read_bytes()
+    for crc in (tmp_path / "out" / "shard=1").glob(".*.crc"):
+        crc.unlink()
+    for broken in (data[:-128], data[:-5], data + data[:128], b""):
+        file.write_bytes(broken)
+        with pytest.raises(ValueError, match="manifest"):
+            token_shards.read_sequences(spark, path)
+        assert token_shards.read_sequences(spark, path, 0, 16).count() == 16
+    file.write_bytes(data)
+    (tmp_path / "out" / "shard=1" / "part-again").write_bytes(data)
+    with pytest.raises(ValueError, match="manifest"):
+        token_shards.read_sequences(spark, path, 20, 30)
+    (tmp_path / "out" / "shard=1" / "part-again").unlink()
+    (tmp_path / "out" / "shard=2").rename(tmp_path / "out" / "gone")
+    with pytest.raises(ValueError, match="manifest"):
+        token_shards.read_sequences(spark, path)
+
+
+def test_other_tokenizers(spark):
+    """A tokenizer that keeps white space gives its own ids of whole texts."""
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    own, texts = Tokenizer.from_file(path), [*TEXTS, "two  spaces \n and lines", " lead"]
+    pieces = {}
+    for r in sorted(packing.pack(documents(spark, texts), path).collect(), key=lambda r: (r.doc_id, r.start)):
+        pieces.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
+    assert all(pieces[k] == [*own.encode(t or "", add_special_tokens=False).ids, 1] for k, t in enumerate(texts))
+
+
 def test_url_filter(spark):
     entries = [("bad.example.com", "block", "2024-01-10"), ("bad.example.com", "allow", "2024-02-10"), ("Example.com", "review", "2024-01-20"), ("x.com", "block", "2024-01-01"), ("x.com", "allow", "2024-01-01"), (None, "block", "2024-01-01"), ("y.com", "block", None)]
     captures = [(1, "http://www.bad.example.com/a", "2024-01-09"), (2, "https://u:p@WWW.bad.example.com:80/", "2024-01-10"), (3, "http://bad.example.com.?q", "2024-02-10"), (4, "http://notbad.example.com", "2024-01-20"), (5, "http://notexample.com", "2024-03-01"), (6, None, "2024-03-01"), (7, "http://x.com", None), (8, "http://x.com", "2024-01-01"), (8, "http://x.com", "2024-01-01"), (9, "nonsense", "2024-01-01"), (10, "http://y.com", "2024-05-01")]
@@ -437,13 +480,42 @@ def test_chat_trees(spark):
     out = chat.format_conversations(table)
     out = out.select("*", chat.parsed_turns(F.col("formatted")).alias("parsed"), chat.trained_text(F.col("formatted"), F.col("loss_spans")).alias("trained"))
     got = {r.conv_id: r for r in out.collect()}
-    assert set(got) == {1, 2} and [tuple(t) for t in got[1].parsed] == [("user", "q"), ("assistant", "b<|im_end|>\\<|\n"), ("user", ""), ("assistant", "")]
+    assert set(got) == {1, 2, 3} and got[3].root == 1 and [t.text for t in got[3].parsed] == ["cycle", "cycle"] and [tuple(t) for t in got[1].parsed] == [("user", "q"), ("assistant", "b<|im_end|>\\<|\n"), ("user", ""), ("assistant", "")]
     assert got[1].trained == "b<|im_end|>\\<|\n" and len(got[1].loss_spans) == 2 and got[1].leaf == 5 and got[1].n_turns == 4
     assert [tuple(t) for t in got[2].parsed] == [("us\ner\\", "lost parent")]
     assert sorted(r.leaf for r in chat.format_conversations(table, branches=2).where("conv_id = 1").collect()) == [5, 6]
     assert chat.format_conversations(table.limit(0)).count() == 0
 
 
+def test_chat_cycles(spark):
+    """Random parents: each cycle is cut at its smallest id, no conversation and no message without a path is lost."""
+    rng = random.Random(12)
+    rows = [(t, i, rng.choice([None, i, *range(12)]), "user", f"{i}", 1.0) for t in range(40) for i in rng.sample(range(12), rng.randrange(1, 12))]
+    table = spark.createDataFrame(rows, "conv_id long, id long, parent long, role string, text string, score double")
+    found = {}
+    for r in chat.format_conversations(table, branches=99).select("conv_id", "root", chat.parsed_turns(F.col("formatted")).alias("t")).collect():
+        found.setdefault(r.conv_id, []).append((r.root, [int(t.text) for t in r.t]))
+    for t in range(40):
+        parent = {i: p for tree, i, p, *_ in rows if tree == t}
+        cut = set()
+        for i in parent:
+            seen, at = [], i
+            while at in parent and at not in seen:
+                seen.append(at)
+                at = parent[at]
+            if at == i and i == min(seen):
+                cut.add(i)
+        up = {i: None if i in cut or p not in parent else p for i, p in parent.items()}
+        leaves = [i for i in up if i not in up.values()]
+        paths = []
+        for leaf in leaves:
+            path = [leaf]
+            while up[path[-1]] is not None:
+                path.append(up[path[-1]])
+            paths.append((path[-1], path[::-1]))
+        assert sorted(found[t]) == sorted(paths)
+
+
 def test_chat_long_chain(spark):
     rows = spark.range(300).select(F.lit(1).alias("conv_id"), "id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"), F.lit(1.0).alias("score"))
     (row,) = chat.format_conversations(rows).select("n_turns", chat.parsed_turns(F.col("formatted")).alias("t")).collect()

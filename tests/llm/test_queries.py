@@ -17,7 +17,9 @@ P = pytest.importorskip("public_tokenizers")
 from test_operators import brute_components, leaks  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from wayfold.llm import packing, queries, toxicity  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from wayfold.llm import packing, queries, token_shards, toxicity  # noqa: E402
 
 TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 #: Added texts; documents get them from doc_id 900,001 on.
@@ -143,6 +145,27 @@ def test_lm_score(spark, hard, docs):
         assert abs(r.base_score - sum(log10((taught[w] + 1) / (n + v + 1)) for w in own)) < 1e-6 and r.score < 0
 
 
+def test_token_shards(spark, hard):
+    """Slots, numbers and ids of the query: records of each input partition's documents, in a permuted order."""
+    from tokenizers import Tokenizer
+
+    tokenizer, parts = Tokenizer.from_file(P.path("word_bpe_49k.json")), {}
+    for r in queries.table(spark, hard, "documents").select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"), "text").orderBy("at").collect():
+        parts.setdefault(r.part, []).extend([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1])
+    expected = []
+    for part in sorted(parts):
+        ids = parts[part]
+        for k in range(0, len(ids), 2047):
+            record = np.zeros(2048, "<u2")
+            record[: len(ids[k : k + 2047])] = ids[k : k + 2047]
+            record[-1] = 1
+            expected.append(zlib.crc32(record.tobytes()))
+    rows = queries.op6_token_shards(spark, hard).collect()
+    order = token_shards.Permutation(len(expected), 20_240_229)
+    slots = order.walk(np.arange(len(expected))).tolist()
+    assert sorted((r.number, r.slot, r.shard, r.ids_crc32) for r in rows) == [(k, s, s // 4096, crc) for k, (s, crc) in enumerate(zip(slots, expected))]
+
+
 def test_license_scan(spark, hard, docs):
     phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
     rows = {r.doc_id: r for r in queries.op9_license_scan(spark, hard).collect()}

@@ -99,7 +99,10 @@ def in_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table]
 
     def run(rows: pa.Table) -> pa.Table:
         only(None)
-        return fn(rows)
+        try:
+            return fn(rows)
+        finally:
+            given_back()
 
     return df.groupBy(*keys).applyInArrow(run, schema)
 

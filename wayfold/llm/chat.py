@@ -32,7 +32,7 @@ def unescaped(text: Column) -> Column:
 def jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """From (tree, id, parent, score): jump tables (tree, id, up) of 1, 2, 4, ... steps, and (tree, id, root, depth, total).
 
-    total is the sum of scores from the root down.  Messages on a cycle reach no root and stay out.
+    total is the sum of scores from the root down.  A cycle is cut at its smallest id, which becomes a root.
     """
     known = nodes.select(F.col("tree").alias("its_tree"), F.col("id").alias("known"))
     state = (
@@ -42,7 +42,9 @@ def jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     levels, bound = [], nodes.count()
     state = written(state, "jump")
     settled, active = state.where("up is null"), state.where("up is not null")
-    while active.limit(1).count() and 1 << len(levels) <= 2 * bound:
+    while active.limit(1).count():
+        if 1 << len(levels) > 2 * bound:  # no chain is that long
+            return jumps(without_cycles(nodes, active))
         levels.append(active.select("tree", "id", "up"))
         below, above = active.alias("below"), settled.unionByName(active).alias("above")
         steps = F.lit(1 << (len(levels) - 1)).cast("long")
@@ -54,6 +56,22 @@ def jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     return levels, settled.drop("up")
 
 
+def without_cycles(nodes: DataFrame, stuck: DataFrame) -> DataFrame:
+    """Nodes with the parent of each cycle's smallest id made null; stuck holds at least all whose parents lead to a cycle, and no other.
+
+    By doubled steps each of these learns the smallest id among all that its parents
+    lead to: a cycle's smallest id alone finds itself.
+    """
+    of = ["tree", "id"]
+    state = written(nodes.join(stuck.select(*of), of, "left_semi").select(*of, F.col("parent").alias("up"), F.col("parent").alias("low"), F.lit(True).alias("new")), "cycles")
+    while state.where("new").limit(1).count():
+        below, above = state.alias("below"), state.alias("above")
+        least = F.least("below.low", "above.low")
+        state = written(below.join(above, (F.col("below.tree") == F.col("above.tree")) & (F.col("below.up") == F.col("above.id"))).select("below.tree", "below.id", F.col("above.up").alias("up"), least.alias("low"), (least < F.col("below.low")).alias("new")), "cycles")
+    cut = state.where("low = id").select(*of, F.lit(True).alias("cut"))
+    return written(nodes.join(cut, of, "left").withColumn("parent", F.when(F.col("cut").isNull(), F.col("parent"))).drop("cut"), "nodes")
+
+
 def best_paths(messages: DataFrame, *, branches: int = 1) -> DataFrame:
     """(tree, root, leaf, branch, branch_score, id, depth) of the chosen paths' messages.
 
@@ -62,7 +80,7 @@ def best_paths(messages: DataFrame, *, branches: int = 1) -> DataFrame:
     """
     nodes = written(messages.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")), "nodes")
     levels, placed = jumps(nodes)
-    parents = nodes.select("tree", F.col("parent").alias("id")).where("id is not null").distinct()
+    parents = levels[0].select("tree", F.col("up").alias("id")).distinct() if levels else nodes.select("tree", "id").where("false")
     rank = F.row_number().over(_by("tree", "root").orderBy(F.desc("branch_score"), "leaf"))
     chosen = (
         placed.join(parents, ["tree", "id"], "left_anti")
@@ -84,8 +102,9 @@ def _by(*columns: str):
 def format_conversations(messages: DataFrame, *, tree_col: str = "conv_id", id_col: str = "id", parent_col: str = "parent", role_col: str = "role", text_col: str = "text", score_col: str = "score", branches: int = 1, trained_role: str = "assistant") -> DataFrame:
     """One row for each chosen path: tree_col, root, leaf, branch, branch_score, n_turns, formatted, loss_spans.
 
-    A message whose parent is null or unknown is a root; each root's best
-    branches are formatted.  Messages without a tree or an id belong to no
+    A message whose parent is null or unknown is a root, and so is the smallest
+    id of a cycle; each root's best branches are formatted.  An empty table gives no
+    rows.  Messages without a tree or an id belong to no
     conversation and are left out; of messages that share tree and id the
     smallest by (parent, role, text) stands.  Null roles and texts are empty,
     null scores 0.  formatted has, for each turn, the start mark, the role, a

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from wayfold.llm._base import dropped, in_arrow, in_duck, in_groups, slices, tex
 
 LEAST_DOCUMENTS, SCALE, TOP_TERMS = 10, 1_000_000_000, 10
 #: Counted rows that a task holds before it sums them and sends them on.
-HELD_ROWS = 400_000
+HELD_ROWS = 200_000
 
 #: Rows of kept terms in a shard that makes partial sums: their number follows the rows, so that sums for each pair of sources stay few.
 SHARD_ROWS = 500_000
@@ -76,11 +77,11 @@ def counted(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> D
             return rows.to_batches(max_chunksize=50_000)
 
         for batch in batches:
-            for part in slices(batch, 2):
+            for part in slices(batch, 2, 2 << 20):
                 own = [t.translate(LETTERS).split() for t in texts(part.column(2))]
                 sizes = [len(w) for w in own]
                 word = pa.array([w for ws in own for w in ws], pa.binary()).dictionary_encode()
-                doc = pa.array([d for d, k in enumerate(sizes) for _ in range(k)], pa.int32())
+                doc = pa.array(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes))
                 table = pa.table({"doc": pa.array(range(part.num_rows), pa.int32()), "lang": part.column(0), "source": part.column(1)})
                 words = pa.table({"word": pa.array(range(len(word.dictionary)), pa.int32()), "term": word.dictionary})
                 held.append(in_duck(COUNTS, placed=pa.table({"doc": doc, "word": word.indices}), docs=table, words=words))
@@ -116,7 +117,7 @@ def audit_sources(docs: DataFrame, *, lang_col: str = "lang", source_col: str =
     partitions, or more, so that a shard is no larger than what a task sends; partial
 sums are made in as many as the kept rows need.
     """
-    shards = shards or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    shards = shards or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
     dealt = counted(docs, lang_col, source_col, text_col).withColumn("shard", F.pmod(F.xxhash64("lang", "term"), F.lit(shards)))
     kept_sql = KEPT.format(least=int(least_documents))
     kept = written(in_groups(dealt, ["shard"], lambda rows: in_duck(kept_sql, counts=rows), "shard long, lang string, source string, term string, n long, all_n long, leads long"), "kept-terms")

@@ -10,6 +10,7 @@ The step is a single map: nothing is shuffled or gathered.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -29,11 +30,29 @@ CACHE_WORDS, CACHE_CHARS = 400_000, 64
 PARTITION_SHIFT, BUCKET_SHIFT = 34, 58
 
 
+#: The steps of a tokenizer that sees each word alone: white space made one space, lower case, pieces by a pattern without white space, words' ends marked.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def wordwise(setup: dict) -> bool:
+    """Whether a tokenizer's file has just these steps, and no added token that a word could hold."""
+    steps = ((setup.get("normalizer") or {}).get("normalizers") or [], (setup.get("pre_tokenizer") or {}).get("pretokenizers") or [])
+    if [x["type"] for x in steps[0]] != NORMALIZERS or [x["type"] for x in steps[1]] != ["Split", "ByteLevel"]:
+        return False
+    space, split, level = steps[0][1], *steps[1]
+    return (
+        (space["pattern"], space["content"]) == ({"Regex": "\\s+"}, " ") and (split["pattern"], split["behavior"], split["invert"]) == ({"Regex": WORD_PATTERN}, "Removed", True)
+        and not level["add_prefix_space"] and not level["use_regex"] and setup["model"].get("end_of_word_suffix") == "</w>" and all(t["special"] and not re.search(r"\s", t["content"]) for t in setup.get("added_tokens", []))
+    )
+
+
 class WordIds:
     """Ids of whole texts, each distinct word tokenised once for many texts.
 
-    The tokenizer drops white space, and looks at no context across it nor
-    between letters and the stops after them.  So ids of a text are the ids of
+    A tokenizer that is set up as WORDWISE says drops white space, and looks at no
+    context across it nor between letters and the stops after them; for any other,
+    whole texts are tokenised.  So ids of a text are the ids of
     its words joined.  Words of letters or stops alone are one run to the
     tokenizer, whose last id has the vocabulary's end mark: they are tokenised
     many in a string, and cut at those ids.  Any other word goes on its own.
@@ -48,6 +67,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            self.wordwise = wordwise(json.load(file))
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -79,6 +100,9 @@ class WordIds:
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts as one array, and where each text begins in it, with the end."""
+        if not self.wordwise:
+            each = [np.asarray(x, "<u4") for x in self.encoded(pc.fill_null(texts, "").to_pylist())]
+            return np.concatenate([np.zeros(0, "<u4"), *each]), np.cumsum([0, *map(len, each)])
         spaced = pc.replace_substring_regex(pc.fill_null(texts, ""), r"([A-Za-z])([.,;:!?]+)([ \n]|$)", r"\1 \2\3")
         words = pc.split_pattern(spaced, " ")
         coded = words.flatten().dictionary_encode()

@@ -115,7 +115,7 @@ def materialise(docs: DataFrame, tokenizer_path: str, path: str | None = None, *
         # Spark's cast and text writer keep bytes as they are (tried on 4.1; the round-trip test tells)
         record = F.substring(F.col("ids"), 1, 2 * (length - 1)).cast("string")
         end = END_ID.to_bytes(2, "little").decode()
-        dealt.select("shard", record.alias("value")).write.partitionBy("shard").option("lineSep", end).text(path)
+        dealt.select("shard", record.alias("value")).write.partitionBy("shard").option("lineSep", end).option("maxRecordsPerFile", 0).text(path)  # one file a shard, whatever the session says
     dropped(staged)
     facts = {"sequences": n, "length": length, "shard_rows": shard_rows, "key": key, "rounds": ROUNDS, "end_id": END_ID, "pad_id": PAD_ID, "type": "<u2"}
     spark.range(1).select(F.lit(json.dumps(facts)).alias("value")).coalesce(1).write.text(f"{path}/manifest")
@@ -130,7 +130,9 @@ def read_sequences(spark: SparkSession, path: str, first_slot: int = 0, last_slo
     """(slot, shard, number, ids) of the slots from first_slot to before last_slot.
 
     Only the folders of the shards that hold these slots are listed and read; an
-    empty range reads none.
+    empty range reads none.  Each of these shards must be one file of the records
+    that the manifest gives it, else an error is raised: at once for a missing shard
+    or another number of files or bytes, by the task for a shard of another size.
     """
     facts = manifest(spark, path)
     n, rows, stride = facts["sequences"], facts["shard_rows"], 2 * facts["length"]
@@ -140,12 +142,15 @@ def read_sequences(spark: SparkSession, path: str, first_slot: int = 0, last_slo
         return spark.createDataFrame([], schema)
     order = Permutation(n, facts["key"])
 
+    def records(shard: int) -> int:
+        return min(rows, n - shard * rows)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = content.as_buffer()
-                if len(data) % stride:
-                    raise ValueError(f"shard {shard} has a broken record")
+                if len(data) != stride * records(shard):
+                    raise ValueError(f"shard {shard} has {len(data)} bytes, the manifest {records(shard)} records of {stride}")
                 slot = shard * rows + np.arange(len(data) // stride)
                 keep = np.flatnonzero((slot >= first_slot) & (slot < last))
                 ids = [data[k * stride : (k + 1) * stride].to_pybytes() for k in keep.tolist()]
@@ -155,4 +160,8 @@ def read_sequences(spark: SparkSession, path: str, first_slot: int = 0, last_slo
     low, high = first_slot // rows, (last - 1) // rows
     wanted = [f"{path}/shard=*"] if low == 0 and high == (n - 1) // rows else [f"{path}/shard={k}" for k in range(low, high + 1)]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(wanted)
+    there = files.select(shard.alias("shard"), "length").agg(F.count("*"), F.countDistinct("shard"), F.coalesce(F.sum("length"), F.lit(0))).first()  # lists, opens nothing
+    expected = (high - low + 1, high - low + 1, stride * (min(n, (high + 1) * rows) - low * rows))
+    if tuple(there) != expected:
+        raise ValueError(f"shards {low} to {high} of {path}: files, shards and bytes are {tuple(there)}, by the manifest {expected}")
     return in_arrow(files.select(shard.alias("shard"), "content"), cut, schema)
