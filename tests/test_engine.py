@@ -199,8 +199,43 @@ def test_embeddings():
     d = np.linalg.norm(plane[:, None] - plane[None], axis=2)
     x = embedding.classical_mds(d)
     assert np.abs(np.linalg.norm(x[:, None] - x[None], axis=2) - d).max() < 1e-9 and np.abs(x.mean(axis=0)).max() < 1e-12
-    mean = embedding.frechet_mean(own)
-    assert np.linalg.norm(mean) < 1e-6
+    mean, residual, steps = embedding.frechet_mean(own)
+    assert np.linalg.norm(mean) < 1e-9 and residual <= 1e-10 and steps <= 256
+    rng = np.random.default_rng(4)
+    for edge in (0.5, 1e-2, 1e-4, 1e-6):  # spread round the circle, or together near it
+        for spread in (7.0, 3 * edge):
+            angle, size = rng.normal(size=60) * spread + 1, 1 - edge * rng.uniform(0.2, 1.9, 60)
+            points = np.column_stack([size * np.cos(angle), size * np.sin(angle)])
+            mean, residual, steps = embedding.frechet_mean(points)
+            assert residual <= 1e-10 and steps <= 256
+            pull = sum(embedding.disk_distances(mean, p[None])[0] * (m / np.linalg.norm(m)) for p in points for m in embedding.seen_from(mean, p[None]))
+            assert np.linalg.norm(pull) / 60 <= 1e-9
+
+
+def test_independent_embeddings():
+    """Jacobi's rotations against another solver; both embeddings by both, with repeated spectra and a ladder of close values."""
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 5, 8, 33):
+        a = rng.normal(size=(n, n))
+        values, vectors = embedding.jacobi(a + a.T)
+        assert np.allclose(values, np.linalg.eigvalsh(a + a.T), atol=1e-12 * max(1, np.abs(values).max())) and np.allclose(vectors @ np.diag(values) @ vectors.T, a + a.T, atol=1e-11)
+    ring = [(k, (k + 1) % 8) for k in range(8)]
+    for n, pairs in ((6, [(i, j) for i in range(6) for j in range(i)]), (8, ring), (7, [(0, k) for k in range(1, 7)]), (40, [(k, (k + 1) % 40) for k in range(40)] + [(k, (k * k * 7 + 13) % 40) for k in range(40) if (k * k * 7 + 13) % 40 != k])):
+        src, dst = np.array(pairs).T
+        d = graphs.distances_of(n, src, dst)
+        points, found = embedding.hydra_checked(d)
+        assert found["mean_residual"] <= 1e-10 and found["isometry_error"] <= 1 and found["clamped"] == 0 and np.linalg.norm(points, axis=1).max() < 1
+        own = np.array([embedding.disk_distances(p, points) for p in points])
+        assert np.abs(own - embedding.independent_distances(d, "hydra")).max() <= 1e-8
+        plane = embedding.classical_mds(d)
+        assert np.abs(np.linalg.norm(plane[:, None] - plane[None], axis=2) - embedding.independent_distances(d, "mds")).max() <= 1e-8
+    assert embedding.equal_spans(np.array([3.0, 3 - 2e-10, 3 - 4e-10, 1.0])) == [(0, 2), (2, 3), (3, 4)]
+
+
+def test_embedding_queries(spark, small):
+    audit = queries.embedding_audit(spark, small).collect()
+    assert len(audit) == 20 and all(r.largest_error <= 1e-8 and r.largest_distance > 0 for r in audit)
+    assert all(r.mean_residual <= 1e-10 and r.isometry_error <= 1 for r in queries.hydra_checks(spark, small).collect())
 
 
 def test_intervals_and_ranks(spark):

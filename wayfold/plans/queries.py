@@ -608,6 +608,17 @@ def native_embeddings(spark, sf_dir):
     return rounded(embedding.embed(Inputs(spark, sf_dir).edges), 6)
 
 
+@query()
+def hydra_checks(spark, sf_dir):
+    return embedding.hydra_checks(Inputs(spark, sf_dir).edges)
+
+
+@query()
+def embedding_audit(spark, sf_dir):
+    """Both embeddings against an independent solver."""
+    return embedding.embedding_audit(Inputs(spark, sf_dir).edges)
+
+
 @query()
 def sampled_pairs(spark, sf_dir):
     return whole_pairs(workload.nodes(spark, sf_dir))
