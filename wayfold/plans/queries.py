@@ -8,11 +8,12 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfold._tables import written
+from wayfold._tables import shared_path, written
 from wayfold.functions import geometry
 from wayfold.operators import associations, crossed, diagnostics, embedding, estimands, graphs, identities, inference, oracle, routing, sampling, validation, walking
 from wayfold.plans import workload
 from wayfold.plans.workload import SQL
+from wayfold.sources import runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -608,6 +609,42 @@ def native_embeddings(spark, sf_dir):
     return rounded(embedding.embed(Inputs(spark, sf_dir).edges), 6)
 
 
+def stored(spark, routes: DataFrame) -> DataFrame:
+    return runs.read_run(spark, runs.write_run(routes, shared_path(spark, "run")))
+
+
+@query(f"select graph_id, pair_index, condition_id, metric, source, destination, {WALK}, decisions::int as decisions, success, failure from route1 where condition_id = 'mds_r085'", full=True)
+def stored_routes(spark, sf_dir, full=False):
+    """Routes written as a run and read again, one condition's folders alone."""
+    back = stored(spark, Inputs(spark, sf_dir, full).ordinary()).where("condition_id = 'mds_r085'")
+    return back.withColumn("walk", joined("walk")).drop("broken")
+
+
+@query("select graph_id, condition_id, 'missing_cell' as problem, count(*) as records from route1 where failure = 'attempted_revisit' group by all", full=True)
+def run_problems(spark, sf_dir, full=False):
+    """A run of which some records weren't kept: the report has their cells."""
+    own = Inputs(spark, sf_dir, full)
+    found = stored(spark, own.ordinary().where("failure is null or failure <> 'attempted_revisit'"))
+    metric = F.explode(F.array(F.lit("euclidean"), F.lit("poincare"))).alias("metric")
+    return runs.run_problems(found, own.pairs, own.coords.select("graph_id", "condition_id").distinct().select("graph_id", "condition_id", metric))
+
+
+LANES = ", ".join(f"sum(('0x' || substr(digest, {14 * k + 1}, 14))::ubigint)::hugeint" for k in range(4))
+
+
+@query(f"""select graph_id, rows, sha256(concat_ws(',', rows, l[1], l[2], l[3], l[4])) as payload_sha256 from (
+  select graph_id, count(*) as rows, [{LANES}] as l from (select graph_id, sha256('{{"dst":' || dst || ',"graph_id":"' || graph_id || '","src":' || src || '}}') as digest from edges) group by all)""")
+def payload_hashes(spark, sf_dir):
+    return runs.payload_hashes(Inputs(spark, sf_dir).edges, ["graph_id"])
+
+
+@query()
+def regeneration_audit(spark, sf_dir):
+    """Random graphs of the design, published and generated again in another order."""
+    own = design(spark, sf_dir).withColumn("seed", F.col("schedule_index") + 1).select("graph_id", "model", "n", "m", "seed")
+    return runs.compare_payloads(written(graphs.generate(own), "published"), graphs.generate(own.orderBy(F.desc("graph_id"))), ["graph_id"])
+
+
 @query()
 def hydra_checks(spark, sf_dir):
     return embedding.hydra_checks(Inputs(spark, sf_dir).edges)
