@@ -24,7 +24,7 @@ def coord_table(spark, **named):
 
 def test_structure(spark):
     edges = edge_table(spark, path=[(0, 1), (1, 2), (2, 3)], tri=[(0, 1), (1, 2), (0, 2)])
-    rows = {r.graph_id: r for r in graphs.network_metrics(edges, graphs.all_pairs(edges)).collect()}
+    rows = {r.graph_id: r for r in graphs.network_metrics(edges).collect()}
     p, t = rows["path"], rows["tri"]
     assert (p.n, p.m, p.average_degree, p.maximum_degree, p.population_degree_variance, p.average_clustering_coefficient, p.diameter) == (4, 3, 1.5, 2, 0.25, 0, 3)
     assert p.average_shortest_path_length == pytest.approx(10 / 6) and (t.average_clustering_coefficient, t.diameter) == (1, 1)
@@ -296,6 +296,14 @@ def test_pair_lengths(spark):
     assert of(apsp.withColumn("d", F.expr("if(graph_id = 'g' and u = 2 and v = 0, 7, d)"))) == {"g": 1, "h": 0} and of(apsp.where("not (u = 1 and v = 0)")) == {"g": 1, "h": 1}
 
 
+def test_distance_counts(spark):
+    """The same counts as the distance table's, for graphs in one part and in several."""
+    edges = edge_table(spark, g=[(k, (k * k + 3) % 90) for k in range(90) if (k * k + 3) % 90 != k] + [(k, k + 1) for k in range(60)], h=[(0, 1), (2, 3)])
+    expected = {(r.graph_id, r.d): r["count"] for r in graphs.all_pairs(edges).where("u < v").groupBy("graph_id", "d").count().collect()}
+    for together in (512, 64, 7):
+        assert {(r.graph_id, r.d): r.pairs for r in graphs.distance_counts(edges, together).collect()} == expected
+
+
 def test_graphs_beyond_ten_labels(spark):
     rows = queries.workload.placed(spark.createDataFrame([(f"g{k}",) for k in (-3, 0, 4, 5, 10, 14, 19, 103)], "graph_id string")).collect()
     assert len({(r.model, r.replicate) for r in rows}) == len(rows)

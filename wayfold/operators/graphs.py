@@ -121,6 +121,41 @@ def bits_reached(first: np.ndarray, near: np.ndarray, sources: np.ndarray, wante
     return out.tolist()
 
 
+def level_counts(first: np.ndarray, near: np.ndarray, sources: np.ndarray) -> list[int]:
+    """How many nodes the sources reach in one hop, two, ..., each source counted for itself."""
+    n, k = len(first) - 1, np.arange(len(sources))
+    seen = np.zeros((n, -(-len(sources) // 64)), np.uint64)
+    np.bitwise_or.at(seen, (sources, k // 64), np.uint64(1) << (k % 64).astype(np.uint64))
+    held, new, out = np.flatnonzero(np.diff(first)), seen.copy(), []
+    while held.size:
+        reached = np.zeros_like(seen)
+        reached[held] = np.bitwise_or.reduceat(new[near], first[held], axis=0)
+        new = reached & ~seen
+        if not new.any():
+            break
+        seen |= new
+        out.append(int(np.bitwise_count(new).sum()))
+    return out
+
+
+def distance_counts(edges: DataFrame, together: int = 512) -> DataFrame:
+    """(graph_id, d, pairs): unordered pairs at each distance, by bit-parallel searches from all nodes, so many at once in each task."""
+    ship(edges.sparkSession)
+    ends = edges.groupBy("graph_id").agg(F.collect_list("src").alias("src"), F.collect_list("dst").alias("dst"), F.greatest(F.max("src"), F.max("dst")).alias("last"))
+    parts = ends.withColumn("part", F.explode(F.expr(f"sequence(0L, last div {together})"))).repartition("graph_id", "part")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for g in batch.itertuples():
+                n = int(g.last) + 1
+                lists = neighbour_lists(n, np.asarray(g.src, np.int64), np.asarray(g.dst, np.int64))
+                counts = level_counts(*lists, np.arange(g.part * together, min(n, (g.part + 1) * together)))
+                yield pd.DataFrame({"graph_id": g.graph_id, "d": range(1, len(counts) + 1), "reached": counts})
+
+    found = parts.mapInPandas(run, "graph_id string, d int, reached long")
+    return found.groupBy("graph_id", "d").agg((F.sum("reached") / 2).cast("long").alias("pairs"))
+
+
 def pair_lengths(edges: DataFrame, pairs: DataFrame, together: int = 1024) -> DataFrame:
     """(graph_id, pair_index, source, destination, shortest): hops of each pair, null without a path or where a node has no edge.
 
@@ -148,20 +183,15 @@ def pair_lengths(edges: DataFrame, pairs: DataFrame, together: int = 1024) -> Da
     return some.join(ends, "graph_id", "left").repartition("graph_id", "part").drop("part").mapInPandas(run, schema)
 
 
-def network_metrics(edges: DataFrame, apsp: DataFrame) -> DataFrame:
+def network_metrics(edges: DataFrame) -> DataFrame:
     """n, m, mean and largest degree, population variance, clustering, diameter, mean distance."""
     nodes = clustering(edges).groupBy("graph_id").agg(
         F.count("*").alias("n"), (F.sum("degree") / 2).cast("long").alias("m"), F.avg("degree").alias("average_degree"), F.max("degree").alias("maximum_degree"),
         F.var_pop("degree").alias("population_degree_variance"), F.avg("clustering").alias("average_clustering_coefficient"))
-    paths = apsp.where("u <> v").groupBy("graph_id").agg(F.max("d").alias("diameter"), F.avg("d").alias("average_shortest_path_length"))
+    paths = distance_counts(edges).groupBy("graph_id").agg(F.max("d").alias("diameter"), (F.sum(F.col("d") * F.col("pairs")) / F.sum("pairs")).alias("average_shortest_path_length"))
     return nodes.join(paths, "graph_id")
 
 
-def distance_histogram(apsp: DataFrame) -> DataFrame:
-    """Unordered pairs at each distance."""
-    return apsp.where("u < v").groupBy("graph_id", "d").agg(F.count("*").alias("pairs"))
-
-
 def is_connected(edges: DataFrame) -> DataFrame:
     """(graph_id, connected): whether all nodes are reached from node 0."""
     all_nodes = degrees(edges).groupBy("graph_id").agg(F.count("*").alias("n"))

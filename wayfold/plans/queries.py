@@ -98,7 +98,7 @@ class Inputs:
         return workload.placed(estimands.graph_rows(estimands.methods(plain, self.repaired(plain=plain))))
 
     def properties(self) -> DataFrame:
-        return graphs.network_metrics(self.edges, graphs.all_pairs(self.edges))
+        return graphs.network_metrics(self.edges)
 
     def outcomes(self) -> DataFrame:
         """(model, outcome_name, stratum, graph_id, condition_id, outcome, properties): what the property associations compare."""
@@ -137,7 +137,7 @@ def local_clustering(spark, sf_dir):
 
 @query("select graph_id, d::int as d, count(*) as pairs from apsp where u < v group by all")
 def distance_histogram(spark, sf_dir):
-    return graphs.distance_histogram(graphs.all_pairs(Inputs(spark, sf_dir).edges))
+    return graphs.distance_counts(Inputs(spark, sf_dir).edges)
 
 
 @query("select graph_id, v as node, d::int as d from apsp where u = 0")
@@ -151,7 +151,7 @@ def bfs_levels(spark, sf_dir):
   join (select graph_id, max(d) as diameter, avg(d) as aspl from apsp where u <> v group by all) using (graph_id)""")
 def network_metrics(spark, sf_dir):
     own = Inputs(spark, sf_dir)
-    return rounded(graphs.network_metrics(own.edges, graphs.all_pairs(own.edges)))
+    return rounded(graphs.network_metrics(own.edges))
 
 
 @query("select graph_id, condition_id, node, x, y from coords")
