@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["graph_edges", "local_clustering", "network_metrics", "greedy_routes_i1", "repaired_routes_i1", "greedy_routes_i2", "success_estimands", "full_schedule", "pair_bijection", "matched_probability", "mobius_translation", "route_violations", "interaction_intervals", "model_contrast_intervals", "marginal_intervals", "stratum_coverage", "pooled_failures", "failure_diagnostics", "distance_change", "coordinate_summary", "matrix_violations", "metric_counts", "graph_row_violations", "recovered_stretch", "capacity_cells", "graph_identities", "family_labels", "walk_resources", "resource_summary_i2", "pair_lengths", "length_mismatches", "association_statistics", "frozen_workload", "stored_routes", "run_problems", "payload_hashes"]
+CHECKED = ["graph_edges", "local_clustering", "network_metrics", "greedy_routes_i1", "repaired_routes_i1", "greedy_routes_i2", "success_estimands", "full_schedule", "pair_bijection", "matched_probability", "mobius_translation", "route_violations", "interaction_intervals", "model_contrast_intervals", "marginal_intervals", "stratum_coverage", "pooled_failures", "failure_diagnostics", "distance_change", "coordinate_summary", "matrix_violations", "metric_counts", "graph_row_violations", "recovered_stretch", "capacity_cells", "graph_identities", "family_labels", "walk_resources", "resource_summary_i2", "pair_lengths", "length_mismatches", "association_statistics", "frozen_workload", "stored_routes", "run_problems", "payload_hashes", "metric_estimates", "interaction_estimates", "model_contrast_estimates", "evidence_rows", "repair_diagnostics", "embedding_strain"]
 
 
 def shown(v):

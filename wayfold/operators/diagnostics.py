@@ -42,6 +42,15 @@ def failure_diagnostics(routes: DataFrame, adjacent: DataFrame, coords: DataFram
     return own.withColumn("progress_gap", F.col("current_distance") - F.col("best_neighbour_distance")).withColumn("tolerance", F.lit(tolerance))
 
 
+def repair_diagnostics(repaired: DataFrame, adjacent: DataFrame, coords: DataFrame, tolerance: float) -> DataFrame:
+    """failure_diagnostics of walks that fail after all, with the stage: no edge to go back, no alternative there, or later on.
+
+    repaired: as walking.repaired or routing.repaired.  After a step back without an alternative the walk stands on the node before.
+    """
+    stage = F.when(F.col("failure") == "repair_unavailable_at_source", "repair_unavailable").when(F.col("failure") == "no_alternative_after_backtracking", "repair_selection").otherwise("post_repair")
+    return failure_diagnostics(repaired.withColumn("failure", F.col("final_failure")), adjacent, coords, tolerance).withColumn("stage", stage)
+
+
 def distance_change(before: DataFrame, after: DataFrame) -> DataFrame:
     """What a change of radius does to the distances of all unordered pairs, for each graph and condition of after.
 

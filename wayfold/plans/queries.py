@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfold._tables import shared_path, written
 from wayfold.functions import geometry
-from wayfold.operators import associations, crossed, diagnostics, embedding, estimands, graphs, identities, inference, oracle, routing, sampling, validation, walking
+from wayfold.operators import associations, crossed, diagnostics, embedding, estimands, graphs, identities, inference, marginals, oracle, routing, sampling, validation, walking
 from wayfold.plans import workload
 from wayfold.plans.workload import SQL
 from wayfold.sources import runs
@@ -804,3 +804,142 @@ def resource_summary_i2(spark, sf_dir, full=False):
 @query()
 def spectral_diagnostics(spark, sf_dir):
     return embedding.spectral_diagnostics(Inputs(spark, sf_dir).edges)
+
+
+SETTINGS = f""", extent as (
+  select graph_id, model, replicate, nodes, edges from (select distinct graph_id, model, replicate from graph_rows) join (select graph_id, count(*) as nodes from base group by all) using (graph_id) join (select graph_id, count(*) as edges from edges group by all) using (graph_id)),
+halved as (select *, case when ntile(2) over (partition by model order by nodes, replicate) = 1 then 'lower' else 'upper' end as size from extent),
+quartered as (select *, case when ntile(2) over (partition by model, size order by edges, replicate) = 1 then 'lower' else 'upper' end as density from halved),
+setting as (select graph_id, model, size, density, row_number() over (partition by model, size, density order by replicate) - 1 as place from quartered),
+strata as (select model, size, density, count(*)::int as graphs from setting group by all),
+drawn as (select model, size, density, replicate, {DRAW_INDEX} as drawn from (select s.*, r.replicate, p.position from strata s, range({DRAWS}) r(replicate), range(1000) p(position) where p.position < s.graphs)),
+scopes(scope, by_size, by_density, wanted) as (values ('cell', true, true, 1), ('size', true, false, 2), ('density', false, true, 2), ('all', false, false, 4))"""
+
+METRIC_VALUES = f""", common as (
+    select e.graph_id, e.condition_id, avg(p.hops / p.shortest) - avg(e.hops / e.shortest) as stretch from method e join method p on p.graph_id = e.graph_id and p.condition_id = e.condition_id and p.pair_index = e.pair_index
+    where e.method = 'euclidean' and p.method = 'poincare' and e.success and p.success group by all),
+own as (
+  select s.*, g.condition_id, m.metric, m.numerator, m.denominator, m.numerator / nullif(m.denominator, 0) as value from (select *, pair_count - poincare as failures from graph_rows) g join setting s using (graph_id), lateral (
+    {" union all ".join(f"select '{name}' as metric, {a}{f' - {b}' if b else ''} as numerator, {n} as denominator" for name, (a, b, n) in diagnostics.METRICS.items())}) m
+  union all select s.*, g.condition_id, '{marginals.STRETCH}', null, null, c.stretch from graph_rows g join setting s using (graph_id) left join common c using (graph_id, condition_id))"""
+
+INTERACTION_VALUES = f"""{INTERACTIONS}, own as (select s.*, i.radius as condition_id, 'family_interaction' as metric, null::bigint as numerator, null::bigint as denominator, i.interaction as value from inter i join setting s using (graph_id))"""
+
+SCOPED = """, cell as (
+  select model, size, density, condition_id, metric, avg(value) as value, count(*) as graphs, count(value) as applicable, case when count(numerator) = count(*) then sum(numerator) end as numerator, case when count(denominator) = count(*) then sum(denominator) end as denominator from own group by all),
+boot as (select o.model, o.size, o.density, o.condition_id, o.metric, d.replicate, avg(o.value) as value from drawn d join own o on o.model = d.model and o.size = d.size and o.density = d.density and o.place = d.drawn group by all),
+point as (
+  select scope, model, case when by_size then size end as size, case when by_density then density end as density, condition_id, metric, case when count(value) = any_value(wanted) then avg(value) end as estimate, count(*) as strata, sum(graphs)::bigint as graphs, sum(applicable)::bigint as applicable,
+    case when count(numerator) = count(*) then sum(numerator)::bigint end as numerator, case when count(denominator) = count(*) then sum(denominator)::bigint end as denominator from cell, scopes group by scope, model, 3, 4, condition_id, metric),
+again as (
+  select scope, model, case when by_size then size end as size, case when by_density then density end as density, condition_id, metric, replicate, case when count(value) = any_value(wanted) then avg(value) end as estimate from boot, scopes group by scope, model, 3, 4, condition_id, metric, replicate)"""
+
+LIMITS = "case when count(estimate) >= 0.95 * count(*) then quantile_disc(estimate, 0.025) end as low, case when count(estimate) >= 0.95 * count(*) then quantile_disc(estimate, 0.975) end as high"
+ESTIMATES = f"""{SCOPED}, limits as (select scope, model, size, density, condition_id, metric, {LIMITS} from again group by all),
+estimates as (
+  select p.*, case when estimate is not null then low end as low, case when estimate is not null then high end as high from point p join limits l
+    on l.scope = p.scope and l.model = p.model and l.size is not distinct from p.size and l.density is not distinct from p.density and l.condition_id = p.condition_id and l.metric = p.metric)"""
+INTERVAL = f"""round(estimate, 7) + 0.0::double as estimate, round(low, 7) + 0.0::double as low, round(high, 7) + 0.0::double as high,
+  case when estimate is null then '{marginals.NO_STRATUM}' when low is null then '{marginals.NO_INTERVAL}' else '{marginals.DEFINED}' end as status"""
+
+
+class Marginals:
+    """What the marginal queries share: settings, values of each graph, draws within cells."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, full: bool) -> None:
+        self.own = Inputs(spark, sf_dir, full)
+        self.routes = self.own.methods()
+        self.rows = written(workload.placed(estimands.graph_rows(self.routes)), "graph-rows")
+        nodes = self.own.base.groupBy("graph_id").agg(F.count("*").alias("nodes"))
+        edges = self.own.edges.groupBy("graph_id").agg(F.count("*").alias("edges"))
+        graph = self.rows.select("graph_id", "model", "replicate").distinct().join(nodes, "graph_id").join(edges, "graph_id")
+        self.settings = written(marginals.settings(graph), "settings")
+
+    def draws(self) -> DataFrame:
+        strata = self.settings.groupBy(*marginals.CELL).agg(F.count("*").cast("int").alias("graphs"))
+        drawn = sampling.bootstrap_draws(strata, WHOLE_DRAWS) if self.own.full else inference.draws(strata, DRAWS, F.expr(DRAW_INDEX).cast("int"))
+        return written(drawn.select(*marginals.CELL, "replicate", "drawn"), "draws")
+
+    def metrics(self) -> DataFrame:
+        """Six metrics of counts and the stretch contrast over pairs that both metrics reach."""
+        counted = diagnostics.metric_counts(self.rows).withColumn("value", geometry.ratio(F.col("numerator"), F.col("denominator"))["estimate"])
+        stretch = self.rows.select("graph_id", "condition_id").join(estimands.common_stretch(self.routes), ["graph_id", "condition_id"], "left")
+        none = F.lit(None).cast("long")
+        both = counted.unionByName(stretch.select("graph_id", "condition_id", F.lit(marginals.STRETCH).alias("metric"), none.alias("numerator"), none.alias("denominator"), F.col("stretch_contrast").alias("value")))
+        return written(both.join(self.settings, "graph_id"), "metrics")
+
+    def interactions(self) -> DataFrame:
+        none = F.lit(None).cast("long")
+        of = estimands.interactions(self.rows).select("graph_id", F.col("radius").alias("condition_id"), F.lit("family_interaction").alias("metric"), F.col("interaction").alias("value"), none.alias("numerator"), none.alias("denominator"))
+        return written(of.join(self.settings, "graph_id"), "interactions")
+
+
+@query(f"{SETTINGS}{METRIC_VALUES}{ESTIMATES} select scope, model, size, density, condition_id, metric, strata, graphs, applicable, numerator, denominator, {INTERVAL} from estimates", full=True)
+def metric_estimates(spark, sf_dir, full=False):
+    """Seven metrics by model, setting and condition, with marginals by size, by density and over both."""
+    own = Marginals(spark, sf_dir, full)
+    return rounded(marginals.estimates(own.metrics(), own.draws()), 7)
+
+
+@query(f"""{SETTINGS}{INTERACTION_VALUES}{ESTIMATES} select scope, model, size, density, condition_id, metric, strata, graphs, applicable, numerator, denominator, {INTERVAL},
+  case when low is null then null when round(low, 9) >= -5 and round(high, 9) <= 5 then 'practically_equivalent' when round(low, 9) > 0 then 'positive' when round(high, 9) < 0 then 'negative' else 'unresolved' end as label from estimates""", full=True)
+def interaction_estimates(spark, sf_dir, full=False):
+    """Family interactions by radius, in cells and marginals, the same graphs drawn for both families."""
+    own = Marginals(spark, sf_dir, full)
+    return rounded(marginals.interaction_estimates(own.interactions(), own.draws()), 7)
+
+
+@query(f"""{SETTINGS}{METRIC_VALUES}{SCOPED}, between as (
+    select scope, size, density, condition_id, metric, max(estimate) filter (model = 'barabasi_albert') - max(estimate) filter (model = 'erdos_renyi') as estimate from point group by all),
+  apart as (select scope, size, density, condition_id, metric, {LIMITS} from (
+    select scope, size, density, condition_id, metric, replicate, max(estimate) filter (model = 'barabasi_albert') - max(estimate) filter (model = 'erdos_renyi') as estimate from again group by all) group by all),
+  both_sides as (select b.*, case when estimate is not null then low end as low, case when estimate is not null then high end as high from between b join apart a
+    on a.scope = b.scope and a.size is not distinct from b.size and a.density is not distinct from b.density and a.condition_id = b.condition_id and a.metric = b.metric)
+  select scope, size, density, condition_id, metric, {INTERVAL} from both_sides""", full=True)
+def model_contrast_estimates(spark, sf_dir, full=False):
+    """One model's graphs against the other's in the same setting, and over equal-weight settings."""
+    own = Marginals(spark, sf_dir, full)
+    return rounded(marginals.model_contrasts(own.metrics(), own.draws()), 7)
+
+
+@query(f"""{SETTINGS}{INTERACTION_VALUES}{SCOPED}, whole as (select model, condition_id as radius, estimate as effect, graphs from point where scope = 'all' and estimate is not null),
+  apart as (select w.model, replicate, max(abs(a.estimate - w.effect)) as deviation from whole w join again a on a.model = w.model and a.condition_id = w.radius and a.scope = 'all' where a.estimate is not null group by all),
+  critical as (select model, quantile_disc(deviation, 0.95) as critical from apart group by all),
+  signs as (select model, count(distinct sign(round(effect, 9))) = 1 as consistent from whole group by all),
+  gains as (select s.model, s.size, s.density, g.condition_id, avg((repaired - poincare) / pair_count) as gain from graph_rows g join setting s using (graph_id) group by all),
+  gain as (select model, condition_id, case when count(gain) = 4 then avg(gain) end as gain from gains group by all),
+  common as (
+    select e.graph_id, e.condition_id, avg(p.hops / p.shortest) - avg(e.hops / e.shortest) as stretch from method e join method p on p.graph_id = e.graph_id and p.condition_id = e.condition_id and p.pair_index = e.pair_index
+    where e.method = 'euclidean' and p.method = 'poincare' and e.success and p.success group by all),
+  stretches as (select s.model, s.size, s.density, g.condition_id, avg(c.stretch) as stretch from graph_rows g join setting s using (graph_id) left join common c using (graph_id, condition_id) group by all),
+  stretch as (select model, condition_id, case when count(stretch) = 4 then avg(stretch) end as stretch from stretches group by all),
+  hops as (select model, condition_id, avg(h) filter (method = 'repaired') - avg(h) filter (method = 'poincare') as overhead from (
+    select graph_id, condition_id, method, avg(hops) as h from method where method in ('poincare', 'repaired') group by all) join setting using (graph_id) group by all),
+  side as (select model, split_part(condition_id, '_', 1) as family, split_part(condition_id, '_', 2) as radius, gain, stretch, overhead from gain join stretch using (model, condition_id) join hops using (model, condition_id))
+  select w.model, w.radius, w.graphs, c.consistent, round(effect, 7) + 0.0::double as effect, round(effect - critical, 7) + 0.0::double as low, round(effect + critical, 7) + 0.0::double as high,
+    round(h.stretch, 7) + 0.0::double as stretch_hydra, round(m.stretch, 7) + 0.0::double as stretch_mds, round(h.gain, 7) + 0.0::double as repair_hydra, round(m.gain, 7) + 0.0::double as repair_mds, round(h.overhead, 7) + 0.0::double as overhead_hydra, round(m.overhead, 7) + 0.0::double as overhead_mds
+  from whole w join critical using (model) join signs c using (model) left join side h on h.model = w.model and h.radius = w.radius and h.family = 'hydra' left join side m on m.model = w.model and m.radius = w.radius and m.family = 'mds'""", full=True)
+def evidence_rows(spark, sf_dir, full=False):
+    """Each model's marginal interaction by radius with its simultaneous band, beside stretch, repair and hops of both families."""
+    own = Marginals(spark, sf_dir, full)
+    return rounded(marginals.evidence(own.interactions(), own.draws(), own.metrics(), marginals.hop_means(own.routes, own.settings)), 7)
+
+
+@query("""select r.graph_id, r.pair_index, r.condition_id, r.metric, r.final_failure as failure, case when r.final_failure = 'repair_unavailable_at_source' then 'repair_unavailable' when r.final_failure = 'no_alternative_after_backtracking' then 'repair_selection' else 'post_repair' end as stage,
+  r.walk[-1] as stopped, r.hops::int as failure_hop, count(n.neighbour) as terminal_degree, round(any_value(n.d_node), 7) as current_distance, round(min(n.d_next), 7) as best_neighbour_distance, round(any_value(n.d_node) - min(n.d_next), 7) + 0.0::double as progress_gap
+  from repair1 r join near n on n.graph_id = r.graph_id and n.condition_id = r.condition_id and n.metric = r.metric and n.destination = r.destination and n.node = r.walk[-1]
+  where r.final_failure is not null group by r.graph_id, r.pair_index, r.condition_id, r.metric, r.final_failure, r.walk, r.hops""", full=True)
+def repair_diagnostics(spark, sf_dir, full=False):
+    """Walks that fail although repaired, or that no repair could help: where and at which stage."""
+    own = Inputs(spark, sf_dir, full)
+    return rounded(diagnostics.repair_diagnostics(own.repaired(), own.adjacent, own.coords, workload.TOLERANCE).drop("tolerance"), 7)
+
+
+@query("""select graph_id, condition_id, case when condition_id like 'hydra%' then 'hydra_lorentz_cosh_strain' else 'classical_mds_gram_strain' end as objective, count(*) as entries, round(sqrt(sum((found - target) ** 2)) / sqrt(sum(target ** 2)), 7) as strain from (
+  select p.graph_id, a.condition_id,
+    case when a.family = 'hydra' then cosh(p.d::double) else -0.5 * (p.d ** 2 - avg(p.d ** 2) over (partition by p.graph_id, a.condition_id, p.u) - avg(p.d ** 2) over (partition by p.graph_id, a.condition_id, p.v) + avg(p.d ** 2) over (partition by p.graph_id, a.condition_id)) end as target,
+    case when a.family = 'hydra' then 1 + 2 * ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / ((1 - a.x ** 2 - a.y ** 2) * (1 - b.x ** 2 - b.y ** 2)) else a.x * b.x + a.y * b.y end as found, a.family = 'mds' or p.u < p.v as counts
+  from apsp p join coords a on a.graph_id = p.graph_id and a.node = p.u join coords b on b.graph_id = p.graph_id and b.node = p.v and b.condition_id = a.condition_id) where counts group by all""")
+def embedding_strain(spark, sf_dir):
+    own = Inputs(spark, sf_dir)
+    return rounded(embedding.strain(graphs.all_pairs(own.edges), own.coords), 7)
