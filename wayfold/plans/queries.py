@@ -71,12 +71,13 @@ class Inputs:
         return self.walked[protocol]
 
     def repaired(self, protocol: str = "i1", plain: DataFrame | None = None) -> DataFrame:
-        if self.full:
+        if self.full or protocol == "i1":
             return walking.repaired(self.walks(protocol))
         return routing.repaired(plain or self.ordinary(protocol), 2 * F.size("by_node"), protocol)
 
     def ordinary(self, protocol: str = "i1") -> DataFrame:
-        if self.full:
+        """Walks of the first protocol, where the smallest node wins ties, are the same for both jobs; the SQL's second protocol has its smallest node from routing."""
+        if self.full or protocol == "i1":
             return walking.ordinary(self.walks(protocol))
         place = self.coords.select("graph_id", "condition_id", "node", "x", "y")
         decided = routing.decisions(self.adjacent, place, workload.destinations(self.pairs, self.coords), protocol)
