@@ -102,12 +102,13 @@ def repair(walk: list[int], failure: str | None, decisions: int, target: int, ne
     return on, decisions + 1 + more, True, True, True, final and f"post_repair_{final}"
 
 
-def walks(pairs: DataFrame, adjacent: DataFrame, coords: DataFrame, protocol: str = "i1", tolerance: float = 1e-12, data_hash: str = "", together: int = 100) -> DataFrame:
+def walks(pairs: DataFrame, adjacent: DataFrame, coords: DataFrame, protocol: str = "i1", tolerance: float = 1e-12, data_hash: str = "", together: int = 100, smallest: bool = False) -> DataFrame:
     """Ordinary and repaired routes of pairs under every condition and both metrics: PLAIN and REPAIR, for ordinary() and repaired().
 
     coords may have a tolerance of their own for each condition and metric
     (euclidean_tolerance, poincare_tolerance); a metric whose tolerance is null isn't
-    walked there.
+    walked there.  With smallest, ties of the second protocol go to the smallest node in
+    place of the keyed choice.
     """
     spark = pairs.sparkSession
     ship(spark)
@@ -129,7 +130,7 @@ def walks(pairs: DataFrame, adjacent: DataFrame, coords: DataFrame, protocol: st
                 key, out = priority_key(g.graph_id, data_hash), []
                 for k, s, t in zip(g.pair_index, g.source, g.destination):
                     k, s, t = int(k), int(s), int(t)
-                    rank = priority(key, g.graph_id, k, s, t)
+                    rank = (lambda at, k: k) if smallest else priority(key, g.graph_id, k, s, t)
                     for metric, tolerance in (("euclidean", g.euclidean), ("poincare", g.poincare)):
                         if tolerance is None or tolerance != tolerance:
                             continue

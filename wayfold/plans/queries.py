@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfold._tables import shared_path, written
 from wayfold.functions import geometry
-from wayfold.operators import associations, crossed, diagnostics, embedding, estimands, graphs, identities, inference, marginals, oracle, routing, sampling, validation, walking
+from wayfold.operators import associations, crossed, diagnostics, embedding, estimands, graphs, identities, inference, marginals, oracle, sampling, validation, walking
 from wayfold.plans import workload
 from wayfold.plans.workload import SQL
 from wayfold.sources import runs
@@ -65,23 +65,16 @@ class Inputs:
         self.walked: dict[str, DataFrame] = {}
 
     def walks(self, protocol: str) -> DataFrame:
-        """Routes of the whole job, walked once."""
+        """Routes, walked once; where the SQL is to have the same, ties go to the smallest node under both protocols."""
         if protocol not in self.walked:
-            self.walked[protocol] = written(walking.walks(self.pairs, self.adjacent, self.coords, protocol, workload.TOLERANCE), "walks")
+            self.walked[protocol] = written(walking.walks(self.pairs, self.adjacent, self.coords, protocol, workload.TOLERANCE, smallest=not self.full), "walks")
         return self.walked[protocol]
 
     def repaired(self, protocol: str = "i1", plain: DataFrame | None = None) -> DataFrame:
-        if self.full or protocol == "i1":
-            return walking.repaired(self.walks(protocol))
-        return routing.repaired(plain or self.ordinary(protocol), 2 * F.size("by_node"), protocol)
+        return walking.repaired(self.walks(protocol))
 
     def ordinary(self, protocol: str = "i1") -> DataFrame:
-        """Walks of the first protocol, where the smallest node wins ties, are the same for both jobs; the SQL's second protocol has its smallest node from routing."""
-        if self.full or protocol == "i1":
-            return walking.ordinary(self.walks(protocol))
-        place = self.coords.select("graph_id", "condition_id", "node", "x", "y")
-        decided = routing.decisions(self.adjacent, place, workload.destinations(self.pairs, self.coords), protocol)
-        return routing.routes(self.pairs, decided, F.size("by_node"), protocol)
+        return walking.ordinary(self.walks(protocol))
 
     def methods(self) -> DataFrame:
         """Routes of all methods with their pairs' lengths, made once."""
