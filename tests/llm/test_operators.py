@@ -534,3 +534,26 @@ def test_queries_digest(spark, small):
             turns = sorted(table[r.conv_id])
             assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{t}\n" for _, a, t in turns).encode()).hexdigest()
             assert r.loss_sha256 == hashlib.sha256("".join(t for _, a, t in turns if a == "assistant").encode()).hexdigest()
+
+
+def test_word_ids():
+    """Ids of odd words are the tokenizer's own; case and stops make no new words; what comes up again stays known."""
+    rng, ids = random.Random(5), packing.WordIds(TOKENIZER)
+    parts = [*"AKwtJYhéÉßÿŸİıſΣς한ﬁ²½_-=<>.,#$%&*'1", "K", "̱", "̌", "̸", "́", "ᄀ", "ᅡ", "<|endoftext|>", "<|ENDOFTEXT|>", "'LL", "...", "?!", "the", "The", " ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", " ", "​", "\0"]
+    odd = [None, "", " \n", *("".join(rng.choices(parts, k=rng.randrange(14))) for _ in range(5000))]
+    got, edges = ids.of(pa.array(odd))
+    assert ids.wordwise and [got[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == ids.encoded([t or "" for t in odd])
+    learned, learn = [], ids.learn
+    ids.learn = lambda words: learned.extend(words) or learn(words)
+    ids.of(pa.array(["Onthe onTHE\nonthe### ONTHE.", "ätzthe&&&\tätzthe"]))
+    assert sorted(w for w in learned if "the" in w) == ["onthe", "ätzthe"]
+
+
+def test_word_ids_cache(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
+    ids, learned = packing.WordIds(TOKENIZER), []
+    learn = ids.learn
+    ids.learn = lambda words: learned.extend(words) or learn(words)
+    for k in range(40):
+        ids.of(pa.array([" ".join(["steady", *("q" + chr(97 + k % 26) * (j + k // 26 * 9 + 1) for j in range(9))])]))
+    assert learned.count("steady") == 1 and len(ids.known) <= 50 and len(ids.before) <= 50
