@@ -557,3 +557,18 @@ def test_word_ids_cache(monkeypatch):
     for k in range(40):
         ids.of(pa.array([" ".join(["steady", *("q" + chr(97 + k % 26) * (j + k // 26 * 9 + 1) for j in range(9))])]))
     assert learned.count("steady") == 1 and len(ids.known) <= 50 and len(ids.before) <= 50
+
+
+def test_toxicity_tables_on_the_driver(spark, monkeypatch):
+    """The models share one table of commonness; what was sent out to fit the curve doesn't stay."""
+    rng = random.Random(8)
+    texts = [" ".join([*words(rng, 30), *["vile"] * (k % 5 == 0)]) for k in range(200)]
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(200)], "doc_id long, toxic int")
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append((send(self, value), value)) or sent[-1][0])
+    model = toxicity.fit(documents(spark, texts), labels)
+    [(shared, halves)] = sent
+    assert not shared._jbroadcast.isValid()
+    assert all(half.common[row] is model.common[row] for half in halves for row in (0, 1))
+    word, _, _ = toxicity.features(b"vile")
+    assert model.looked_up(word) >= toxicity.CLEAR

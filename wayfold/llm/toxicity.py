@@ -20,6 +20,7 @@ of the less common, so it gets another's score only if commoner ones lie on it t
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -35,7 +36,7 @@ from pyspark.sql import types as T
 
 from wayfold.llm._base import ALNUM, caches, dropped, filtered, in_arrow, mapped, slices, texts, written
 
-#: Slots of a row of the score table at most: 32 MB for the three models on the driver, 16 MB for one in a worker.
+#: Slots of a row of the score table at most: 32 MB for the three models, which share commonness, on the driver, 16 MB for one in a worker.
 MOST_SLOTS = 1 << 22
 #: Prior weight as a share of all counts, least z-score and log-odds of a clear toxic feature.
 PRIOR_SHARE, LEAST_Z, LEAST_ODDS = 0.05, 3.0, 2.0
@@ -127,8 +128,8 @@ def least_z(tested: int) -> float:
 class Model:
     """table: two rows of (score, commonness) bytes by slot; lam, k: Karlin-Altschul; curve: of the document score."""
 
-    scores: tuple[bytes, bytes]
-    common: tuple[bytes, bytes]
+    scores: tuple[bytearray, bytearray]
+    common: tuple[bytearray, bytearray]
     lam: float
     k: float
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
@@ -178,19 +179,21 @@ def fit_models(counts: DataFrame) -> list[Model]:
     slots = min(MOST_SLOTS, 1 << max(16, (8 * n).bit_length()))
     h = F.col("feature")
     low, high = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)
-    models = [([np.zeros(slots, np.uint8), np.zeros(slots, np.uint8)], [np.zeros(slots, np.uint8), np.zeros(slots, np.uint8)]) for _ in MODELS]
+    common, *scores = [(bytearray(slots), bytearray(slots)) for _ in (None, *MODELS)]
     for row, part in enumerate((low, high)):
         best = table.groupBy((part % slots).cast("int").alias("slot")).agg(F.max(F.struct("docs", "feature", "m0", "m1", "m2")).alias("best"))
-        got = best.select("slot", F.least(F.lit(255), F.floor(F.log2(F.col("best.docs") + 1) * 8)).cast("short").alias("docs"), *[F.col(f"best.m{k}").cast("short").alias(f"m{k}") for k in range(3)]).toArrow()  # MOST_SLOTS rows at most
-        at = got.column("slot").to_numpy()
-        for k, (scores, common) in enumerate(models):
-            scores[row][at] = got.column(f"m{k}").to_numpy()
-            common[row][at] = got.column("docs").to_numpy()
+        # the four bytes of a slot in one number
+        parts = [F.least(F.lit(255), F.floor(F.log2(F.col("best.docs") + 1) * 8)).cast("int"), *[F.shiftleft(F.col(f"best.m{k}"), 8 * k + 8) for k in range(3)]]
+        got = best.select("slot", functools.reduce(Column.bitwiseOR, parts).alias("bytes")).toArrow()  # MOST_SLOTS rows of eight bytes at most
+        at, values = got.column("slot").to_numpy(), got.column("bytes").to_numpy().astype("<i4", copy=False).view(np.uint8).reshape(-1, 4)
+        for k, own in enumerate((common, *scores)):
+            np.frombuffer(own[row], np.uint8)[at] = values[:, k]
+        del got, at, values
     out = []
     for k, folds in enumerate(MODELS):
         y0, _ = of_folds(folds)
         steps = {r.q: float(r.n or 0) for r in table.where("whole").groupBy(F.col(f"m{k}").alias("q")).agg(F.sum(y0 + F.when(F.col(f"m{k}") >= CLEAR, 0.5).otherwise(0.0)).alias("n")).collect()}  # 255 rows at most
-        out.append(Model(tuple(x.tobytes() for x in models[k][0]), tuple(x.tobytes() for x in models[k][1]), *chance(steps)))
+        out.append(Model(scores[k], common, *chance(steps)))
     dropped(table)
     return out
 
@@ -322,8 +325,10 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, *, i
             rows = [measures(t, scores[f], models[f])[1:] for t, f in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.float64()), batch.column(2)], names=["best", "total", "toxic"])
 
-    got = in_arrow(sample.select("text", "fold", "toxic"), value, "best double, total double, toxic int").toArrow().to_pandas()
-    model.curve = logistic(np.sqrt(got[["best", "total"]].to_numpy(float)), got["toxic"].to_numpy(float))
+    got = in_arrow(sample.select("text", "fold", "toxic"), value, "best double, total double, toxic int").toArrow()
+    shared.destroy()
+    best, total, toxic = (got.column(c).to_numpy().astype(float) for c in ("best", "total", "toxic"))
+    model.curve = logistic(np.sqrt(np.column_stack([best, total])), toxic)
     return model
 
 
