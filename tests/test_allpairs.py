@@ -122,3 +122,32 @@ def test_change_over_parts(spark):
     p0, p1 = (2 * np.arcsinh(e / np.sqrt((1 - (p[u] ** 2).sum(axis=1)) * (1 - (p[v] ** 2).sum(axis=1)))) for e, p in ((e0, a), (e1, b)))
     want = (len(u), 0, e0.mean(), e1.mean(), np.abs(e1 - e0).mean(), np.abs(e1 - 1.5 * e0).max(), p0.mean(), p1.mean(), np.abs(p1 - p0).mean(), np.abs(p1 - p0).max())
     assert tuple(r)[2:] == pytest.approx(want, rel=1e-10)
+
+
+def test_search_by_columns(monkeypatch):
+    """Hubs beyond the columns, nodes without edges, separate parts and long paths: what one search from each source finds."""
+    monkeypatch.setattr(graphs.Search, "HUB", 3)
+    star = [(0, k) for k in range(1, 40)] + [(k, k + 1) for k in range(50, 250)] + [(7, 45)]
+    src, dst = np.array(star).T
+    want = graphs.distances_of(260, src, dst)
+    for sources in (np.arange(260), np.array([5, 255, 60]), np.arange(64)):
+        found = graphs.Search(*graphs.neighbour_lists(260, src, dst)).columns_of(sources)
+        assert found.dtype == (np.int8 if len(sources) == 64 and want[sources].max() < 128 else np.int16) and (found.T == want[sources]).all()
+
+
+@pytest.mark.parametrize("at_once", [100, 1 << 18])
+def test_sorted_together_with_hops(monkeypatch, at_once):
+    """In eight bytes, with equal distances and zeros over the borders of what is gone through at once; by order where the bits don't suffice."""
+    monkeypatch.setattr(allpairs, "AT_ONCE", at_once)
+    rng = np.random.default_rng(6)
+    h, level = rng.choice(np.concatenate([[0.0], rng.uniform(1e-9, 9, 40)]), 5000), rng.integers(1, 200, 5000)
+    for deepest, packed in ((5000, False), (12, True)):
+        hops = np.minimum(level, deepest).astype(np.int16)
+        held = allpairs.Sorted(len(h), deepest, float(h[h > 0].min().view(np.int64) >> allpairs.BIN), int(h.max().view(np.int64) >> allpairs.BIN))
+        assert held.packed == packed
+        for k in range(0, 5000, 700):
+            held.add(h[k : k + 700], hops[k : k + 700])
+        groups = list(held.groups())
+        order = np.lexsort([hops, h])
+        one, two = (np.concatenate(x) for x in zip(*groups))
+        assert (one == h[order]).all() and (np.bincount(two) == np.bincount(hops)).all() and all(a[-1] != b[0] for (a, _), (b, _) in zip(groups, groups[1:]))
